@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, mixing, packing, quality
+from larkspur.llm import language_id, mixing, ngram_join, packing, quality, toxicity
 from larkspur.llm._common import remainder, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -38,11 +38,23 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return toxicity.rate(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op5_pack": op5_pack,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
+    "op8_toxicity": op8_toxicity,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
