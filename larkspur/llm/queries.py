@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, mixing, ngram_join, packing, quality, toxicity
+from larkspur.llm import bloom_lm, language_id, mixing, ngram_join, packing, quality, toxicity
 from larkspur.llm._common import remainder, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -48,8 +48,13 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(table(spark, sf_dir, "documents"), remainder(5) == 1)
+
+
 QUERIES = {
     "op1_mix": op1_mix,
+    "op3_bloom_lm": op3_bloom_lm,
     "op5_pack": op5_pack,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
