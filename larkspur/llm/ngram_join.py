@@ -8,8 +8,8 @@ Any order gives exact results; a rare-first order keeps shared keys few.
 Texts with equal sets form a class, and only classes are joined. The prefix
 filter joins classes on shingles among the first ``n - ceil(t * n) + 1``; length
 and positional filters bound the overlap; the suffix filter compares parities
-of set members in 256 hash ranges, a lower bound on the Hamming distance.
-Candidates are made distinct and verified once.
+of set members in 2,048 hash ranges (folded to 256 where rows are many), a lower
+bound on the Hamming distance. Candidates are made distinct and verified once.
 
 Links are sought in two rounds. First each key's classes are compared with one
 of them, the class with the most copies. Then, within keys that still hold
@@ -35,7 +35,8 @@ from larkspur.llm._common import cut, gram_hashes, mix64, span_hashes, spans, te
 from larkspur.llm.components import connected_components
 
 BUCKET_BITS = 18
-RANGES = 256
+RANGES = 2048
+_FOLD = 256
 #: Ids that may be broadcast, after they are counted: 16 bytes each. More are joined by a shuffle.
 BROADCAST_IDS = 1 << 18
 _RUN = 2048
@@ -86,9 +87,9 @@ def bucket_counts(documents: DataFrame, n: int) -> np.ndarray:
 
 
 def prefixes(documents: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (a hash of the set), prefix and parity of each text."""
+    """doc_id, n_shingles, set_id (a hash of the set), prefix, parity and its fold of each text."""
     ranks = documents.sparkSession.sparkContext.broadcast(bucket_counts(documents, n))
-    schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("parity", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("parity", T.BinaryType()), T.StructField("fold", T.BinaryType())])
 
     def make(batches):
         rank = ranks.value
@@ -96,15 +97,17 @@ def prefixes(documents: DataFrame, n: int, percent: int) -> DataFrame:
             for lo, hi, data, offsets in text_chunks(batch["text"]):
                 grams, bound = shingle_sets(data, offsets, n)
                 keys = (rank[grams >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(58)) | (mix64(grams) >> np.uint64(6))
-                ids, prefix, parity = np.zeros(hi - lo, np.int64), [], []
+                ids, prefix, parity, fold = np.zeros(hi - lo, np.int64), [], [], []
                 for i in range(hi - lo):
                     own = slice(bound[i], bound[i + 1])
                     size = int(bound[i + 1] - bound[i])
                     p = size - -(-(percent * size) // 100) + 1
                     prefix.append(np.sort(keys[own])[: p if size else 0].tobytes())
-                    parity.append(np.packbits(np.bincount((grams[own] & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1).tobytes())
+                    odd = np.packbits(np.bincount((grams[own] & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1)
+                    parity.append(odd.tobytes())
+                    fold.append(np.bitwise_xor.reduce(odd.reshape(-1, _FOLD // 8)).tobytes())
                     ids[i] = set_hash(grams[own])
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(np.diff(bound)), pa.array(ids), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(np.diff(bound)), pa.array(ids), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary()), pa.array(fold, pa.binary())], names=schema.names)
 
     return documents.select("doc_id", "text").mapInArrow(make, schema)
 
@@ -130,7 +133,18 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets reach the similarity."""
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("set_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("parity").alias(f"{side}_parity")), side)
+
+    def close(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, RANGES // 64) for c in ("a_parity", "b_parity"))
+            nx, ny = batch["a_n"].to_numpy(), batch["b_n"].to_numpy()
+            ok = np.bitwise_count(x ^ y).sum(axis=1) <= nx + ny - 2 * required(nx, ny, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    pairs = cut(pairs.select("a", "b", "a_n", "b_n", "a_parity", "b_parity").mapInArrow(close, "a long, b long"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes.select("set_id", F.col("first_id").alias("_id")), "set_id")
     wanted = cut(wanted)
     ids = wanted.select("_id", F.col("set_id").alias("_set"))
@@ -146,7 +160,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int
                 ok = pa.array(np.array([set_hash(x) for x in own], np.int64) == batch["_set"].slice(lo, hi - lo).to_numpy())
                 yield pa.RecordBatch.from_arrays([batch["_set"].slice(lo, hi - lo), pa.array([x.tobytes() for x in own], pa.binary())], names=["set_id", "members"]).filter(ok)
 
-    members = texts.select("text", "_set").mapInArrow(sets, "set_id long, members binary").dropDuplicates(["set_id"])
+    members = texts.select("text", "_set").mapInArrow(sets, "set_id long, members binary")
 
     def verify(batches):
         for batch in batches:
@@ -158,7 +172,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = members.select(F.col("set_id").alias("a"), F.col("members").alias("left")), members.select(F.col("set_id").alias("b"), F.col("members").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(verify, "a long, b long").distinct()
 
 
 def _near_pairs(percent: int):
@@ -168,7 +182,7 @@ def _near_pairs(percent: int):
         kept: list[dict[str, np.ndarray]] = []  # earlier blocks of the key that the length filter may still reach
         for batch in batches:
             cols = {c: batch[c].to_numpy() for c in ("key", "set_id", "n", "at", "part")}
-            cols["parity"] = np.frombuffer(b"".join(batch["parity"].to_pylist()), np.uint64).reshape(-1, RANGES // 64)
+            cols["fold"] = np.frombuffer(b"".join(batch["fold"].to_pylist()), np.uint64).reshape(-1, _FOLD // 64)
             if not len(batch):
                 continue
             edges = np.flatnonzero(np.append(True, cols["key"][1:] != cols["key"][:-1]))
@@ -201,7 +215,7 @@ def _block_pairs(x: dict, y: dict, percent: int, same: bool) -> list[tuple[np.nd
     need = required(nx, ny, percent)
     ok = np.minimum(nx - x["at"][i], ny - y["at"][j]) + np.minimum(x["at"][i], y["at"][j]) >= need
     i, j, room = i[ok], j[ok], (nx + ny - 2 * need)[ok]
-    apart = np.bitwise_count(x["parity"][i] ^ y["parity"][j]).sum(axis=1)
+    apart = np.bitwise_count(x["fold"][i] ^ y["fold"][j]).sum(axis=1)
     ok = apart <= room
     return [(x["set_id"][i[ok]], y["set_id"][j[ok]])] if ok.any() else []
 
@@ -210,8 +224,8 @@ def link_components(documents: DataFrame, n: int = 3, percent: int = 90) -> Data
     """doc_id, n_shingles, set_id and component_id (smallest doc_id reachable by links) of every row."""
     kind = documents.schema["doc_id"].dataType
     sets = cut(prefixes(documents, n, percent))
-    classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max(F.struct("n_shingles", "prefix", "parity")).alias("s"))
-    classes = cut(classes.select("set_id", "first_id", "copies", F.col("s.n_shingles").alias("n"), "s.prefix", "s.parity"))
+    classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max(F.struct("n_shingles", "prefix", "parity", "fold")).alias("s"))
+    classes = cut(classes.select("set_id", "first_id", "copies", F.col("s.n_shingles").alias("n"), "s.prefix", "s.parity", "s.fold"))
 
     key = Window.partitionBy("key")
     pivot = key.orderBy(F.desc("copies"), "set_id")
@@ -226,8 +240,8 @@ def link_components(documents: DataFrame, n: int = 3, percent: int = 90) -> Data
     )
     first = cut(_verified(star.select(F.col("pivot.set_id").alias("a"), F.col("set_id").alias("b")), documents, classes, n, percent))
     parts = connected_components(first)
-    placed = classes.join(parts, F.col("set_id") == F.col("node"), "left").select("set_id", "parity", F.coalesce("component", "set_id").alias("part"))
-    rest = shared.select("key", "set_id", "n", "at").join(placed, "set_id").select("key", "set_id", "n", "at", "part", "parity")
+    placed = classes.join(parts, F.col("set_id") == F.col("node"), "left").select("set_id", "fold", F.coalesce("component", "set_id").alias("part"))
+    rest = shared.select("key", "set_id", "n", "at").join(placed, "set_id").select("key", "set_id", "n", "at", "part", "fold")
     near = rest.repartition("key").sortWithinPartitions("key", "n", "set_id").mapInArrow(_near_pairs(percent), "a long, b long")
     links = first.union(_verified(near, documents, classes, n, percent))
     found = connected_components(links)
