@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bloom_lm, language_id, mixing, ngram_join, packing, quality, toxicity
+from larkspur.llm import bloom_lm, language_id, lattice_dedup, mixing, ngram_join, packing, quality, toxicity
 from larkspur.llm._common import remainder, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -52,8 +52,13 @@ def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(table(spark, sf_dir, "documents"), remainder(5) == 1)
 
 
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_lattice": op2_lattice,
     "op3_bloom_lm": op3_bloom_lm,
     "op5_pack": op5_pack,
     "op6_quality": op6_quality,
