@@ -167,7 +167,7 @@ def link(embeddings: DataFrame, least: float = 0.98, tables: int = TABLES, probe
 
     def pack(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["label"], batch["first_id"], batch["copies"], pa.array([np.array(v.as_py(), np.float64).tobytes() for v in batch["v"]], pa.binary())], names=["label", "first_id", "copies", "vector"])
+            yield pa.RecordBatch.from_arrays([batch["label"], batch["first_id"], batch["copies"], pa.array([(np.array(v.as_py(), np.float64) + 0.0).tobytes() for v in batch["v"]], pa.binary())], names=["label", "first_id", "copies", "vector"])
 
     classes = known.mapInArrow(pack, T.StructType([T.StructField("label", T.StringType()), T.StructField("first_id", kind), T.StructField("copies", T.LongType()), T.StructField("vector", T.BinaryType())]))
     # two hashes of which the first orders and names the class
@@ -192,7 +192,7 @@ def link(embeddings: DataFrame, least: float = 0.98, tables: int = TABLES, probe
 
     def name(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], pa.array([None if v.as_py() is None else np.array(v.as_py(), np.float64).tobytes() for v in batch["v"]], pa.binary())], names=["vec_id", "label", "vector"])
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], pa.array([None if v.as_py() is None else (np.array(v.as_py(), np.float64) + 0.0).tobytes() for v in batch["v"]], pa.binary())], names=["vec_id", "label", "vector"])
 
     named = rows.mapInArrow(name, T.StructType([T.StructField("vec_id", kind), T.StructField("label", T.StringType()), T.StructField("vector", T.BinaryType())]))
     named = named.select("vec_id", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")).alias("_c"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bloom_lm, language_id, lattice_dedup, mixing, ngram_join, packing, quality, toxicity
+from larkspur.llm import bloom_lm, language_id, lattice_dedup, line_dedup, mixing, ngram_join, packing, quality, toxicity
 from larkspur.llm._common import remainder, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -56,10 +56,16 @@ def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.link(table(spark, sf_dir, "embeddings"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_lattice": op2_lattice,
     "op3_bloom_lm": op3_bloom_lm,
+    "op4_lines": op4_lines,
     "op5_pack": op5_pack,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
@@ -67,4 +73,37 @@ QUERIES = {
     "op10_jaccard": op10_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP4_SQL = """
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text FROM documents),
+lines AS (
+  SELECT r, i - 1 AS pos, l AS line, list_distinct(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs WHERE text IS NOT NULL)
+),
+big AS (SELECT r, pos, list_sort(words) AS words, len(words) AS n FROM lines WHERE len(words) >= 5),
+sets AS (SELECT words, any_value(n) AS n, min(struct_pack(r := r, pos := pos)) AS first FROM big GROUP BY words),
+rarity AS (SELECT w, count(*) AS df FROM (SELECT unnest(words) AS w FROM sets) GROUP BY w),
+ranked AS (
+  SELECT s.words, s.n, s.first, t.w, row_number() OVER (PARTITION BY s.first ORDER BY f.df, t.w) AS k
+  FROM sets s, LATERAL (SELECT unnest(s.words) AS w) t JOIN rarity f ON f.w = t.w
+),
+prefix AS (SELECT * FROM ranked WHERE k <= n - CAST(ceil(90 * n / 100.0) AS BIGINT) + 1),
+pairs AS (SELECT DISTINCT y.first AS later, y.words AS yw, x.words AS xw FROM prefix x JOIN prefix y ON x.w = y.w AND x.first < y.first),
+near AS (
+  SELECT DISTINCT later FROM pairs
+  WHERE 100 * len(list_intersect(xw, yw)) >= 90 * (len(xw) + len(yw) - len(list_intersect(xw, yw)))
+),
+gone AS (
+  SELECT b.r, b.pos FROM big b JOIN sets s ON b.words = s.words LEFT JOIN near n ON n.later = s.first
+  WHERE n.later IS NOT NULL OR struct_pack(r := b.r, pos := b.pos) <> s.first
+),
+kept AS (
+  SELECT l.r, count(*) AS n_lines, count(g.pos) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text
+  FROM lines l LEFT JOIN gone g ON g.r = l.r AND g.pos = l.pos GROUP BY l.r
+)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed,
+  CASE WHEN d.text IS NOT NULL THEN length(coalesce(k.text, '')) END AS kept_chars,
+  CASE WHEN d.text IS NOT NULL THEN md5(coalesce(k.text, '')) END AS kept_md5
+FROM docs d LEFT JOIN kept k ON k.r = d.r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_lines": _OP4_SQL}
