@@ -51,19 +51,23 @@ def _words(line: Column) -> Column:
 
 
 def _ranks(documents: DataFrame) -> Column:
-    """How common the words of each hash bucket are, as a constant array of RANK_BUCKETS small numbers."""
+    """How common the words of each hash bucket are, as a constant array of RANK_BUCKETS numbers below 128 in the highest byte."""
     words = documents.select(F.explode(F.split(_blanked(F.col("text"), newline=True), " ")).alias("w")).where("w <> ''")
-    got = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RANK_BUCKETS)).alias("bucket")).count().collect()  # at most RANK_BUCKETS rows
+    got = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count().collect()  # at most RANK_BUCKETS rows
     ranks = [0] * RANK_BUCKETS
     for r in got:
-        ranks[r["bucket"]] = min(127, round(4 * math.log2(r["count"])))
+        ranks[r["bucket"]] = min(127, round(4 * math.log2(r["count"]))) << 56
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
 
 
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int")
+
+
 def _keys(line: Column, ranks: Column) -> Column:
     """Sorted distinct token keys of a line, rare first: rank, then hash."""
     hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(RANK_BUCKETS)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -114,35 +118,39 @@ def _similar(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
 def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """d, v and places (from 0) of the lines to remove; d is the id (null: the least long), v the text's version."""
     ranks = _ranks(documents)
-    keyed = _lines(documents).select("d", "ord", _keys(F.col("line"), ranks).alias("keys")).where(F.size("keys") >= min_tokens)
+    # the generator keeps the filter from computing the keys a second time
+    keyed = _lines(documents).select("d", "ord", F.explode(F.array(_keys(F.col("line"), ranks))).alias("keys")).where(F.size("keys") >= min_tokens)
     n = F.size("keys")
     lines = keyed.select(
         "d",
         "ord",
-        F.xxhash64("keys").alias("s1"),
-        F.hash("keys").alias("s2"),
+        F.xxhash64("keys").alias("set"),
+        F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("parity"),
         n.alias("n"),
         F.slice("keys", 1, n - F.ceil(percent * n / 100).cast("int") + 1).alias("prefix"),
-        F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))).alias("parity"),
     )
     lines = cut(lines)
-    classes = lines.groupBy("s1", "s2").agg(F.min(F.struct("d", "ord")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    same = ["set", "parity", "n"]  # equal tokens: a hash, and two more facts of the tokens
+    classes = lines.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.first("prefix").alias("prefix"))
     postings = classes.select(F.col("first.d").alias("d"), F.col("first.ord").alias("ord"), "n", "parity", F.posexplode("prefix").alias("i", "key"))
-    by_key = Window.partitionBy("key").orderBy("d", "ord")
-    held = F.count(F.lit(1)).over(by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    shared = cut(postings.withColumn("turn", F.row_number().over(by_key)).withColumn("held", held).where("held > 1").drop("held"))
-
-    first = shared.where("turn = 1").alias("x").join(shared.where("turn > 1").alias("y"), (F.col("x.key") == F.col("y.key")) & _close("x", "y", percent))
+    by_size = Window.partitionBy("key").orderBy("n")
+    reach = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    # rows that no other row of their key is near in size are left behind
+    near_size = postings.withColumn("reach", reach).where("reach").drop("reach")
+    by_age = Window.partitionBy("key").orderBy("d", "ord")
+    shared = near_size.withColumn("turn", F.row_number().over(by_age)).withColumn("x", F.first(F.struct("d", "ord", "n", "i", "parity")).over(by_age))
+    shared = cut(shared.select("key", "turn", "x", F.struct("d", "ord", "n", "i", "parity").alias("y")))
     pair = [F.col("y.d").alias("d"), F.col("y.ord").alias("ord"), F.col("x.d").alias("e_d"), F.col("x.ord").alias("e_ord")]
-    near = cut(_similar(first.select(*pair), documents, percent))
-    left = shared.where("turn > 2").join(near, ["d", "ord"], "left_anti")
-    earlier = F.struct("x.d", "x.ord") < F.struct("y.d", "y.ord")
-    more = shared.where("turn > 1").alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & earlier & _close("x", "y", percent))
-    near = near.union(_similar(more.select(*pair), documents, percent))
-
-    near_sets = lines.select("d", "ord", "s1", "s2").join(near.distinct(), ["d", "ord"], "left_semi").select("s1", "s2").distinct().withColumn("near", F.lit(True))
-    firsts = lines.groupBy("s1", "s2").agg(F.min(F.struct("d", "ord")).alias("first"), F.count(F.lit(1)).alias("lines")).join(near_sets, ["s1", "s2"], "left").where("lines > 1 or near")
-    gone = lines.select("d", "ord", "s1", "s2").join(firsts, ["s1", "s2"]).where(F.col("near").isNotNull() | (F.struct("d", "ord") != F.col("first")))
+    near = _small(cut(_similar(shared.where(F.col("turn") > 1).where(_close("x", "y", percent)).select(*pair), documents, percent)))
+    rest = shared.where("turn > 1").select("key", "y", F.col("y.d").alias("d"), F.col("y.ord").alias("ord"))
+    left = rest.join(near, ["d", "ord"], "left_anti").select(F.col("key").alias("k"), "y")
+    earlier = (F.col("x.d") < F.col("y.d")) | ((F.col("x.d") == F.col("y.d")) & (F.col("x.ord") < F.col("y.ord")))
+    more = rest.select("key", F.col("y").alias("x")).join(left, (F.col("key") == F.col("k")) & earlier & _close("x", "y", percent))
+    near = _small(cut(near.union(_similar(more.select(*pair), documents, percent)).distinct()))
+
+    near_sets = lines.select("d", "ord", *same).join(near, ["d", "ord"], "left_semi").select(*same).distinct().withColumn("near", F.lit(True))
+    firsts = lines.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.count(F.lit(1)).alias("lines")).join(near_sets, same, "left").where("lines > 1 or near")
+    gone = lines.select("d", "ord", *same).join(firsts, same).where(F.col("near").isNotNull() | (F.struct("d", "ord") != F.col("first")))
     return gone.groupBy("d", F.shiftright("ord", 32).alias("v")).agg(F.collect_set(F.col("ord").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("places"))
 
 
