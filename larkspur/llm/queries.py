@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bloom_lm, language_id, lattice_dedup, line_dedup, mixing, ngram_join, packing, quality, toxicity
+from larkspur.llm import bloom_lm, language_id, lattice_dedup, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, toxicity
 from larkspur.llm._common import remainder, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -61,6 +61,11 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.strip_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_lattice": op2_lattice,
@@ -70,6 +75,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix": op9_suffix,
     "op10_jaccard": op10_jaccard,
 }
 
