@@ -62,7 +62,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Model:
     """idf weights, centroids with their languages, and the rejection floor of each language."""
 
-    def __init__(self, counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS, slack: float = 0.5):
+    def __init__(self, counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS, slack: float = 0.25):
         self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
         self.langs = sorted(set(langs))
         x, own = self.vectors(counts), np.array(langs)

@@ -76,11 +76,10 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, max_repeat:
 
 
 def mix(documents: DataFrame, size: str = "size", seed: str = "mix", block: int = BLOCK, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """All columns of ``documents`` plus size, source_size, target, taken, whole_turns, part_from and part_words.
+    """All columns of ``documents`` plus size, source_size, target, taken, whole_turns and part_words.
 
-    ``taken = whole_turns * size + part_words``; the part is the words from
-    ``part_from`` on, running on from the text's end to its start where the
-    ring's arc does.
+    ``taken = whole_turns * size + part_words``; the part is the text's first
+    ``part_words`` words. In each shard one text at most is taken in part.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     docs = documents.withColumn("_order", order)
