@@ -33,7 +33,7 @@ from larkspur.llm._common import cut
 
 PERCENT = 90
 MIN_TOKENS = 5
-RANK_BUCKETS = 1 << 14
+RANK_BUCKETS = 1 << 17
 #: Rows that may be broadcast, after they are counted; each holds an id and a few places. More are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 BROADCAST_PLACES = 1 << 20
@@ -51,13 +51,13 @@ def _words(line: Column) -> Column:
 
 
 def _ranks(documents: DataFrame) -> Column:
-    """How common the words of each hash bucket are, as a constant array of RANK_BUCKETS numbers below 128 in the highest byte."""
+    """How common the words of each hash bucket are, as a constant array of RANK_BUCKETS numbers below 128."""
     words = documents.select(F.explode(F.split(_blanked(F.col("text"), newline=True), " ")).alias("w")).where("w <> ''")
     got = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count().collect()  # at most RANK_BUCKETS rows
     ranks = [0] * RANK_BUCKETS
     for r in got:
-        ranks[r["bucket"]] = min(127, round(4 * math.log2(r["count"]))) << 56
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+        ranks[r["bucket"]] = min(127, round(4 * math.log2(r["count"])))
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded to a constant
 
 
 def _bucket(h: Column) -> Column:
@@ -67,7 +67,7 @@ def _bucket(h: Column) -> Column:
 def _keys(line: Column, ranks: Column) -> Column:
     """Sorted distinct token keys of a line, rare first: rank, then hash."""
     hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, _bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def _similar(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     wanted = _small(cut(wanted.withColumnRenamed("d", "w_d").withColumnRenamed("v", "w_v")), F.size("places"))
     docs = documents.where("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), _version(F.col("text")).alias("v"), "text")
     met = docs.join(wanted, (F.col("d") == F.col("w_d")) & (F.col("v") == F.col("w_v")))
-    lines = met.select("d", "v", "places", F.split(_blanked(F.col("text")), "\n").alias("lines")).select("d", "v", F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x"))
+    lines = met.select("d", "v", "places", F.explode(F.array(F.split(_blanked(F.col("text")), "\n"))).alias("lines")).select("d", "v", F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x"))
     sets = lines.select("d", F.shiftleft("v", 32).bitwiseOR(F.col("x.pos").cast("long")).alias("ord"), F.array_distinct(F.transform(_words(F.col("x.line")), lambda w: F.xxhash64(w))).alias("words"))
     sets = sets.dropDuplicates(["d", "ord"])
     both = pairs.join(sets, ["d", "ord"]).join(sets.select(F.col("d").alias("e_d"), F.col("ord").alias("e_ord"), F.col("words").alias("e_words")), ["e_d", "e_ord"])
@@ -158,8 +158,9 @@ def drop_repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens
     """All columns of ``documents`` with the text less its removed lines, plus n_lines and n_removed."""
     gone = _small(cut(repeated_lines(documents, percent, min_tokens).select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("places").alias("_places"))), F.size("_places"))
     met = documents.join(gone, (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_d")) & (_version(F.col("text")) == F.col("_v")), "left")
-    lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_places"))
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    # the generator keeps the split from being computed for each of its uses
+    met = met.select("*", F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("_lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_places"))
+    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
     other = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in documents.columns if c not in ("n_lines", "n_removed")]
-    return met.select(*other, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_removed"))
+    return met.select(*other, F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"), F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_removed"))
