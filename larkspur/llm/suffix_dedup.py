@@ -60,23 +60,21 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _grams(data: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes from each place on."""
-    total, part, done, size = None, _CODE[data], 0, 1
-    while k:
-        if k & 1:
-            if total is None:
-                total, done = part, size
-            else:
-                m = max(len(part) - done, 0)
-                total = total[:m] * np.uint64(_BASE) + mix64(part[done : done + m])
-                done += size
-        k >>= 1
-        if k:
-            m = max(len(part) - size, 0)
-            part = mix64(part[:m]) * np.uint64(0xD6E8FEB86659FD93) + part[size : size + m]
-            size *= 2
-    return mix64(total)
+def _prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of byte codes times powers of the base; differences of them are hashes of any stretch."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODE[data] * _powers()[0][: len(data)], out=total[1:])
+    return total
+
+
+def _grams(total: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes from each place on, well mixed in its high bits."""
+    x = (total[k:] - total[:-k]) * _powers()[1][: len(total) - k]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x9FB21C651E98DF25)
+    return x
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -95,7 +93,8 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
     if len(data) < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.astype(bool)
-    hashes = _grams(data, gram)
+    total = _prefix_sums(data)
+    hashes = _grams(total, gram)
     packed = (hashes >> np.uint64(20) << np.uint64(20)) | np.arange(len(hashes), dtype=np.uint64)
     least = _sliding_min(packed, length - gram + 1)
     valid = np.arange(len(least)) + length <= ends[: len(least)]
@@ -108,9 +107,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
     stop = np.flatnonzero(last) + length
     moved = np.concatenate([[0], np.cumsum(least[1:] != least[:-1])])
     again = moved[stop - length] > moved[start]
-    power, inverse = _powers()
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_CODE[data] * power[: len(data)], dtype=np.uint64)])
-    mark = mix64((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    mark = mix64((total[stop] - total[start]) * _powers()[1][start] + (stop - start).astype(np.uint64))
     return start, stop, (mix64(value[start]) & _LOW48).astype(np.int64), (mark & _LOW48).astype(np.int64), again
 
 
@@ -124,52 +121,61 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first ``depth`` symbols at least, and where the ones that tie with each begin."""
+    """Suffixes in order of their first ``depth`` symbols at least, and where the ones that tie with each begin.
+
+    Eight symbols make the first key; then ranks of stretches are put together, three at a time.
+    """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    k, by = 1, 3 if n < (1 << 21) - 1 else 2
+    padded = np.concatenate([symbols, np.zeros(8, np.uint8)])
+    key = np.zeros(n, np.uint64)
+    for j in range(8):
+        key = (key << np.uint64(8)) | padded[j : j + n]
+    k, by = 8, 3 if n < (1 << 21) - 1 else 2
     while True:
-        padded = np.concatenate([rank + 1, np.zeros((by - 1) * k, np.int64)])
-        key = np.zeros(n, np.int64)
-        for j in range(by):  # by * log2(n + 2) bits stay below 63
-            key = key * (n + 1) + padded[j * k : j * k + n]
         order = np.argsort(key)
         sorted_ = key[order]
         fresh = np.append(True, sorted_[1:] != sorted_[:-1])
         rank = np.zeros(n, np.int64)
-        rank[order] = np.cumsum(fresh) - 1
-        k *= by
+        rank[order] = np.cumsum(fresh)
         if k >= depth or fresh.all():
-            return order, np.flatnonzero(fresh)[rank]
+            return order, np.flatnonzero(fresh)[rank - 1]
+        ranks = np.concatenate([rank, np.zeros((by - 1) * k, np.int64)])
+        key = rank
+        for j in range(1, by):  # by * log2(n + 1) bits stay below 63
+            key = key * (n + 1) + ranks[j * k : j * k + n]
+        k *= by
 
 
 def window_classes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in suffix-array order, and where a run of suffixes with one prefix of ``length`` symbols begins.
 
-    Symbols below 256 are bytes; all others occur once each and end a segment.
+    Symbol 0 ends a segment and is never extended, so the runs hold for stretches without it.
     """
     n = len(symbols)
     order, place = suffix_array(symbols, length)
-    before = symbols[order - 1]  # the transform: what precedes each suffix (for the first, the last symbol, a separator)
-    starts = np.append(True, symbols[order][1:] != symbols[order][:-1])  # depth 0: first symbols differ
-    settled, fresh = starts.copy(), starts
-    extend = np.flatnonzero(before < 256)
-    by_symbol = np.argsort(before[extend].astype(np.uint8), kind="stable")
-    extend = extend[by_symbol]
-    to = place[order[extend] - 1]
+    before = symbols[order - 1]  # the transform: what precedes each suffix (for the first, the last symbol, a 0)
+    settled = np.append(True, symbols[order][1:] != symbols[order][:-1])  # depth 0: first symbols differ
+    fresh = settled.copy()
+    extend = np.flatnonzero(before)
+    extend = extend[np.argsort(before[extend], kind="stable")]
     same = before[extend][1:] == before[extend][:-1]
-    later, earlier, to = extend[1:][same], extend[:-1][same], to[1:][same]  # neighbours among suffixes with that byte before them
+    to = place[order[extend] - 1][1:][same].astype(np.int32)
+    later, earlier = extend[1:][same].astype(np.int32), extend[:-1][same].astype(np.int32)  # neighbours among suffixes with that byte before them
+    spent = 0
     for _ in range(1, length):
         if not fresh.any() or not len(later):
             break
         marks = np.cumsum(fresh, dtype=np.int32)
-        parted = marks[later] > marks[earlier]
+        parted = marks[later] != marks[earlier]
+        reached = to[parted]
         fresh = np.zeros(n, bool)
-        fresh[to[parted]] = True
+        fresh[reached] = True
         fresh &= ~settled
         settled |= fresh
-        stay = ~parted
-        later, earlier, to = later[stay], earlier[stay], to[stay]
+        spent += len(reached)
+        if 4 * spent > len(later):  # those that have parted have nothing more to settle
+            stay = ~settled[to]
+            later, earlier, to, spent = later[stay], earlier[stay], to[stay], 0
     return order, settled
 
 
@@ -180,11 +186,10 @@ def repeats(texts: list[bytes], order_key: np.ndarray, length: int) -> list[tupl
     """
     size = np.array([len(t) for t in texts], np.int64)
     at = np.cumsum(size + 1) - size - 1
-    symbols = np.zeros(int((size + 1).sum()), np.int64)
+    symbols = np.zeros(int((size + 1).sum()), np.uint8)
     owner = np.repeat(np.arange(len(texts)), size + 1)
     inside = np.arange(len(symbols)) - at[owner]
-    symbols[inside < size[owner]] = np.frombuffer(b"".join(texts), np.uint8)
-    symbols[at + size] = 256 + np.arange(len(texts))
+    symbols[inside < size[owner]] = np.frombuffer(b"".join(texts), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
     order, starts = window_classes(symbols, length)
     key = (order_key[owner] + inside)[order]
     whole = (inside + length <= size[owner])[order]
