@@ -32,7 +32,7 @@ from larkspur.llm._common import cut, span_hashes, spans, text_chunks
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 1 << 17
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 1_500_000
 _IDENTITY = np.arange(256, dtype=np.uint8)
 #: ASCII blanks only: code points that a tokenizer may treat in another way stay inside words.
 _BLANK = np.zeros(256, bool)
@@ -42,29 +42,59 @@ _BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
 class WordTokens:
     """Token ids of whole texts, looked up word by word; the table is emptied when it is full."""
 
+    #: A word of one token of its own, which parts the words that are encoded in one call.
+    MARK = "~"
+
     def __init__(self, path: str, limit: int = _CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
+        mark = self.encode([self.MARK], add_special_tokens=False)[0].ids
+        self.mark = mark[0] if len(mark) == 1 else -1
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted hashes of known words
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.old = self.new = none  # hashes in order, places in the pool, numbers of ids; new words are merged now and then
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def encoded(self, words: list[str], block: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, one word after the other, and how many each has."""
+        ids, sizes = [], []
+        for lo in range(0, len(words), block):
+            part = words[lo : lo + block]
+            flat = np.array(self.encode([f" {self.MARK} ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.flatnonzero(flat == self.mark)
+            if len(marks) == len(part) - 1:
+                sizes.append(np.diff(np.concatenate([[-1], marks, [len(flat)]])) - 1)
+                ids.append(np.delete(flat, marks))
+            else:  # a word has the mark in it
+                each = [x.ids for x in self.encode(part, add_special_tokens=False)]
+                sizes.append(np.array([len(x) for x in each]))
+                ids.append(np.array([i for x in each for i in x], np.uint32))
+        return np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = [x.ids for x in self.encode(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-        at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, flat])
-        keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        order = np.argsort(keys)
-        self.keys, self.at, self.size = keys[order], at[order], size[order]
+        flat, size = self.encoded(words)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.new = _merged(self.new, (keys, self.used + np.cumsum(size) - size, size))
+        self.used += len(flat)
+        if 4 * len(self.new[0]) > len(self.old[0]):
+            self.old, self.new = _merged(self.old, self.new), (keys[:0], size[:0], size[:0])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of each word, -1 where it is unknown."""
+        at, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for known, places, sizes in (self.old, self.new):
+            if len(known):
+                i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[i] == keys
+                at[hit], size[hit] = places[i[hit]], sizes[i[hit]]
+        return at, size
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, without end tokens, and the offsets of each text's ids."""
@@ -72,28 +102,38 @@ class WordTokens:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         keys, first, inverse = np.unique(span_hashes(data, starts, ends, _IDENTITY), return_index=True, return_inverse=True)
-        if len(self.keys) > self.limit:
+        if len(self.old[0]) + len(self.new[0]) > self.limit:
             self.clear()
-        where = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[where] != keys) if len(self.keys) else np.arange(len(keys))
-        if len(new):
+        at, size = self.find(keys)
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
             raw = data.tobytes()
-            self.learn(keys[new], [raw[starts[i] : ends[i]].decode() for i in first[new]])
-            where = np.searchsorted(self.keys, keys)
-        at, size = self.at[where][inverse], self.size[where][inverse]
+            self.learn(keys[unknown], [raw[starts[i] : ends[i]].decode() for i in first[unknown]])
+            at, size = self.find(keys)
+        at, size = at[inverse], size[inverse]
         ends_at = np.cumsum(size)
         ids = self.pool[np.arange(int(ends_at[-1])) + np.repeat(at - ends_at + size, size)]
         bound = np.searchsorted(row, np.arange(len(offsets)))
         return ids, np.concatenate([[0], ends_at])[bound]
 
 
+def _merged(a: tuple, b: tuple) -> tuple:
+    keys = np.concatenate([a[0], b[0]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:], strict=True))
+
+
+#: One table for each tokenizer file, kept as long as its worker.
+_TABLES: dict[str, WordTokens] = {}
+
+
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece."""
     kind = documents.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]])
 
     def cut_up(batches):
-        words = WordTokens(tokenizer)
+        words = _TABLES.get(tokenizer) or _TABLES.setdefault(tokenizer, WordTokens(tokenizer))
         end = np.array([end_id], np.uint32)
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch["text"]):
