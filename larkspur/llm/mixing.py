@@ -82,7 +82,10 @@ def mix(documents: DataFrame, size: str = "size", seed: str = "mix", block: int
     ``part_words`` words. In each shard one text at most is taken in part.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    docs = documents.withColumn("_order", order)
+    made = {"size", "source_size", "target", "taken", "whole_turns", "part_words"}
+    kept = [c for c in documents.columns if c not in made]
+    # the rows travel whole in one column, so none of their names can clash
+    docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "doc_id", "source", F.col(f"`{size}`").alias(size), order.alias("_order"))
     targets = source_targets(docs.select("source", F.col(size).alias("size")))
     targets = targets.withColumn("_shards", F.ceil(F.col("docs") / F.lit(shard_docs)).cast("long"))
     # the table of sources is small by nature, but it is joined like any other: Spark may broadcast it after measuring it
@@ -102,9 +105,8 @@ def mix(documents: DataFrame, size: str = "size", seed: str = "mix", block: int
     whole = F.when(F.col("_words") > 0, F.floor(F.col("_take") / F.col("_words"))).otherwise(0).cast("long")
     rest = F.col("_take") - whole * F.col("_words")
     part = F.greatest(F.least(F.col("_at") + F.col(size), rest) - F.col("_at"), F.lit(0))
-    made = {"size", "source_size", "target", "taken", "whole_turns", "part_words"}
     return ringed.select(
-        *[F.col(f"`{c}`") for c in documents.columns if c not in made],
+        *[F.col("_row")[c].alias(c) for c in kept],
         F.col(size).cast("long").alias("size"),
         F.col("source_size").cast("long"),
         F.col("target"),
