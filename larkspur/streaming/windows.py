@@ -8,5 +8,5 @@ from pyspark.sql import functions as F
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Count and sum of value for each window and event type; rows later than the watermark are dropped by Spark."""
-    got = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    got = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return got.select(F.col("window.start").alias("start"), "event_type", "n", "total")
