@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bloom_lm, language_id, lattice_dedup, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, toxicity
-from larkspur.llm._common import remainder, table
+from larkspur.llm._common import cut, remainder, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -17,8 +17,6 @@ def word_count():
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
-    from larkspur.llm._common import cut
-
     return mixing.mix(cut(sized))
 
 
@@ -112,4 +110,51 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS
 FROM docs d LEFT JOIN kept k ON k.r = d.r
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_lines": _OP4_SQL}
+#: The highest-quotient rule itself: every quotient is written out and ranked.
+_OP1_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS ord
+  FROM documents
+),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM sized GROUP BY source),
+weighed AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM per),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM weighed WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+targets AS (
+  SELECT *, CASE WHEN cap / weight <= level THEN cap ELSE weight * max(level) FILTER (WHERE cap / weight > level) OVER () END AS target,
+    sum(source_size) OVER () // 16 AS blocks FROM levels
+),
+quotients AS (
+  SELECT source, source_size, blocks, target / (2 * k + 1) AS q, k
+  FROM (SELECT *, unnest(range(0, CAST(ceil(target / 16) AS BIGINT) + 3)) AS k FROM targets WHERE target > 0)
+),
+seats AS (
+  SELECT source, least(count(*), source_size * 3 // 16) AS quota
+  FROM (SELECT *, row_number() OVER (ORDER BY q DESC, source NULLS FIRST, k) AS r FROM quotients) WHERE r <= blocks GROUP BY source, source_size
+),
+placed AS (
+  SELECT d.*, t.source_size, t.target, CAST('0x' || substr(ord, 1, 8) AS BIGINT) % CAST(ceil(t.docs / 4096) AS BIGINT) AS shard
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+),
+shards AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words FROM placed GROUP BY source, shard),
+shard_quotients AS (
+  SELECT h.source, h.shard, s.quota, h.words / (2 * k + 1) AS q, k
+  FROM (SELECT *, unnest(range(0, words * 3 // 16 + 3)) AS k FROM shards WHERE words > 0) h JOIN seats s ON h.source IS NOT DISTINCT FROM s.source
+),
+shard_seats AS (
+  SELECT source, shard, count(*) AS seats
+  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q DESC, shard, k) AS r FROM shard_quotients) WHERE r <= quota GROUP BY source, shard
+),
+ringed AS (
+  SELECT p.*, h.words, least(coalesce(s.seats, 0) * 16, h.words * 3) AS take,
+    coalesce(sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM placed p JOIN shards h ON p.source IS NOT DISTINCT FROM h.source AND p.shard = h.shard
+  LEFT JOIN shard_seats s ON p.source IS NOT DISTINCT FROM s.source AND p.shard = s.shard
+)
+SELECT doc_id, source, size, source_size, target, CAST(w * size + part AS BIGINT) AS taken, CAST(w AS BIGINT) AS whole_turns, CAST(part AS BIGINT) AS part_words
+FROM (SELECT *, greatest(least(pos + size, take - w * words) - pos, 0) AS part FROM (SELECT *, CASE WHEN words > 0 THEN take // words ELSE 0 END AS w FROM ringed))
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix": _OP1_SQL, "op4_lines": _OP4_SQL}
