@@ -10,7 +10,9 @@ a few in 100,000 of a packing in one go, and no task holds more than a group.
 
 Words between ASCII blanks are tokenised once per worker and kept in a bounded
 cache; the tokenizer removes blanks and never joins what they part, so the ids
-equal those of the whole text (tested).
+equal those of the whole text (tested). It also parts a full stop or comma from
+an ASCII letter before it and lower-cases, so such a last character is a word of
+its own, and words that differ in the case of ASCII letters share an entry.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
 packed each on its own; an empty table gives no rows.
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm._common import cut, span_hashes, spans, text_chunks
+from larkspur.llm._common import LOWER, cut, span_hashes, spans, text_chunks
 
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 1 << 17
 _CACHE_WORDS = 1_500_000
 _IDENTITY = np.arange(256, dtype=np.uint8)
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 #: ASCII blanks only: code points that a tokenizer may treat in another way stay inside words.
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -101,7 +105,12 @@ class WordTokens:
         starts, ends, row = spans(data, offsets, _BLANK)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        keys, first, inverse = np.unique(span_hashes(data, starts, ends, _IDENTITY), return_index=True, return_inverse=True)
+        starts, ends, row = _without_stops(data, starts, ends, row)
+        keys = span_hashes(data, starts, ends, LOWER)
+        special = np.unique(np.searchsorted(starts, np.flatnonzero(data == 60), "right") - 1)
+        special = special[special >= 0]  # a special token's name counts only as it is written
+        keys[special] = span_hashes(data, starts[special], ends[special], _IDENTITY) ^ np.uint64(0x5851F42D4C957F2D)
+        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.old[0]) + len(self.new[0]) > self.limit:
             self.clear()
         at, size = self.find(keys)
@@ -117,6 +126,20 @@ class WordTokens:
         return ids, np.concatenate([[0], ends_at])[bound]
 
 
+def _without_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part one last full stop or comma from each word that has an ASCII letter before it."""
+    last = data[ends - 1]
+    part = ((last == 46) | (last == 44)) & (ends - starts > 1)
+    part[part] = _LETTER[data[ends[part] - 2]]
+    times = 1 + part
+    at = np.cumsum(times) - times
+    s, e = np.repeat(starts, times), np.repeat(ends, times)
+    stop = at[part] + 1
+    s[stop] = ends[part] - 1
+    e[stop - 1] -= 1
+    return s, e, np.repeat(row, times)
+
+
 def _merged(a: tuple, b: tuple) -> tuple:
     keys = np.concatenate([a[0], b[0]])
     order = np.argsort(keys, kind="stable")
