@@ -29,11 +29,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm._common import cut
+from larkspur.llm._common import cut, stored
 
 PERCENT = 90
 MIN_TOKENS = 5
-RANK_BUCKETS = 1 << 17
+RANK_BUCKETS = 1 << 16
 #: Rows that may be broadcast, after they are counted; each holds an id and a few places. More are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 BROADCAST_PLACES = 1 << 20
@@ -129,7 +129,7 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
         n.alias("n"),
         F.slice("keys", 1, n - F.ceil(percent * n / 100).cast("int") + 1).alias("prefix"),
     )
-    lines = cut(lines)
+    lines, drop_lines = stored(lines)
     same = ["set", "parity", "n"]  # equal tokens: a hash, and two more facts of the tokens
     classes = lines.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.first("prefix").alias("prefix"))
     postings = classes.select(F.col("first.d").alias("d"), F.col("first.ord").alias("ord"), "n", "parity", F.posexplode("prefix").alias("i", "key"))
@@ -139,7 +139,7 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
     near_size = postings.withColumn("reach", reach).where("reach").drop("reach")
     by_age = Window.partitionBy("key").orderBy("d", "ord")
     shared = near_size.withColumn("turn", F.row_number().over(by_age)).withColumn("x", F.first(F.struct("d", "ord", "n", "i", "parity")).over(by_age))
-    shared = cut(shared.select("key", "turn", "x", F.struct("d", "ord", "n", "i", "parity").alias("y")))
+    shared, drop_shared = stored(shared.select("key", "turn", "x", F.struct("d", "ord", "n", "i", "parity").alias("y")))
     pair = [F.col("y.d").alias("d"), F.col("y.ord").alias("ord"), F.col("x.d").alias("e_d"), F.col("x.ord").alias("e_ord")]
     near = _small(cut(_similar(shared.where(F.col("turn") > 1).where(_close("x", "y", percent)).select(*pair), documents, percent)))
     rest = shared.where("turn > 1").select("key", "y", F.col("y.d").alias("d"), F.col("y.ord").alias("ord"))
@@ -148,15 +148,19 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
     more = rest.select("key", F.col("y").alias("x")).join(left, (F.col("key") == F.col("k")) & earlier & _close("x", "y", percent))
     near = _small(cut(near.union(_similar(more.select(*pair), documents, percent)).distinct()))
 
-    near_sets = lines.select("d", "ord", *same).join(near, ["d", "ord"], "left_semi").select(*same).distinct().withColumn("near", F.lit(True))
-    firsts = lines.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.count(F.lit(1)).alias("lines")).join(near_sets, same, "left").where("lines > 1 or near")
+    # near names first lines of classes; the class follows its first line
+    told = lines.select("d", "ord", *same).join(near.withColumn("near", F.lit(True)), ["d", "ord"], "left")
+    firsts = told.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.count(F.lit(1)).alias("lines"), F.max("near").alias("near")).where("lines > 1 or near")
     gone = lines.select("d", "ord", *same).join(firsts, same).where(F.col("near").isNotNull() | (F.struct("d", "ord") != F.col("first")))
-    return gone.groupBy("d", F.shiftright("ord", 32).alias("v")).agg(F.collect_set(F.col("ord").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("places"))
+    out = cut(gone.groupBy("d", F.shiftright("ord", 32).alias("v")).agg(F.collect_set(F.col("ord").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("places")))
+    drop_lines()
+    drop_shared()
+    return out
 
 
 def drop_repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """All columns of ``documents`` with the text less its removed lines, plus n_lines and n_removed."""
-    gone = _small(cut(repeated_lines(documents, percent, min_tokens).select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("places").alias("_places"))), F.size("_places"))
+    gone = _small(repeated_lines(documents, percent, min_tokens).select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("places").alias("_places")), F.size("_places"))
     met = documents.join(gone, (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_d")) & (_version(F.col("text")) == F.col("_v")), "left")
     # the generator keeps the split from being computed for each of its uses
     met = met.select("*", F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("_lines"))
