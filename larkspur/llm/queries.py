@@ -157,4 +157,23 @@ SELECT doc_id, source, size, source_size, target, CAST(w * size + part AS BIGINT
 FROM (SELECT *, greatest(least(pos + size, take - w * words) - pos, 0) AS part FROM (SELECT *, CASE WHEN words > 0 THEN take // words ELSE 0 END AS w FROM ringed))
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mix": _OP1_SQL, "op4_lines": _OP4_SQL}
+_OP10_SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+members AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) >= 3 THEN array_to_string(w[i:i + 2], ' ') ELSE array_to_string(w, ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM worded WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM members GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM members a JOIN members b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))
+),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM reached r JOIN edges e ON e.x = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix": _OP1_SQL, "op4_lines": _OP4_SQL, "op10_jaccard": _OP10_SQL}
