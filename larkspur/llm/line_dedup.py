@@ -9,7 +9,7 @@ fewer than ``min_tokens`` tokens always stay.
 Tokens are ordered by rarity: a table of fixed size counts the words of all
 texts by hash bucket, and a token's rank is its bucket's count. Lines with equal
 tokens form a class. The prefix filter joins classes on the first ``n - ceil(t *
-n) + 1`` tokens; length and positional filters and the parities of 64 hash
+n) + 1`` tokens, of which the smaller set needs fewer; length and positional filters and the parities of 64 hash
 ranges bound the overlap before sets are compared. Each class is first compared
 with the earliest class under each key; only classes that this leaves in place
 are then compared with all earlier ones, so a large group of near copies does not
@@ -40,8 +40,8 @@ BROADCAST_PLACES = 1 << 20
 _NO_ID = -(2**63)
 
 
-def _blanked(text: Column, newline: bool = False) -> Column:
-    for c in ("\t", "\r", "\x0b", "\x0c", *(("\n",) if newline else ())):
+def _blanked(text: Column) -> Column:
+    for c in ("\t", "\r", "\x0b", "\x0c"):
         text = F.replace(text, F.lit(c), F.lit(" "))
     return text
 
@@ -52,7 +52,8 @@ def _words(line: Column) -> Column:
 
 def _ranks(documents: DataFrame) -> Column:
     """How common the words of each hash bucket are, as a constant array of RANK_BUCKETS numbers below 128."""
-    words = documents.select(F.explode(F.split(_blanked(F.col("text"), newline=True), " ")).alias("w")).where("w <> ''")
+    # rarer blanks are not told apart here: the order of tokens need only be the same everywhere
+    words = documents.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     got = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count().collect()  # at most RANK_BUCKETS rows
     ranks = [0] * RANK_BUCKETS
     for r in got:
@@ -85,12 +86,18 @@ def _need(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent))
 
 
+def _index_length(n: Column, percent: int) -> Column:
+    """How far into the smaller of two similar sets their first shared token can lie."""
+    return n - F.ceil(2 * percent * n / (100 + percent)).cast("int") + 1
+
+
 def _close(x: str, y: str, percent: int) -> Column:
     """Length, positional and parity filters on two postings of one key."""
     a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
     room = F.least(a - F.col(f"{x}.i"), b - F.col(f"{y}.i")) + F.least(F.col(f"{x}.i"), F.col(f"{y}.i"))
     apart = F.bit_count(F.col(f"{x}.parity").bitwiseXOR(F.col(f"{y}.parity")))
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (room >= _need(a, b, percent)) & (apart <= a + b - 2 * _need(a, b, percent))
+    low = F.when(a <= b, F.col(f"{x}.i")).otherwise(F.col(f"{y}.i"))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (low < _index_length(F.least(a, b), percent)) & (room >= _need(a, b, percent)) & (apart <= a + b - 2 * _need(a, b, percent))
 
 
 def _small(df: DataFrame, places: Column | None = None) -> DataFrame:
@@ -133,10 +140,12 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
     same = ["set", "parity", "n"]  # equal tokens: a hash, and two more facts of the tokens
     classes = lines.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.first("prefix").alias("prefix"))
     postings = classes.select(F.col("first.d").alias("d"), F.col("first.ord").alias("ord"), "n", "parity", F.posexplode("prefix").alias("i", "key"))
-    by_size = Window.partitionBy("key").orderBy("n")
-    reach = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
-    # rows that no other row of their key is near in size are left behind
-    near_size = postings.withColumn("reach", reach).where("reach").drop("reach")
+    # a pair's smaller set holds the key in its index prefix; rows without such a partner of near size are left behind
+    by_size = Window.partitionBy("key").orderBy("n", "i")
+    indexed = F.col("i") < _index_length(F.col("n"), percent)
+    larger = 100 * F.col("n") >= percent * F.lead("n").over(by_size)
+    smaller = 100 * F.last(F.when(indexed, F.col("n")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= percent * F.col("n")
+    near_size = postings.withColumn("reach", F.coalesce(indexed & larger, F.lit(False)) | F.coalesce(smaller, F.lit(False))).where("reach").drop("reach")
     by_age = Window.partitionBy("key").orderBy("d", "ord")
     shared = near_size.withColumn("turn", F.row_number().over(by_age)).withColumn("x", F.first(F.struct("d", "ord", "n", "i", "parity")).over(by_age))
     shared, drop_shared = stored(shared.select("key", "turn", "x", F.struct("d", "ord", "n", "i", "parity").alias("y")))
