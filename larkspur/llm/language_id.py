@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from larkspur.llm._common import LOWER, bounded_sample, text_chunks
 
 DIMS = 4096
-FIT_ROWS = 3000
+FIT_ROWS = 2400
 CENTROIDS = 4
 
 #: Bytes as n-grams see them: letters lower-cased, bytes of longer code points kept, all else blank.
@@ -63,7 +63,7 @@ class Model:
     """idf weights, centroids with their languages, and the rejection floor of each language."""
 
     def __init__(self, counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS, slack: float = 0.25):
-        self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+        self.idf = np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + np.float32(0.1)
         self.langs = sorted(set(langs))
         x, own = self.vectors(counts), np.array(langs)
         parts, owner, self.floor = [], [], []
@@ -75,7 +75,11 @@ class Model:
         self.centroids, self.owner = np.concatenate(parts), np.array(owner)
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(np.log1p(counts).astype(np.float32) * self.idf)
+        """``counts``: log(1 + tf)."""
+        x = counts.astype(np.float32)
+        x *= self.idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return x
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         near = self.vectors(counts) @ self.centroids.T
@@ -110,11 +114,11 @@ def fit(documents: DataFrame, where: Column | None = None, fit_rows: int = FIT_R
     def featurise(batches):
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch["text"]):
-                counts = np.minimum(gram_counts(data, offsets), 2**32 - 1).astype(np.uint32)
+                counts = np.log1p(gram_counts(data, offsets)).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch["lang"].slice(lo, hi - lo), pa.array([r.tobytes() for r in counts], pa.binary())], ["lang", "counts"])
 
     got = picked.mapInArrow(featurise, "lang string, counts binary").collect()
-    return Model(np.stack([np.frombuffer(r.counts, np.uint32) for r in got]), [r.lang for r in got], centroids)
+    return Model(np.frombuffer(b"".join(r.counts for r in got), np.float16).reshape(len(got), DIMS), [r.lang for r in got], centroids)
 
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -134,7 +138,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             lang, score, far = np.zeros(len(batch), int), np.zeros(len(batch)), np.zeros(len(batch), bool)
             for lo, hi, data, offsets in text_chunks(batch["text"]):
-                lang[lo:hi], score[lo:hi], far[lo:hi] = m.predict(gram_counts(data, offsets))
+                lang[lo:hi], score[lo:hi], far[lo:hi] = m.predict(np.log1p(gram_counts(data, offsets)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[lang], pa.string()), pa.array(score), pa.array(far)], names=[*batch.schema.names, "_lang", "score", "_far"])
 
     lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
