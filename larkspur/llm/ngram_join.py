@@ -8,8 +8,8 @@ Any order gives exact results; a rare-first order keeps shared keys few.
 Texts with equal sets form a class, and only classes are joined. The prefix
 filter joins classes on shingles among the first ``n - ceil(t * n) + 1``; length
 and positional filters bound the overlap; the suffix filter compares parities
-of set members in 2,048 hash ranges (folded to 256 where rows are many), a lower
-bound on the Hamming distance. Candidates are made distinct and verified once.
+of set members in hash ranges, 2,048 or twice the set's size (folded to 256 where
+rows are many), a lower bound on the Hamming distance. Candidates are made distinct and verified once.
 
 Links are sought in two rounds. First each key's classes are compared with one
 of them, the class with the most copies. Then, within keys that still hold
@@ -103,7 +103,8 @@ def prefixes(documents: DataFrame, n: int, percent: int) -> DataFrame:
                     size = int(bound[i + 1] - bound[i])
                     p = size - -(-(percent * size) // 100) + 1
                     prefix.append(np.sort(keys[own])[: p if size else 0].tobytes())
-                    odd = np.packbits(np.bincount((grams[own] & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1)
+                    ranges = max(RANGES, 1 << (2 * size - 1).bit_length()) if size else RANGES
+                    odd = np.packbits(np.bincount((grams[own] & np.uint64(ranges - 1)).astype(np.int64), minlength=ranges) & 1)
                     parity.append(odd.tobytes())
                     fold.append(np.bitwise_xor.reduce(odd.reshape(-1, _FOLD // 8)).tobytes())
                     ids[i] = set_hash(grams[own])
@@ -131,6 +132,12 @@ def _postings(classes: DataFrame) -> DataFrame:
     return classes.select("set_id", "n", "copies", "prefix").mapInArrow(explode, "key long, set_id long, n long, copies long, at int")
 
 
+def _apart(x: bytes, y: bytes) -> int:
+    """How many hash ranges differ in parity, the longer one folded to the shorter."""
+    a, b = (np.frombuffer(z, np.uint64) for z in sorted((x, y), key=len))
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets reach the similarity."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -139,10 +146,9 @@ def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int
 
     def close(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(-1, RANGES // 64) for c in ("a_parity", "b_parity"))
             nx, ny = batch["a_n"].to_numpy(), batch["b_n"].to_numpy()
-            ok = np.bitwise_count(x ^ y).sum(axis=1) <= nx + ny - 2 * required(nx, ny, percent)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            apart = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch["a_parity"], batch["b_parity"], strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= nx + ny - 2 * required(nx, ny, percent)))
 
     pairs = cut(pairs.select("a", "b", "a_n", "b_n", "a_parity", "b_parity").mapInArrow(close, "a long, b long"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes.select("set_id", F.col("first_id").alias("_id")), "set_id")
