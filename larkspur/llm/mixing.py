@@ -88,20 +88,22 @@ def mix(documents: DataFrame, size: str = "size", seed: str = "mix", block: int
     docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "doc_id", "source", F.col(f"`{size}`").alias(size), order.alias("_order"))
     targets = source_targets(docs.select("source", F.col(size).alias("size")))
     targets = targets.withColumn("_shards", F.ceil(F.col("docs") / F.lit(shard_docs)).cast("long"))
+    # sources under a key that is never null, so that joins and windows share one partitioning and rows move once
+    key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
+    targets, docs = targets.withColumn("_key", key), docs.withColumn("_key", key)
     # the table of sources is small by nature, but it is joined like any other: Spark may broadcast it after measuring it
-    placed = docs.join(targets.withColumnRenamed("source", "_source"), docs["source"].eqNullSafe(F.col("_source")))
+    placed = docs.join(targets.select("_key", "source_size", "target", "_shards"), "_key")
     placed = placed.withColumn("_shard", F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.col("_shards")))
-    shards = placed.groupBy("_source", "_shard").agg(F.sum(size).alias("_words"))
+    shards = placed.groupBy("_key", "_shard").agg(F.sum(size).alias("_words"))
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
-    seats = _seats(targets.select(F.col("source").alias("_source"), "source_size", "target", F.floor(total / block).alias("_blocks")), [], "target", "_blocks", "_source")
+    seats = _seats(targets.select("_key", "source_size", "target", F.floor(total / block).alias("_blocks")), [], "target", "_blocks", "_key")
     # a quota never passes max_repeat turns of its source
-    seats = seats.select("_source", F.least(F.col("seats"), F.floor(F.col("source_size") * MAX_REPEAT / block)).cast("long").alias("_quota"))
-    shard_in = shards.join(seats.withColumnRenamed("_source", "_s"), shards["_source"].eqNullSafe(F.col("_s"))).drop("_s")
-    quotas = _seats(shard_in, ["_source"], "_words", "_quota", "_shard")
-    quotas = quotas.select(F.col("_source").alias("_qs"), F.col("_shard").alias("_qn"), F.col("_words"), F.least(F.col("seats") * block, F.col("_words") * MAX_REPEAT).alias("_take"))
-    ring = Window.partitionBy("_source", "_shard").orderBy("_order", "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
+    seats = seats.select("_key", F.least(F.col("seats"), F.floor(F.col("source_size") * MAX_REPEAT / block)).cast("long").alias("_quota"))
+    quotas = _seats(shards.join(seats, "_key"), ["_key"], "_words", "_quota", "_shard")
+    quotas = quotas.select("_key", "_shard", "_words", F.least(F.col("seats") * block, F.col("_words") * MAX_REPEAT).alias("_take"))
+    ring = Window.partitionBy("_key", "_shard").orderBy("_order", "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
     ringed = placed.withColumn("_at", F.coalesce(F.sum(size).over(ring), F.lit(0)))
-    ringed = ringed.join(quotas, ringed["_source"].eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qn")))
+    ringed = ringed.join(quotas, ["_key", "_shard"])
     whole = F.when(F.col("_words") > 0, F.floor(F.col("_take") / F.col("_words"))).otherwise(0).cast("long")
     rest = F.col("_take") - whole * F.col("_words")
     part = F.greatest(F.least(F.col("_at") + F.col(size), rest) - F.col("_at"), F.lit(0))
