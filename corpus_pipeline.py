@@ -10,11 +10,11 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import language_id, line_dedup, mixing, ngram_join, packing
-from larkspur.llm._common import shared_folder, table
+from larkspur.llm._common import cut, shared_folder, table
 from larkspur.llm.queries import word_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,10 +33,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 0.8 Jaccard similarity of five-word shingles, the smallest doc_id stays, once."""
     found = ngram_join.link_components(docs, 5, 80)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return kept.withColumn("_turn", F.row_number().over(once)).where("_turn = 1").select(*COLUMNS)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("rows")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = docs.join(counted(ids.where("not stays")), same, "left_anti").select(*COLUMNS)
+    repeated = ids.where("stays and rows > 1").select("_id")
+    if repeated.isEmpty():
+        return kept
+    repeated = counted(repeated)
+    return kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def counted(ids: DataFrame) -> DataFrame:
+    """Ids marked for broadcast if there are few enough; more are joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= ngram_join.BROADCAST_IDS else ids
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
