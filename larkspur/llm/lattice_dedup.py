@@ -89,35 +89,45 @@ def cells(vectors: np.ndarray, tables: int, probes: int, scale: float = SCALE, s
     return out
 
 
-def _members(classes: DataFrame, tables: int, probes: int) -> DataFrame:
-    """A row for each class and cell: at home in it (probe false) or probing it."""
-    schema = "label string, cell long, slot int, probe boolean, class long, copies long, vector binary, cells binary"
+def _with_cells(classes: DataFrame, tables: int, probes: int) -> DataFrame:
+    """The classes with their cells in all tables."""
+    schema = T.StructType([*classes.schema.fields, T.StructField("cells", T.BinaryType())])
 
     def place(batches):
         for batch in batches:
             vectors = [np.frombuffer(v.as_py(), np.float64) for v in batch["vector"]]
+            out: list[bytes] = [b""] * len(vectors)
             for size in sorted({len(v) for v in vectors}):
-                at = np.array([i for i, v in enumerate(vectors) if len(v) == size])
+                at = [i for i, v in enumerate(vectors) if len(v) == size]
                 for lo in range(0, len(at), 512):
                     part = at[lo : lo + 512]
                     x = np.stack([vectors[i] for i in part])
-                    found = cells(x / np.linalg.norm(x, axis=1, keepdims=True), tables, probes)
-                    rows = batch.take(pa.array(part))
-                    for t in range(tables):
-                        for k in range(1 + probes):
-                            yield pa.RecordBatch.from_arrays(
-                                [rows["label"], pa.array(found[:, t, k].view(np.int64)), pa.array(np.full(len(part), t, np.int32)), pa.array(np.full(len(part), k > 0)), rows["class"], rows["copies"], rows["vector"], pa.array([f.tobytes() for f in found], pa.binary())],
-                                names=["label", "cell", "slot", "probe", "class", "copies", "vector", "cells"],
-                            )
+                    for i, found in zip(part, cells(x / np.linalg.norm(x, axis=1, keepdims=True), tables, probes), strict=True):
+                        out[i] = found.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.names)
 
-    return classes.select("label", "class", "copies", "vector").mapInArrow(place, schema)
+    return classes.mapInArrow(place, schema)
+
+
+def _places(classes: DataFrame, probes: int) -> DataFrame:
+    """A row for each class and cell, without the vector: at home in it (probe false) or probing it."""
+
+    def explode(batches):
+        for batch in batches:
+            found = np.frombuffer(b"".join(batch["cells"].to_pylist()), np.int64).reshape(len(batch), -1)
+            n = found.shape[1] if len(batch) else 0
+            row = pa.array(np.repeat(np.arange(len(batch)), n))
+            yield pa.RecordBatch.from_arrays([batch["label"].take(row), pa.array(found.ravel()), pa.array(np.tile(np.arange(n) % (1 + probes) > 0, len(batch))), batch["class"].take(row)], names=["label", "cell", "probe", "class"])
+
+    return classes.select("label", "class", "cells").mapInArrow(explode, "label string, cell long, probe boolean, class long")
 
 
 def _compare(tables: int, probes: int, least: float):
     def compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         ids, copies = group["class"].to_numpy(), group["copies"].to_numpy()
-        side, probe, slot = group["side"].to_numpy(), group["probe"].to_numpy(zero_copy_only=False), int(group["slot"][0].as_py())
+        side, probe = group["side"].to_numpy(), group["probe"].to_numpy(zero_copy_only=False)
         codes = np.frombuffer(b"".join(group["cells"].to_pylist()), np.uint64).reshape(len(ids), tables, 1 + probes)
+        slot = int(np.argwhere(codes[0] == np.uint64(key[1].as_py() % 2**64))[0][0])  # the table this cell is of
         sizes = np.array([len(v.as_py()) for v in group["vector"]])
         links, parent = np.zeros(len(ids), np.int64), {int(i): int(i) for i in ids}
 
@@ -171,17 +181,17 @@ def link(embeddings: DataFrame, least: float = 0.98, tables: int = TABLES, probe
 
     classes = known.mapInArrow(pack, T.StructType([T.StructField("label", T.StringType()), T.StructField("first_id", kind), T.StructField("copies", T.LongType()), T.StructField("vector", T.BinaryType())]))
     # two hashes of which the first orders and names the class
-    classes = cut(classes.withColumn("class", F.xxhash64("label", "vector")))
-    members = _members(classes, tables, probes)
-    key = ["label", "cell", "slot"]
-    # cells that no pair can meet in are left behind before vectors are shuffled
-    slim = members.select(*key, "probe")
-    busy = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("held"), F.sum(F.when(F.col("probe"), 0).otherwise(1)).alias("home")).where("held > 1 and home > 0")
+    classes = cut(_with_cells(classes.withColumn("class", F.xxhash64("label", "vector")), tables, probes))
+    members = _places(classes, probes)
+    key = ["label", "cell"]
+    # only cells in which a pair can meet get their vectors; most cells hold one class
+    busy = members.groupBy(*key).agg(F.count(F.lit(1)).alias("held"), F.sum(F.when(F.col("probe"), 0).otherwise(1)).alias("home")).where("held > 1 and home > 0")
     busy = busy.withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
     placed = members.join(busy, key).withColumn("at", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     # each ordered pair of blocks is a group; a row is on the left (1), on the right (2) or, in a block of its own, on both
     turns = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.array(F.struct(F.col("at").alias("l"), k.alias("r"), F.when(F.col("at") == k, 3).otherwise(1).alias("side")), F.struct(k.alias("l"), F.col("at").alias("r"), F.when(F.col("at") == k, 0).otherwise(2).alias("side"))))
-    dealt = placed.withColumn("_t", F.explode(F.flatten(turns))).where("_t.side > 0").select(*key, F.col("_t.l").alias("l"), F.col("_t.r").alias("r"), F.col("_t.side").alias("side"), "probe", "class", "copies", "vector", "cells")
+    dealt = placed.withColumn("_t", F.explode(F.flatten(turns))).where("_t.side > 0").select(*key, F.col("_t.l").alias("l"), F.col("_t.r").alias("r"), F.col("_t.side").alias("side"), "probe", "class")
+    dealt = dealt.join(classes.select("class", "copies", "vector", "cells"), "class")
     got = cut(dealt.groupBy(*key, "l", "r").applyInArrow(_compare(tables, probes, least), "class long, links long, root long"))
     parts = connected_components(got.select(F.col("class").alias("a"), F.col("root").alias("b")))
     counts = got.groupBy("class").agg(F.sum("links").alias("links"))
