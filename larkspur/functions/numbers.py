@@ -176,3 +176,41 @@ def elementwise(a: Column, b: Column, op, a_list: bool = False, b_list: bool = F
     if a_list:
         return F.transform(a, lambda x: op(x, b))
     return F.transform(b, lambda x: op(a, x)) if b_list else op(a, b)
+
+
+def list_sum(a: Column) -> Column:
+    """Of a list's values, nulls left out; null for an empty list."""
+    known = F.filter(a, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast(_WIDE), lambda t, x: (t + x).cast(_WIDE)))
+
+
+def list_average(a: Column) -> Column:
+    known = F.filter(a, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda t, x: t + x) / F.size(known))
+
+
+def list_product(a: Column) -> Column:
+    known = F.filter(a, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(1).cast(_WIDE), lambda t, x: (t * x.cast("decimal(19,0)")).cast(_WIDE)))
+
+
+def boolean(x: Column) -> Column:
+    """Numbers are true unless zero."""
+    return x != 0
+
+
+def enum_name(discriminant: Column, variants: dict[str, int]) -> Column:
+    """The variant with a discriminant; an error for an unknown one."""
+    table = F.create_map(*[F.lit(v) for k, d in variants.items() for v in (d, k)])
+    name = F.try_element_at(table, discriminant)
+    return F.when(discriminant.isNull() | name.isNotNull(), name).otherwise(F.raise_error(F.lit("no variant has this discriminant")))
+
+
+def enum_value(name: Column, variants: dict[str, int]) -> Column:
+    table = F.create_map(*[F.lit(v) for k, d in variants.items() for v in (k, d)])
+    value = F.try_element_at(table, name)
+    return F.when(name.isNull() | value.isNotNull(), value).otherwise(F.raise_error(F.lit("no such variant")))
+
+
+def uuid() -> Column:
+    return F.uuid()

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.catalog import PRIMITIVES, Alias, Catalog, Composite, Enum, Interface
 from larkspur.lineage import cut
 
 ALL = -1
@@ -38,6 +39,9 @@ class Result:
     def __sub__(self, other: Result) -> Result:
         return self._prune(self.nodes.join(other.nodes, "id", "left_anti"))
 
+    def sorted(self, *by: str) -> DataFrame:
+        return self.table().orderBy(*by)
+
     def table(self) -> DataFrame:
         """source, label and target of each edge; nodes without one have empty label and target."""
         ends = self.edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
@@ -113,7 +117,70 @@ class Graph:
         """What is there and what the axis reaches."""
         return start | self.step(start, name, depth)
 
+    def either(self, start: Result, names: list[str]) -> Result:
+        """What any of several axes reaches."""
+        found = self.step(start, names[0])
+        for name in names[1:]:
+            found = found | self.step(start, name)
+        return found
+
+    def chain(self, start: Result, names: list[str]) -> Result:
+        """Axis after axis; the edges of the last one stay."""
+        for name in names[:-1]:
+            start = self.pipe(start, name)
+        return self.step(start, names[-1])
+
+    def repeat(self, start: Result, names: list[str], depth: int = ALL) -> Result:
+        """The chain of axes again and again from the nodes it finds first, ``depth`` times or to the end."""
+        found, front, seen, n = Result(start.nodes.limit(0), start.edges.limit(0)), start, start.nodes, 0
+        while depth == ALL or n < depth:
+            got = self.chain(front, names)
+            fresh = cut(got.nodes.join(seen, "id", "left_anti"))
+            found, n = Result(found.nodes.union(got.nodes).distinct(), cut(found.edges.union(got.edges).distinct())), n + 1
+            if fresh.isEmpty():
+                break
+            seen, front = cut(seen.union(fresh)), Result(fresh, start.edges.limit(0))
+        return found
+
+    def label(self, found: Result, names: DataFrame, end: str = "target") -> Result:
+        """Edges labelled by what ``names`` (id, label) says of their target or source; edges without one keep theirs."""
+        told = found.edges.withColumnRenamed("label", "_old").join(names, F.col(end) == F.col("id"), "left")
+        return Result(found.nodes, told.select(F.coalesce("label", "_old").alias("label"), "source", "target"))
+
+    def project(self, found: Result, name: str) -> Result:
+        """Each edge's target replaced by what an axis leads to from it; edges whose target it does not leave go."""
+        onward = self.axis(name).select(F.col("source").alias("_from"), F.col("target").alias("_to"))
+        edges = found.edges.join(onward, F.col("target") == F.col("_from")).select("label", "source", F.col("_to").alias("target")).distinct()
+        return Result(edges.select(F.col("target").alias("id")).distinct(), edges)
+
     def pipe(self, start: Result, name: str, depth: int = 1) -> Result:
         """What the axis reaches, without edges."""
         got = self.step(start, name, depth)
         return Result(got.nodes, got.edges.limit(0))
+
+
+def schema_graph(spark: SparkSession, catalog: Catalog) -> Graph:
+    """The types of a catalog as nodes, and how they hang together as edges."""
+    kinds = {Composite: "composites", Interface: "interfaces", Enum: "enums", Alias: "aliases"}
+    nodes = [(p, "primitives", p) for p in PRIMITIVES]
+    edges = []
+    for name, t in catalog.types.items():
+        if t is None:
+            continue
+        nodes.append((name, kinds[type(t)], name))
+        if isinstance(t, Alias):
+            edges.append(("alias", name, t.type))
+        if isinstance(t, Composite):
+            edges += [("interfaces", name, i) for i in t.interfaces] + [("extends", name, t.parent)] * bool(t.parent)
+        if isinstance(t, Interface):
+            edges += [("extends", name, p) for p in t.parents]
+        if isinstance(t, Enum):
+            for v in t.variants:
+                nodes.append((f"{name}.{v}", "variants", v))
+                edges.append(("variants", name, f"{name}.{v}"))
+        for f in getattr(t, "fields", []):
+            nodes.append((f"{name}.{f.name}", "fields", f.name))
+            edges += [("fields", name, f"{name}.{f.name}"), ("type", f"{name}.{f.name}", f.type.removesuffix("[]"))]
+    frame = spark.createDataFrame(nodes, "id string, selector string, name string")
+    groups = {"types": ["composites", "interfaces", "enums", "aliases", "primitives"], "all_fields": ["fields", "variants"]}
+    return Graph(frame, spark.createDataFrame(edges, "axis string, source string, target string"), groups, {"owner": "fields", "children": "extends", "implementers": "interfaces"})

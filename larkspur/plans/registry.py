@@ -428,6 +428,22 @@ def math_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", total.alias("f")).select("p_partkey", "f.num", "f.den")
 
 
+@query(
+    f"""SELECT p_partkey, CAST(coalesce(a[1], 0) + coalesce(a[2], 0) + coalesce(a[3], 0) + coalesce(a[4], 0) AS VARCHAR) AS total, round(list_avg(a), 6) AS mean,
+    CAST(coalesce(a[1], 1) * coalesce(a[2], 1) * coalesce(a[3], 1) * coalesce(a[4], 1) AS VARCHAR) AS product FROM ({_A})"""
+)
+def math_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("a")
+    return _sizes(spark, sf_dir).select("p_partkey", N.list_sum(a).cast("string").alias("total"), F.round(N.list_average(a), 6).alias("mean"), N.list_product(a).cast("string").alias("product"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'blue' END AS colour, CAST(p_size % 3 + 5 AS INTEGER) AS level, p_size > 25 AS large FROM part")
+def math_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    colours = {"red": 5, "green": 6, "blue": 7}
+    name = N.enum_name((F.col("p_size") % 3 + 5).cast("int"), colours)
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("colour"), N.enum_value(name, colours).alias("level"), N.boolean(F.greatest(F.col("p_size") - 25, F.lit(0))).alias("large"))
+
+
 @query("SELECT 5 AS a, 2 AS b, CAST(-4 AS BIGINT) AS c, 'x5' AS d")
 def evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(5).alias("a"), F.size(N.number_range(0, 10, 5)).alias("b"), N.floor_div(F.lit(-7), F.lit(2)).alias("c"), F.concat(F.lit("x"), F.lit(5).cast("string")).alias("d"))
@@ -561,6 +577,38 @@ def graph_union_and_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (g.select("regions", ["ASIA"], but=True) | g.select("nations")).table()
 
 
+@query("SELECT DISTINCT 'n' || c_nationkey AS source, 'region' AS label, 'r' || n_regionkey AS target FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000")
+def graph_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"))
+    start = g.select("customers")
+    start.nodes = start.nodes.join(rich, "id", "left_semi")
+    got = g.chain(start, ["nation", "region"])
+    return got.edges.select("source", "label", "target")
+
+
+@query("SELECT 'n' || n_nationkey AS source, r_name AS label, 'r' || n_regionkey AS target FROM nation JOIN region ON n_regionkey = r_regionkey")
+def graph_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    return g.label(g.step(g.select("nations"), "region"), g.nodes.select("id", F.col("name").alias("label"))).edges.select("source", "label", "target")
+
+
+@query("SELECT DISTINCT 'c' || c_custkey AS source, 'nation' AS label, 'r' || n_regionkey AS target FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def graph_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    return g.project(g.step(g.select("customers"), "nation"), "region").edges.select("source", "label", "target")
+
+
+@query(
+    """WITH RECURSIVE walk AS (SELECT 24 AS s, 12 AS m, 6 AS t UNION SELECT t, t // 2, t // 4 FROM walk WHERE t // 2 > 0)
+    SELECT 'n' || m AS source, 'next' AS label, 'n' || t AS target FROM walk"""
+)
+def graph_repeated_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps of an axis at a time, until nothing is new."""
+    g = graph(spark, sf_dir)
+    return g.repeat(g.select("nations", ["NATION_24"]), ["next", "next"]).edges.select("source", "label", "target")
+
+
 @query("SELECT value FROM (SELECT 'digraph {' AS value UNION ALL SELECT '}' UNION ALL SELECT '\"n' || n_nationkey || '\" -> \"r' || n_regionkey || '\" [label=\"region\"];' FROM nation)")
 def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)

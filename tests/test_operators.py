@@ -9,7 +9,7 @@ from larkspur.functions import collections as C
 from larkspur.functions import numbers as N
 from larkspur.functions import strings as S
 from larkspur.operators import change
-from larkspur.operators.graph import ALL, Graph
+from larkspur.operators.graph import ALL, Graph, schema_graph
 from larkspur.operators.predicates import all_of, any_of, none_of, variant, where
 from larkspur.operators.select import Agg, collect, exact_product, follow, select
 from larkspur.sources import dump, tables
@@ -204,6 +204,19 @@ def test_graph_cycle_ends(spark):
     assert g.select("unknown").nodes.count() == 0
 
 
+def test_schema_graph(spark):
+    c = Catalog()
+    c.interface("Named", [Field("name", "string")])
+    c.composite("Person", [Field("boss", "Person")], ("Named",))
+    c.enum("Color", ["red"])
+    g = schema_graph(spark, c)
+    got = g.add(g.select("composites"), "interfaces").table().collect()
+    assert [tuple(r) for r in got] == [("Person", "interfaces", "Named")]
+    types = g.project(g.step(g.select("composites"), "fields"), "type").sorted("target").collect()
+    assert [(r["source"], r["target"]) for r in types] == [("Person", "Person"), ("Person", "string")]
+    assert {r["target"] for r in g.either(g.select("types"), ["variants", "owner"]).edges.collect()} == {"Color.red"}
+
+
 def test_stream_windows(spark, tmp_path):
     from larkspur.streaming.windows import tumbling
 
