@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from larkspur.llm._common import CHUNK_BYTES, cut, mix64, text_chunks
 
 LENGTH = 100
-GRAM = 24
+GRAM = 40
 FINE_GRAM = 96
 HOT = 8192
 #: Rows and spans that may be broadcast, after they are counted. More are joined by a shuffle.
