@@ -46,18 +46,19 @@ def _blanked(text: Column) -> Column:
     return text
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+def _hashes(line: Column) -> Column:
+    """Hashes of a line's words, of which there are some twice."""
+    return F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def _ranks(documents: DataFrame) -> Column:
-    """How common the words of each hash bucket are, as a constant array of RANK_BUCKETS numbers below 128."""
+    """How common the words of each hash bucket are, as a constant array of RANK_BUCKETS numbers below 128, in the highest byte."""
     # rarer blanks are not told apart here: the order of tokens need only be the same everywhere
     words = documents.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
     got = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count().collect()  # at most RANK_BUCKETS rows
     ranks = [0] * RANK_BUCKETS
     for r in got:
-        ranks[r["bucket"]] = min(127, round(4 * math.log2(r["count"])))
+        ranks[r["bucket"]] = min(127, round(4 * math.log2(r["count"]))) << 56
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded to a constant
 
 
@@ -67,8 +68,7 @@ def _bucket(h: Column) -> Column:
 
 def _keys(line: Column, ranks: Column) -> Column:
     """Sorted distinct token keys of a line, rare first: rank, then hash."""
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, _bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))))
+    return F.sort_array(F.array_distinct(F.transform(_hashes(line), lambda h: F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -112,10 +112,10 @@ def _similar(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select(F.explode(F.array(F.struct("d", "ord"), F.struct(F.col("e_d").alias("d"), F.col("e_ord").alias("ord")))).alias("x")).select("x.d", "x.ord")
     wanted = ends.groupBy("d", F.shiftright("ord", 32).alias("v")).agg(F.collect_set(F.col("ord").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("places"))
     wanted = _small(cut(wanted.withColumnRenamed("d", "w_d").withColumnRenamed("v", "w_v")), F.size("places"))
-    docs = documents.where("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), _version(F.col("text")).alias("v"), "text")
-    met = docs.join(wanted, (F.col("d") == F.col("w_d")) & (F.col("v") == F.col("w_v")))
-    lines = met.select("d", "v", "places", F.explode(F.array(F.split(_blanked(F.col("text")), "\n"))).alias("lines")).select("d", "v", F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x"))
-    sets = lines.select("d", F.shiftleft("v", 32).bitwiseOR(F.col("x.pos").cast("long")).alias("ord"), F.array_distinct(F.transform(_words(F.col("x.line")), lambda w: F.xxhash64(w))).alias("words"))
+    docs = documents.where("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "text")
+    met = docs.join(wanted, F.col("d") == F.col("w_d")).where(_version(F.col("text")) == F.col("w_v"))
+    lines = met.select("d", F.col("w_v").alias("v"), "places", F.explode(F.array(F.split(_blanked(F.col("text")), "\n"))).alias("lines")).select("d", "v", F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x"))
+    sets = lines.select("d", F.shiftleft("v", 32).bitwiseOR(F.col("x.pos").cast("long")).alias("ord"), F.array_distinct(_hashes(F.col("x.line"))).alias("words"))
     sets = sets.dropDuplicates(["d", "ord"])
     both = pairs.join(sets, ["d", "ord"]).join(sets.select(F.col("d").alias("e_d"), F.col("ord").alias("e_ord"), F.col("words").alias("e_words")), ["e_d", "e_ord"])
     shared = F.size(F.array_intersect("words", "e_words"))
@@ -147,15 +147,17 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
     smaller = 100 * F.last(F.when(indexed, F.col("n")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= percent * F.col("n")
     near_size = postings.withColumn("reach", F.coalesce(indexed & larger, F.lit(False)) | F.coalesce(smaller, F.lit(False))).where("reach").drop("reach")
     by_age = Window.partitionBy("key").orderBy("d", "ord")
-    shared = near_size.withColumn("turn", F.row_number().over(by_age)).withColumn("x", F.first(F.struct("d", "ord", "n", "i", "parity")).over(by_age))
-    shared, drop_shared = stored(shared.select("key", "turn", "x", F.struct("d", "ord", "n", "i", "parity").alias("y")))
-    pair = [F.col("y.d").alias("d"), F.col("y.ord").alias("ord"), F.col("x.d").alias("e_d"), F.col("x.ord").alias("e_ord")]
-    near = _small(cut(_similar(shared.where(F.col("turn") > 1).where(_close("x", "y", percent)).select(*pair), documents, percent)))
-    rest = shared.where("turn > 1").select("key", "y", F.col("y.d").alias("d"), F.col("y.ord").alias("ord"))
-    left = rest.join(near, ["d", "ord"], "left_anti").select(F.col("key").alias("k"), "y")
+    row = F.struct("d", "ord", "n", "i", "parity")
+    shared = near_size.withColumn("turn", F.row_number().over(by_age)).withColumn("x", F.first(row).over(by_age)).where("turn > 1").withColumn("y", row)
+    first = F.when(_close("x", "y", percent), F.struct(F.col("x.d").alias("e_d"), F.col("x.ord").alias("e_ord")))
+    shared, drop_shared = stored(shared.select("key", "d", "ord", "n", "i", "parity", first.alias("first")))
+    near = _small(cut(_similar(shared.where("first is not null").select("d", "ord", "first.*"), documents, percent)))
+    rest = shared.drop("first")
+    left = rest.join(near, ["d", "ord"], "left_anti").withColumnRenamed("key", "k").alias("y")
     earlier = (F.col("x.d") < F.col("y.d")) | ((F.col("x.d") == F.col("y.d")) & (F.col("x.ord") < F.col("y.ord")))
-    more = rest.select("key", F.col("y").alias("x")).join(left, (F.col("key") == F.col("k")) & earlier & _close("x", "y", percent))
-    near = _small(cut(near.union(_similar(more.select(*pair), documents, percent)).distinct()))
+    more = rest.alias("x").join(left, (F.col("key") == F.col("k")) & earlier & _close("x", "y", percent))
+    more = more.select("y.d", "y.ord", F.col("x.d").alias("e_d"), F.col("x.ord").alias("e_ord"))
+    near = _small(cut(near.union(_similar(more, documents, percent)).distinct()))
 
     # near names first lines of classes; the class follows its first line
     told = lines.select("d", "ord", *same).join(near.withColumn("near", F.lit(True)), ["d", "ord"], "left")
@@ -171,9 +173,10 @@ def drop_repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens
     """All columns of ``documents`` with the text less its removed lines, plus n_lines and n_removed."""
     gone = _small(repeated_lines(documents, percent, min_tokens).select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("places").alias("_places")), F.size("_places"))
     met = documents.join(gone, (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_d")) & (_version(F.col("text")) == F.col("_v")), "left")
-    # the generator keeps the split from being computed for each of its uses
-    met = met.select("*", F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("_lines"))
+    # the generator keeps the split from being computed for each of its uses; texts that stay as they are pass it by
+    met = met.select("*", F.explode(F.array(F.when(F.col("_places").isNotNull(), F.split("text", "\n")))).alias("_lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_places"))
     text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
     other = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in documents.columns if c not in ("n_lines", "n_removed")]
-    return met.select(*other, F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"), F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_removed"))
+    n_lines = F.when(F.col("text").isNull(), 0).when(F.col("_places").isNotNull(), F.size("_lines")).otherwise(F.size(F.split("text", "\n")))
+    return met.select(*other, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_removed"))
