@@ -24,10 +24,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm._common import cut
+
 BLOCK = 16
 SHARD_DOCS = 4096
 CYCLE = (5, 2, 1)
 MAX_REPEAT = 3
+#: Sources that may be broadcast, after they are counted.
+BROADCAST_SOURCES = 1 << 16
 
 
 def _seats(df: DataFrame, group: list[str], share: str, blocks: str, ident: str) -> DataFrame:
@@ -91,8 +95,15 @@ def mix(documents: DataFrame, size: str = "size", seed: str = "mix", block: int
     # sources under a key that is never null, so that joins and windows share one partitioning and rows move once
     key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
     targets, docs = targets.withColumn("_key", key), docs.withColumn("_key", key)
-    # the table of sources is small by nature, but it is joined like any other: Spark may broadcast it after measuring it
-    placed = docs.join(targets.select("_key", "source_size", "target", "_shards"), "_key")
+    targets = cut(targets)
+    told = targets.select("_key", "source_size", "target", "_shards")
+    # a join on the source alone would put a hot source into one task
+    if targets.count() <= BROADCAST_SOURCES:
+        placed = docs.join(F.broadcast(told), "_key")
+    else:
+        salt = F.conv(F.substring("_order", 9, 2), 16, 10).cast("int")  # 0 to 255
+        every = told.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(255))))
+        placed = docs.withColumn("_salt", salt).join(every, ["_key", "_salt"]).drop("_salt")
     placed = placed.withColumn("_shard", F.pmod(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), F.col("_shards")))
     shards = placed.groupBy("_key", "_shard").agg(F.sum(size).alias("_words"))
     total = F.sum("source_size").over(Window.partitionBy(F.lit(0)))

@@ -65,7 +65,9 @@ def test_seats_are_sainte_lague(spark):
         assert all(abs(got[k] - want.get(k, 0)) <= (0 if blocks != 1001 else 1) for k in shares), (blocks, got, want)
 
 
-def test_many_shards_and_reruns_agree(spark):
+@pytest.mark.parametrize("few", [mixing.BROADCAST_SOURCES, 0])
+def test_many_shards_and_reruns_agree(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"), (F.col("id") % 50).alias("size"), F.lit("x").alias("target"))
     one, two = (sorted(mixing.mix(df, shard_docs=64).select("doc_id", "taken").collect()) for _ in range(2))
     assert one == two
