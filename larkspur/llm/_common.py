@@ -143,7 +143,8 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """The rows as a Parquet table in the shared folder, for steps that read few of their columns, and its removal."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    # hashes, for the most part: neither dictionaries nor compression gain much
+    df.write.option("parquet.enable.dictionary", "false").option("compression", "none").parquet(path)
 
     def remove() -> None:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

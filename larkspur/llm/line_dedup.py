@@ -63,7 +63,7 @@ def _ranks(documents: DataFrame) -> Column:
 
 
 def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(RANK_BUCKETS - 1)).cast("int")
+    return h.bitwiseAND(F.lit(RANK_BUCKETS - 1))
 
 
 def _keys(line: Column, ranks: Column) -> Column:
@@ -159,10 +159,10 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
     more = more.select("y.d", "y.ord", F.col("x.d").alias("e_d"), F.col("x.ord").alias("e_ord"))
     near = _small(cut(near.union(_similar(more, documents, percent)).distinct()))
 
-    # near names first lines of classes; the class follows its first line
-    told = lines.select("d", "ord", *same).join(near.withColumn("near", F.lit(True)), ["d", "ord"], "left")
-    firsts = told.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.count(F.lit(1)).alias("lines"), F.max("near").alias("near")).where("lines > 1 or near")
-    gone = lines.select("d", "ord", *same).join(firsts, same).where(F.col("near").isNotNull() | (F.struct("d", "ord") != F.col("first")))
+    # all but the first line of a class go, and of first lines those that are near an earlier one
+    many = lines.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    later = lines.select("d", "ord", *same).join(many, same).where(F.struct("d", "ord") != F.col("first"))
+    gone = later.select("d", "ord").union(near.select("d", "ord"))
     out = cut(gone.groupBy("d", F.shiftright("ord", 32).alias("v")).agg(F.collect_set(F.col("ord").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("places")))
     drop_lines()
     drop_shared()
