@@ -1 +1 @@
-"""Selection, predicates, references, set operations, changes and graphs over typed tables."""
+"""Selection, predicates, references, set operations, changes and graphs over record tables."""

@@ -1,4 +1,4 @@
-"""Changes to typed tables as new DataFrames: create, update, delete, and dense renumbering."""
+"""Changes to record tables as new DataFrames: create, update, delete, and dense renumbering."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Node and edge graphs over typed tables: selection, axes, repetition and set operations.
+"""Node and edge graphs over record tables: selection, axes, repetition and set operations.
 
 ``nodes`` is (id, selector, name), ``edges`` (axis, source, target). A result is
 a set of node ids and a set of edges; every operation is a join or a union, and

@@ -1,6 +1,6 @@
 """One-source selection: where, group, sort, offset and limit, in that order, then projection.
 
-A typed table carries ``_index``, which orders its rows. Grouping keeps one
+A record table carries ``_index``, which orders its rows. Grouping keeps one
 representative, the row with the lowest index, for columns that are neither
 keys nor aggregates; groups come in order of their first row. Sorting is
 ascending, nulls first, ties by index. Aggregates without grouping run after the

@@ -1 +1 @@
-"""Typed tables from Parquet, views over interfaces and types, JSON documents and archives."""
+"""Record tables from Parquet, views over interfaces and types, JSON documents and archives."""

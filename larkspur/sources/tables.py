@@ -1,4 +1,4 @@
-"""Typed tables over Parquet, and views across them."""
+"""Record tables over Parquet, and views across them."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ KEYS = {
 
 
 def parquet_table(spark: SparkSession, path: str, index: str) -> DataFrame:
-    """A Parquet table as a typed table. ``index`` is an expression of the key, so no global sort numbers the rows."""
+    """A Parquet table as a record table. ``index`` is an expression of the key, so no global sort numbers the rows."""
     df = spark.read.parquet(path)
     return df.select(F.expr(index).cast("long").alias(INDEX), *df.columns)
 
