@@ -47,8 +47,8 @@ def _blanked(text: Column) -> Column:
 
 
 def _hashes(line: Column) -> Column:
-    """Hashes of a line's words, of which there are some twice."""
-    return F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    """Distinct hashes of a line's words."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _ranks(documents: DataFrame) -> Column:
@@ -68,7 +68,7 @@ def _bucket(h: Column) -> Column:
 
 def _keys(line: Column, ranks: Column) -> Column:
     """Sorted distinct token keys of a line, rare first: rank, then hash."""
-    return F.sort_array(F.array_distinct(F.transform(_hashes(line), lambda h: F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))))
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _similar(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     docs = documents.where("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), "text")
     met = docs.join(wanted, F.col("d") == F.col("w_d")).where(_version(F.col("text")) == F.col("w_v"))
     lines = met.select("d", F.col("w_v").alias("v"), "places", F.explode(F.array(F.split(_blanked(F.col("text")), "\n"))).alias("lines")).select("d", "v", F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x"))
-    sets = lines.select("d", F.shiftleft("v", 32).bitwiseOR(F.col("x.pos").cast("long")).alias("ord"), F.array_distinct(_hashes(F.col("x.line"))).alias("words"))
+    sets = lines.select("d", F.shiftleft("v", 32).bitwiseOR(F.col("x.pos").cast("long")).alias("ord"), _hashes(F.col("x.line")).alias("words"))
     sets = sets.dropDuplicates(["d", "ord"])
     both = pairs.join(sets, ["d", "ord"]).join(sets.select(F.col("d").alias("e_d"), F.col("ord").alias("e_ord"), F.col("words").alias("e_words")), ["e_d", "e_ord"])
     shared = F.size(F.array_intersect("words", "e_words"))
