@@ -13,7 +13,8 @@ n) + 1`` tokens, of which the smaller set needs fewer; length and positional fil
 ranges bound the overlap before sets are compared. Each class is first compared
 with the earliest class under each key; only classes that this leaves in place
 are then compared with all earlier ones, so a large group of near copies does not
-make all its pairs.
+make all its pairs. A class that holds a large share of all repeated lines is told
+to them by broadcast, so that no task follows the most common line.
 
 Defined results: null texts have no lines and stay null; an empty text is one
 empty line; rows that repeat a document, id and text alike, are treated as that
@@ -25,6 +26,7 @@ are kept; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ RANK_BUCKETS = 1 << 16
 #: Rows that may be broadcast, after they are counted; each holds an id and a few places. More are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 BROADCAST_PLACES = 1 << 20
+#: Classes with more than one part in so many of all repeated lines are broadcast; there are fewer than this.
+HOT_CLASSES = 1 << 12
 _NO_ID = -(2**63)
 
 
@@ -122,7 +126,22 @@ def _similar(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("words") + F.size("e_words") - shared)).select("d", "ord").distinct()
 
 
-def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def _later_lines(lines: DataFrame, same: list[str], hot_classes: int) -> tuple[DataFrame, Callable[[], None]]:
+    """d and ord of all but the first line of each class, and the removal of the table of classes they are read from.
+
+    The lines of a class with a large share of all repeated lines would meet in one
+    task of a join on the class, so the few such classes are broadcast instead.
+    """
+    many, drop_many = stored(lines.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1"))
+    total = many.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+    is_hot = F.col("lines") * hot_classes > total
+    hot, rest = F.broadcast(many.where(is_hot)), many.where(~is_hot)
+    rows = lines.select("d", "ord", *same)
+    met = rows.join(hot, same).union(rows.join(hot, same, "left_anti").join(rest, same).select(*same, "d", "ord", "first", "lines"))
+    return met.where(F.struct("d", "ord") != F.col("first")).select("d", "ord"), drop_many
+
+
+def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """d, v and places (from 0) of the lines to remove; d is the id (null: the least long), v the text's version."""
     ranks = _ranks(documents)
     # the generator keeps the filter from computing the keys a second time
@@ -160,12 +179,11 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
     near = _small(cut(near.union(_similar(more, documents, percent)).distinct()))
 
     # all but the first line of a class go, and of first lines those that are near an earlier one
-    many = lines.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    later = lines.select("d", "ord", *same).join(many, same).where(F.struct("d", "ord") != F.col("first"))
-    gone = later.select("d", "ord").union(near.select("d", "ord"))
+    later, drop_many = _later_lines(lines, same, hot_classes)
+    gone = later.union(near.select("d", "ord"))
     out = cut(gone.groupBy("d", F.shiftright("ord", 32).alias("v")).agg(F.collect_set(F.col("ord").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("places")))
-    drop_lines()
-    drop_shared()
+    for drop in (drop_lines, drop_shared, drop_many):
+        drop()
     return out
 
 

@@ -64,6 +64,14 @@ def test_lines_without_broadcast(spark, monkeypatch):
     assert sorted(map(str, line_dedup.drop_repeated_lines(documents(spark)).collect())) == want
 
 
+def test_lines_alike_however_many_classes_are_hot(spark):
+    copies = [(100 + i, "one very common line of words\na line of document %d alone here" % i, "en", "s", 1) for i in range(60)]
+    docs = documents(spark).union(spark.createDataFrame(copies, SCHEMA))
+    found = [sorted((r.d, r.v, sorted(r.places)) for r in line_dedup.repeated_lines(docs, hot_classes=n).collect()) for n in (0, 3, line_dedup.HOT_CLASSES)]
+    assert found[0] == found[1] == found[2]
+    assert sum(0 in places for d, _, places in found[0] if 100 <= d < 160) == 59
+
+
 def test_lines_keep_other_columns_and_nothing(spark):
     odd = documents(spark).withColumn("n_lines", F.lit("clash")).withColumn("places", F.lit(1)).withColumn("d", F.lit(2))
     got = line_dedup.drop_repeated_lines(odd)
