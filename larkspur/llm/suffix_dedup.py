@@ -304,16 +304,19 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -
     cuts = docs.mapInArrow(_cut_up(length, GRAM), "key long, mark long, d long, ord long, len int, again boolean")
     by_mark = Window.partitionBy("key").orderBy("mark", "d", "ord")
     whole = by_mark.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    told = cuts.select("*", F.coalesce(F.lag("mark").over(by_mark) != F.col("mark"), F.lit(True)).alias("first"), F.count(F.lit(1)).over(whole).alias("held"), F.max("again").over(whole).alias("any_again"))
-    told = told.where("held > 1 or any_again").withColumn("kinds", F.sum(F.col("first").cast("int")).over(whole))
+    # equal rows of a document give equal segments, next to each other: only one of them counts
+    same = {way: F.coalesce((f("mark").over(by_mark) == F.col("mark")) & (f("d").over(by_mark) == F.col("d")) & (f("ord").over(by_mark) == F.col("ord")), F.lit(False)) for way, f in (("repeat", F.lag), ("twice", F.lead))}
+    told = cuts.select("*", F.coalesce(F.lag("mark").over(by_mark) != F.col("mark"), F.lit(True)).alias("first"), same["repeat"].alias("repeat"), same["twice"].alias("twice"), F.count(F.lit(1)).over(whole).alias("held"), F.max("again").over(whole).alias("any_again"))
+    told = told.where("(held > 1 or any_again) and not repeat").withColumn("kinds", F.sum(F.col("first").cast("int")).over(whole))
     kept = told.where("not first or kinds > 1 or again")
     at = F.col("ord").bitwiseAND(F.lit((1 << 32) - 1))
     gone = F.when(~F.col("first"), F.struct(at.alias("at"), F.col("len").alias("len")))
     hard = F.when(F.col("first"), F.struct(at.alias("at"), F.col("len").alias("len"), F.col("key").alias("key"), (F.col("kinds") > hot).alias("hot")))
-    per_doc = cut(kept.select("d", F.shiftright("ord", 32).alias("v"), gone.alias("gone"), hard.alias("hard")).groupBy("d", "v").agg(F.collect_list("gone").alias("gone"), F.collect_list("hard").alias("hard")))
-    wanted = _small(per_doc.where(F.size("hard") > 0).select(F.col("d").alias("w_d"), F.col("v").alias("w_v"), "hard"), F.size("hard"))
-    # rows that repeat a document are fetched once
+    per_doc = cut(kept.select("d", F.shiftright("ord", 32).alias("v"), gone.alias("gone"), hard.alias("hard"), "twice").groupBy("d", "v").agg(F.collect_list("gone").alias("gone"), F.collect_list("hard").alias("hard"), F.max("twice").alias("twice")))
+    wanted = _small(per_doc.where(F.size("hard") > 0).select(F.col("d").alias("w_d"), F.col("v").alias("w_v"), "hard", "twice"), F.size("hard"))
     met = docs.join(wanted, (F.col("d") == F.col("w_d")) & (F.col("v") == F.col("w_v")))
+    if per_doc.where("twice and size(hard) > 0").limit(1).count():  # rows that repeat a document are fetched once
+        met = met.where("not twice").union(met.where("twice").dropDuplicates(["d", "v"]))
     fetched = met.select("d", "v", "text", "hard").mapInArrow(_fetch(length), "key long, d long, ord long, bytes binary")
     settled = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_settle(length), "d long, ord long, len int")
     more = settled.select("d", F.shiftright("ord", 32).alias("v"), F.struct(at.alias("at"), "len").alias("s"))

@@ -177,6 +177,18 @@ def test_suffix_repeated_rows_and_nothing(spark):
     assert suffix_dedup.strip_repeats(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
+def test_suffix_counts_a_repeated_row_once(spark, hot):
+    rng = random.Random(8)
+    alone, passage = ("".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(2))
+    base = {1: alone, 2: "ab" * 300, **{i: f"{prose(rng, 1, 8)} {passage}{prose(rng, 1, 6)}" for i in range(3, 12)}}
+    df = spark.createDataFrame([*base.items(), *base.items(), (1, alone)], "doc_id long, text string")
+    got = suffix_dedup.strip_repeats(df, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h")).collect()
+    want = covered(base, 100)
+    assert want[1][1] == 0 and len(got) == 2 * len(base) + 1
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.h) for r in got} == {(i, *w) for i, w in want.items()}
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2060)] + [(5, 5)]
