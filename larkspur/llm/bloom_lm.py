@@ -5,14 +5,19 @@ as the log-frequency class ``1 + floor(log2 c)``: one entry for each class up to
 its own, so repeated membership probes, class by class until one fails, give the
 quantised count back. It is blocked: an n-gram's probes stay in one block, chosen
 by its hash, so blocks are built independently from a shuffle by block and the
-whole is a concatenation. Its size follows the number of training tokens up to
-``max_bits``; a block that would overfill leaves out its rarest counts (it keeps
-the false-positive rate, and a left-out n-gram reads as unseen).
+whole is a concatenation. Its size follows the number of training tokens without
+a limit and no count is left out: N tokens make at most 2N entries, since a count
+c has at most c classes, so ``BITS_PER_TOKEN`` bounds the false-positive rate.
+
+A filter of at most ``max_bits`` is broadcast. A larger one stays a table of
+blocks: n-grams with at least N/2^20 occurrences (at most 2^20 unigrams and as
+many bigrams) are broadcast with what the filter says of them, and the others, once
+for each chunk of texts, meet their blocks in a shuffle join. Results are the same.
 
 Probabilities are interpolated with a Dirichlet prior from those probes alone:
 ``P(w|h) = (c(h,w) + k * P(w)) / (c(h) + k)`` and ``P(w) = (c(w) + 0.5) / (N +
-0.5 (V + 1))``; k maximises the leave-one-out likelihood of a bounded sample of
-training rows.
+0.5 (V + 1))``; k maximises the leave-one-out likelihood of all training rows:
+every row is scored with each of the six values, and six sums come to the driver.
 
 Beside it stands the exact additive unigram score. Tokens with at least N/2^20
 occurrences, at most 2^20 by arithmetic, are broadcast with their counts; all
@@ -26,6 +31,7 @@ probability of an unseen one.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +39,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm._common import bounded_sample, cut, mix64, span_hashes, spans, text_chunks
+from larkspur.llm._common import cut, mix64, span_hashes, spans, text_chunks
 
+#: Filters up to this size are broadcast.
 MAX_BITS = 1 << 29
 BLOCK_BITS = 1 << 19
-BITS_PER_TOKEN = 8
+BITS_PER_TOKEN = 12
 PROBES = 4
 HEAD = 1 << 20
-FIT_ROWS = 400
+#: Texts whose n-grams are looked up together, and the least number of groups of blocks they are dealt to.
+PROBE_BYTES = 1 << 22
+PROBE_DOCS = 4096
+GROUPS = 512
 PRIORS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0)
 _FLUSH = 2_000_000
 
 END = np.uint64(0xE4D0_0000_0000_00E5)
 _UNI = np.uint64(0xA24BAED4963EE407)
 _LOW48 = np.uint64((1 << 48) - 1)
+_TAIL = 255
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,6 +79,16 @@ def bigram_key(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix64(before * np.uint64(0x9FB21C651E98DF25) + mix64(words))
 
 
+def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each key; ``blocks`` is a power of two. The high 16 bits choose first."""
+    return ((keys << np.uint64(16) | keys >> np.uint64(48)) & np.uint64(blocks - 1)).astype(np.int64)
+
+
+def canonical(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """What a filter of so many blocks can tell of keys: the block and the low 48 bits."""
+    return keys if blocks >= 1 << 16 else keys & np.uint64((blocks - 1) << 48 | int(_LOW48))
+
+
 def count_unique(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
@@ -109,9 +130,9 @@ def token_counts(train: DataFrame) -> DataFrame:
 
 def _packed(keys: np.ndarray, counts: np.ndarray, blocks: int):
     """One row for each block: the low 48 bits of its keys, then their counts."""
-    block = (keys >> np.uint64(48)) % np.uint64(blocks)
+    block = block_of(keys, blocks)
     order = np.argsort(block, kind="stable")
-    block, keys, counts = block[order].astype(np.int64), keys[order] & _LOW48, counts[order]
+    block, keys, counts = block[order], keys[order] & _LOW48, counts[order]
     first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
     low = keys.view(np.uint8).reshape(-1, 8)[:, :6]
     small = np.minimum(counts, 2**32 - 1).astype(np.uint32)
@@ -131,31 +152,37 @@ class Filter:
         for k in range(PROBES):
             yield mix64(low * np.uint64(2) + np.uint64((level * PROBES + k) * 0x632BE59BD9B4E019 % 2**64)) & np.uint64(block_bits - 1)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts: 0, 1, or the middle of the class [2^(q-1), 2^q)."""
-        base = ((keys >> np.uint64(48)) % np.uint64(self.blocks)).astype(np.int64) * BLOCK_BITS
-        low, level, active = keys & _LOW48, np.zeros(len(keys), np.int64), np.arange(len(keys))
+    @staticmethod
+    def read(bits: np.ndarray, base: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Classes of keys from their low bits and the place of their block's first bit."""
+        level, active = np.zeros(len(low), np.uint8), np.arange(len(low))
         for q in range(1, 64):
             ok = np.ones(len(active), bool)
-            for at in self.probes(low[active], q):
+            for at in Filter.probes(low[active], q):
                 bit = base[active] + at.astype(np.int64)
-                ok &= (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+                ok &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
             active = active[ok]
             if not len(active):
                 break
             level[active] = q
-        return np.where(level > 1, 0.75 * 2.0**level, level)
+        return level
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.read(self.bits, block_of(keys, self.blocks) * BLOCK_BITS, keys & _LOW48)
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return quantised(self.levels(keys))
+
+
+def quantised(level: np.ndarray) -> np.ndarray:
+    """The count a class stands for: 0, 1, or the middle of the class [2^(q-1), 2^q)."""
+    return np.where(level > 1, 0.75 * 2.0 ** level.astype(float), level)
 
 
 def build_block(low: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The bits of one block from the keys that fall into it."""
     keys, counts = count_unique(low, counts)
     level = np.floor(np.log2(counts)).astype(np.int64) + 1
-    room = BLOCK_BITS * 1.25 * math.log(2) / PROBES
-    least = 1
-    while level[level >= least].sum() > room:
-        least += 1
-    keys, level = keys[level >= least], level[level >= least]
     bits = np.zeros(BLOCK_BITS, np.uint8)
     for q in range(1, int(level.max(initial=0)) + 1):
         for at in Filter.probes(keys[level >= q], q):
@@ -163,9 +190,13 @@ def build_block(low: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def build_filter(train: DataFrame, unigrams: DataFrame, n_tokens: int, max_bits: int = MAX_BITS) -> Filter:
-    bits = min(max_bits, max(BLOCK_BITS, 1 << math.ceil(math.log2(max(BITS_PER_TOKEN * n_tokens, 2)))))
-    blocks = bits // BLOCK_BITS
+def blocks_for(n_tokens: int) -> int:
+    return max(BLOCK_BITS, 1 << math.ceil(math.log2(max(BITS_PER_TOKEN * n_tokens, 2)))) // BLOCK_BITS
+
+
+def built_blocks(train: DataFrame, unigrams: DataFrame, n_tokens: int, blocks: int) -> DataFrame:
+    """block, its bits, and keys and classes of the n-grams in it with at least n_tokens / HEAD occurrences."""
+    least = max(n_tokens / HEAD, 1)
 
     def bigrams(batches):
         got = Gathered(2 * _FLUSH)
@@ -191,92 +222,226 @@ def build_filter(train: DataFrame, unigrams: DataFrame, n_tokens: int, max_bits:
             wide[:, :6] = raw
             lows.append(wide.view(np.uint64).ravel())
             counts.append(np.frombuffer(b.as_py(), np.uint32).astype(np.int64))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([build_block(np.concatenate(lows), np.concatenate(counts)).tobytes()], pa.binary())})
+        low, c = count_unique(np.concatenate(lows), np.concatenate(counts))
+        bits, block = build_block(low, c), key[0].as_py()
+        often = low[c >= least]
+        level = Filter.read(bits, np.zeros(len(often), np.int64), often)
+        often = often | np.uint64((block & 0xFFFF) << 48)
+        return pa.table({"block": pa.array([block], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary()), "often": pa.array([often.tobytes()], pa.binary()), "level": pa.array([level.tobytes()], pa.binary())})
 
-    out = np.zeros(bits // 8, np.uint8)
-    for r in packed.groupBy("block").applyInArrow(build, "block int, bits binary").toLocalIterator():
+    return packed.groupBy("block").applyInArrow(build, "block int, bits binary, often binary, level binary")
+
+
+def whole_filter(built: DataFrame, blocks: int) -> Filter:
+    out = np.zeros(blocks * (BLOCK_BITS // 8), np.uint8)
+    for r in built.select("block", "bits").toLocalIterator():
         out[r.block * (BLOCK_BITS // 8) : (r.block + 1) * (BLOCK_BITS // 8)] = np.frombuffer(r.bits, np.uint8)
     return Filter(out, blocks)
 
 
-class Scorer:
-    def __init__(self, filter_: Filter, n: int, v: int, prior: float = 16.0):
-        self.filter, self.total, self.prior = filter_, n + 0.5 * (v + 1), prior
-
-    def lookups(self, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Quantised c(w), c(h) and c(h, w) of each token."""
-        both, at = np.unique(np.concatenate([words, before]), return_inverse=True)
-        single = self.filter.counts(unigram_key(both))[at]
-        pairs, at = np.unique(bigram_key(before, words), return_inverse=True)
-        w, h = single[: len(words)], single[len(words) :]
-        return w, h, np.minimum(self.filter.counts(pairs)[at], np.minimum(w, h))
-
-    def log10(self, w: np.ndarray, h: np.ndarray, hw: np.ndarray, prior: float | None = None) -> np.ndarray:
-        k = self.prior if prior is None else prior
-        return np.log10((hw + k * (w + 0.5) / self.total) / (h + k))
+def frequent(built: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, in order, and classes of at most 2 * HEAD n-grams."""
+    found = built.where(F.length("often") > 0).select("often", "level").toArrow()
+    keys = np.frombuffer(b"".join(found["often"].to_pylist()), np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.frombuffer(b"".join(found["level"].to_pylist()), np.uint8)[order]
 
-    def fit_prior(self, texts: list[bytes]) -> None:
-        """Leave-one-out: a token's own occurrence counts neither for its word, context nor pair."""
-        best = {k: 0.0 for k in PRIORS}
-        for text in texts:
-            words, before, _ = tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-            w, h, hw = (np.maximum(x - 1, 0) for x in self.lookups(words, before))
-            for k in PRIORS:
-                best[k] += float(self.log10(w, h, hw, k).sum())
-        self.prior = max(PRIORS, key=lambda k: best[k])
 
+class Scorer:
+    def __init__(self, n: int, v: int):
+        self.total = n + 0.5 * (v + 1)
 
-def score(documents: DataFrame, held_out: Column, max_bits: int = MAX_BITS, fit_rows: int = FIT_ROWS) -> DataFrame:
+    def log10(self, w: np.ndarray, h: np.ndarray, hw: np.ndarray, k: float) -> np.ndarray:
+        return np.log10((hw + k * (w + 0.5) / self.total) / (h + k))
+
+    def rows(self, w: np.ndarray, hw: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """For each text and prior its score, then its leave-one-out likelihood, from classes of tokens and pairs.
+
+        Leave-one-out: a token's own occurrence counts neither for its word, context nor pair.
+        """
+        h = np.roll(w, 1)  # before a text's first token and at each text's end stands the end token
+        code = (w.astype(np.int32) << 12) | (h.astype(np.int32) << 6) | np.minimum(hw, np.minimum(w, h))
+        seen = np.flatnonzero(np.bincount(code, minlength=1 << 18))
+        count = [quantised(x) for x in (seen >> 12, (seen >> 6) & 63, seen & 63)]
+        less = [np.maximum(x - 1, 0) for x in count]
+        table = np.stack([self.log10(*x, k) for x in (count, less) for k in PRIORS], axis=1)
+        at = np.zeros(1 << 18, np.int32)
+        at[seen] = np.arange(len(seen))
+        return np.add.reduceat(table[at[code]], bound[:-1], axis=0)
+
+
+def lookups(model: Filter, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of each token and of each pair of a token with the one before it."""
+    single, at = np.unique(words, return_inverse=True)
+    pairs, at_pair = np.unique(bigram_key(before, words), return_inverse=True)
+    return model.levels(unigram_key(single))[at], model.levels(pairs)[at_pair]
+
+
+_PROBED = "chunk long, deal int, data binary, carry struct<w:binary,hw:binary,w_at:binary,hw_at:binary,bound:binary,ids:binary,known:binary,base:binary,own:binary,rest:binary,times:binary,doc_id:array<{0}>,held_out:array<boolean>>"
+
+
+def groups_for(blocks: int) -> int:
+    return min(blocks, max(GROUPS, blocks >> 6))
+
+
+def probes_of(words: np.ndarray, before: np.ndarray, head: tuple[np.ndarray, np.ndarray], blocks: int):
+    """(group, keys) of the lookups that the head leaves open, group by group, and how tokens refer to them."""
+    single, at = np.unique(words, return_inverse=True)
+    pairs, at_pair = np.unique(canonical(bigram_key(before, words), blocks), return_inverse=True)
+    one = canonical(unigram_key(single), blocks)
+    order = np.argsort(one)
+    place = np.empty(len(one), np.int64)
+    place[order] = np.arange(len(one))
+    keys = np.concatenate([one[order], pairs])
+    level = np.full(len(keys), _TAIL, np.uint8)
+    if len(head[0]):
+        near = np.minimum(np.searchsorted(head[0], keys), len(head[0]) - 1)
+        there = head[0][near] == keys
+        level[there] = head[1][near[there]]
+    tail = np.flatnonzero(level == _TAIL)
+    group = block_of(keys[tail], blocks) // (blocks // groups_for(blocks))
+    order = np.argsort(group, kind="stable")
+    tail, group = tail[order], group[order]
+    rank = np.zeros(len(keys), np.int32)
+    rank[tail] = np.arange(len(tail))
+    refs = []
+    for ref in (place[at], at_pair + len(one)):
+        own = level[ref]
+        refs.append((own, rank[ref[own == _TAIL]]))
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    found = keys[tail]
+    return [(int(group[a]), found[a:b].tobytes()) for a, b in zip(first, np.append(first[1:], len(group)), strict=True)], refs
+
+
+def meet(blocks: int):
+    """Classes of the keys of one group of blocks; what is carried past them goes on unchanged."""
+    per = blocks // groups_for(blocks)
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return left
+        size, out = BLOCK_BITS // 8, []
+        bits = np.zeros(per * size, np.uint8)
+        for b, raw in zip(right["block"].to_pylist(), right["bits"], strict=True):
+            bits[b % per * size : (b % per + 1) * size] = np.frombuffer(raw.as_buffer(), np.uint8)
+        for raw in left["data"]:
+            if not raw.is_valid:
+                out.append(None)
+                continue
+            keys = np.frombuffer(raw.as_buffer(), np.uint64)
+            out.append(Filter.read(bits, block_of(keys, blocks) % per * BLOCK_BITS, keys & _LOW48).tobytes())
+        return left.set_column(left.schema.get_field_index("data"), "data", pa.array(out, pa.binary()))
+
+    return run
+
+
+def score(documents: DataFrame, held_out: Column, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text", held_out.alias("held_out"))
     train = docs.where("not held_out")
     counts = cut(token_counts(train))
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    scorer = Scorer(build_filter(train, counts, total, max_bits), total, distinct)
-    scorer.fit_prior([(r.text or "").encode() for r in bounded_sample(train, fit_rows, "doc_id", "text").collect()])
+    blocks = blocks_for(total)
+    built = built_blocks(train, counts, total, blocks)
+    scorer = Scorer(total, distinct)
     head = counts.where(F.col("c") * HEAD >= total).toArrow()  # at most HEAD rows
     order = np.argsort(keys := head["token"].to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast((scorer, keys[order], head["c"].to_numpy()[order], total + 0.5 * (distinct + 1)))
-    doc = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")], *[T.StructField(c, T.DoubleType()) for c in ("base", "score")]])
+    unigrams = (keys[order], head["c"].to_numpy()[order], total + 0.5 * (distinct + 1))
+    doc = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")], T.StructField("base", T.DoubleType()), T.StructField("scores", T.ArrayType(T.DoubleType()))])
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("token", T.LongType()), T.StructField("times", T.IntegerType()), T.StructField("doc", doc)])
 
+    def basis(words: np.ndarray, bound: np.ndarray, unigrams: tuple) -> tuple[np.ndarray, ...]:
+        """Known tokens and base score of each text by frequent tokens, and (text, token, times) of all others."""
+        known, c, denominator = unigrams
+        n, log_known = len(bound) - 1, np.log10((c + 0.5) / denominator)
+        row = np.repeat(np.arange(n), np.diff(bound))
+        at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+        there = known[at] == words if len(known) else np.zeros(len(words), bool)
+        base = np.bincount(row[there], log_known[at[there]], minlength=n).astype(float)
+        n_known = np.bincount(row[there], minlength=n)
+        rest, own = words[~there], row[~there]
+        order = np.lexsort((rest, own))
+        rest, own = rest[order], own[order]
+        first = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (own[1:] != own[:-1]))) if len(rest) else np.zeros(0, np.int64)
+        return n_known, base, own[first], rest[first], np.diff(np.append(first, len(rest))).astype(np.int32)
+
+    def told(ids, doc_id, out, bound, scores, n_known, base, own, rest, times) -> Iterator[pa.RecordBatch]:
+        n = len(ids)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * scores.shape[1]), pa.array(scores.ravel()))
+        carrier = pa.StructArray.from_arrays([doc_id, out, pa.array(np.diff(bound)), pa.array(n_known), pa.array(base), flat.cast(pa_struct(doc).field("scores").type)], fields=list(pa_struct(doc)))
+        # a carrier row holds what is known of a text; it has times 0, so the token it is dealt by adds nothing
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mix64(ids.view(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int32)), carrier], names=schema.names)
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(rest.view(np.int64)), pa.array(times), pa.nulls(len(own), carrier.type)], names=schema.names)
+
+    def pa_struct(kind: T.DataType):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        return to_arrow_type(kind)
+
     def rate(batches):
-        model, known, c, denominator = shared.value
-        log_known = np.log10((c + 0.5) / denominator)
+        model, unigrams = shared.value
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch["text"]):
                 n = hi - lo
                 words, before, bound = tokens(data, offsets)
-                row = np.repeat(np.arange(n), np.diff(bound))
-                total_score = np.add.reduceat(model.log10(*model.lookups(words, before)), bound[:-1])
-                at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-                there = known[at] == words if len(known) else np.zeros(len(words), bool)
-                base = np.bincount(row[there], log_known[at[there]], minlength=n).astype(float)
-                n_known = np.bincount(row[there], minlength=n)
-                rest, own = words[~there], row[~there]
-                order = np.lexsort((rest, own))
-                rest, own = rest[order], own[order]
-                first = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (own[1:] != own[:-1]))) if len(rest) else np.zeros(0, np.int64)
-                ids = batch["row"].slice(lo, n).to_numpy()
-                carrier = pa.StructArray.from_arrays([batch["doc_id"].slice(lo, n), batch["held_out"].slice(lo, n), pa.array(np.diff(bound)), pa.array(n_known), pa.array(base), pa.array(total_score)], fields=list(pa_struct(doc)))
-                # a carrier row holds what is known of a text; it has times 0, so the token it is dealt by adds nothing
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mix64(ids.view(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int32)), carrier], names=schema.names)
-                if len(first):
-                    times = np.diff(np.append(first, len(rest))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[own[first]]), pa.array(rest[first].view(np.int64)), pa.array(times), pa.nulls(len(first), carrier.type)], names=schema.names)
-
-    def pa_struct(kind: T.StructType):
-        from pyspark.sql.pandas.types import to_arrow_type
+                yield from told(batch["row"].slice(lo, n).to_numpy(), batch["doc_id"].slice(lo, n), batch["held_out"].slice(lo, n), bound, scorer.rows(*lookups(model, words, before), bound), *basis(words, bound, unigrams))
 
-        return to_arrow_type(kind)
+    probed = T._parse_datatype_string(_PROBED.format(docs.schema["doc_id"].dataType.simpleString()))
+
+    def probe(batches):
+        often, unigrams = shared.value
+        kind = pa_struct(probed["carry"].dataType)
+
+        def one(x: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
 
-    rated = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text", "held_out").mapInArrow(rate, schema)
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch["text"], PROBE_BYTES, PROBE_DOCS):
+                n = hi - lo
+                words, before, bound = tokens(data, offsets)
+                asked, ((w, w_at), (hw, hw_at)) = probes_of(words, before, often, blocks)
+                ids = batch["row"].slice(lo, n).to_numpy()
+                chunk = int(ids[0])  # the number of a chunk's first row is its own
+                raw = [w, hw, w_at, hw_at, bound.astype(np.int64), ids, *basis(words, bound, unigrams)]
+                columns = [*[pa.array([x.tobytes()], pa.binary()) for x in raw], one(batch["doc_id"].slice(lo, n)), one(batch["held_out"].slice(lo, n))]
+                carry = pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(columns, kind, strict=True)], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([int(mix64(ids[:1].view(np.uint64))[0] % np.uint64(groups_for(blocks)))], pa.int32()), pa.nulls(1, pa.binary()), carry], names=probed.names)
+                if asked:
+                    deal, keys = zip(*asked, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(deal)), pa.array(deal, pa.int32()), pa.array(keys, pa.binary()), pa.nulls(len(deal), kind)], names=probed.names)
+
+    def finish(found: pa.Table) -> pa.Table:
+        parts = sorted((d, x) for d, x in zip(found["deal"].to_pylist(), found["data"].to_pylist(), strict=True) if x is not None)
+        level = np.frombuffer(b"".join(x for _, x in parts), np.uint8)
+        carry = found["carry"].combine_chunks().drop_null()
+        types = (np.uint8, np.uint8, np.int32, np.int32, np.int64, np.int64, np.int64, np.float64, np.int64, np.uint64, np.int32)
+        w, hw, w_at, hw_at, bound, ids, *rest = (np.frombuffer(carry.field(i)[0].as_buffer(), t).copy() for i, t in enumerate(types))
+        w[w == _TAIL] = level[w_at]
+        hw[hw == _TAIL] = level[hw_at]
+        doc_id, out = (carry.field(c)[0].values for c in ("doc_id", "held_out"))
+        return pa.Table.from_batches(told(ids, doc_id, out, bound, scorer.rows(w, hw, bound), *rest))
+
+    numbered = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text", "held_out")
+    if blocks * BLOCK_BITS <= max_bits:
+        shared = spark.sparkContext.broadcast((whole_filter(built, blocks), unigrams))
+        rated = numbered.mapInArrow(rate, schema)
+    else:
+        built = cut(built)
+        shared = spark.sparkContext.broadcast((frequent(built), unigrams))
+        table = built.select((F.col("block") / F.lit(blocks // groups_for(blocks))).cast("int").alias("deal"), "block", "bits")
+        asked = numbered.mapInArrow(probe, probed)
+        rated = asked.groupBy("deal").cogroup(table.groupBy("deal")).applyInArrow(meet(blocks), probed).groupBy("chunk").applyInArrow(finish, schema)
     met = rated.join(counts.select("token", "c"), "token", "left")
     c, times = F.coalesce("c", F.lit(0)), F.col("times")
-    parts = met.groupBy("row").agg(
-        F.max("doc").alias("doc"),
-        F.sum(times * F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))).alias("rest"),
-        F.sum(F.when(c > 0, times).otherwise(0)).alias("rest_known"),
+    parts = cut(
+        met.groupBy("row").agg(
+            F.max("doc").alias("doc"),
+            F.sum(times * F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))).alias("rest"),
+            F.sum(F.when(c > 0, times).otherwise(0)).alias("rest_known"),
+        )
     )
-    return parts.select("doc.doc_id", "doc.held_out", "doc.n_tokens", (F.col("doc.n_known") + F.col("rest_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("doc.base") + F.col("rest")).alias("base_score"), "doc.score")
+    fits = parts.where("not doc.held_out").agg(*[F.sum(F.col("doc.scores")[len(PRIORS) + i]) for i in range(len(PRIORS))]).first()
+    best = max(range(len(PRIORS)), key=lambda i: fits[i] or 0.0)
+    return parts.select("doc.doc_id", "doc.held_out", "doc.n_tokens", (F.col("doc.n_known") + F.col("rest_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("doc.base") + F.col("rest")).alias("base_score"), F.col("doc.scores")[best].alias("score"))

@@ -152,6 +152,28 @@ def test_bloom_rare_tokens_meet_their_counts(spark, monkeypatch):
     assert sorted((r.doc_id or -1, round(r.base_score, 6), r.n_known) for r in bloom_lm.score(documents(spark), remainder(5) == 1).collect()) == want
 
 
+def test_bloom_full_block_keeps_every_count():
+    rng = np.random.default_rng(2)
+    n = 2 * bloom_lm.BLOCK_BITS // bloom_lm.BITS_PER_TOKEN  # the most entries that tokens make in a block
+    for entries in (n, 150_000):
+        keys = rng.integers(0, 2**48, entries, dtype=np.uint64)
+        filter_ = bloom_lm.Filter(bloom_lm.build_block(keys, np.ones(entries, np.int64)), 1)
+        assert (filter_.counts(keys) >= 1).all()
+        if entries == n:
+            assert (filter_.counts(rng.integers(0, 2**48, 50_000, dtype=np.uint64)) > 0).mean() < 0.0625
+
+
+@pytest.mark.parametrize("head", [1, 300, 1 << 20])
+def test_bloom_table_of_blocks_scores_like_the_broadcast(spark, monkeypatch, head):
+    monkeypatch.setattr(bloom_lm, "BITS_PER_TOKEN", 4096)
+    monkeypatch.setattr(bloom_lm, "HEAD", head)
+
+    def scores(max_bits):
+        return sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in bloom_lm.score(documents(spark), remainder(5) == 1, max_bits).collect())
+
+    assert scores(bloom_lm.MAX_BITS) == scores(0)
+
+
 def test_bloom_without_training_rows(spark):
     assert bloom_lm.score(empty(spark), remainder(5) == 1).collect() == []
     only = bloom_lm.score(documents(spark), F.lit(True)).collect()
