@@ -15,8 +15,12 @@ increasing order, each position is settled once, and the expansion stops at
 ``length``. The suffixes between two settled positions share a window, and each
 that is not the first of them is a repeat.
 
-Keys with more than ``hot`` different segments are cut again by minimisers of 96
-bytes before they are dealt, so no group follows a passage that many texts share.
+Segments of keys with more than ``hot`` different ones are cut again by minimisers
+of 96 bytes, and where that leaves more than ``hot`` to a key, into their single
+windows. First places there are minima by key and content, and a document's pieces
+meet them at the document, so neither bytes nor suffix arrays follow a passage that
+many texts share. (The windows over coarse segments do hold a key's rows in one
+task, without bytes.)
 
 Defined results: null and empty texts have no bytes; rows that repeat a document,
 id and text alike, are that document and come out alike; rows with one id and
@@ -26,6 +30,8 @@ come first; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -224,29 +230,37 @@ def _cut_up(length: int, gram: int):
     return run
 
 
-def _fetch(length: int):
-    """Bytes of wanted segments; those of hot keys are cut again by finer minimisers."""
+def _recut(length: int, gram: int):
+    """Segments of the wanted spans by minimisers of ``gram`` bytes; with ``gram`` as long as a window, each window alone."""
 
     def run(batches):
         for batch in batches:
             for i, spans in enumerate(batch["hard"].to_pylist()):
                 text = batch["text"][i].as_py().encode()
-                d, v = batch["d"][i].as_py(), batch["v"][i].as_py()
-                out: list[tuple[int, int, bytes]] = []
+                v, twice = batch["v"][i].as_py(), batch["twice"][i].as_py()
                 for s in spans:
-                    piece = text[s["at"] : s["at"] + s["len"]]
-                    if not s["hot"] or len(piece) >= CHUNK_BYTES:
-                        out.append((s["key"], s["at"], piece))
-                        continue
-                    raw = np.frombuffer(piece, np.uint8)
-                    start, stop, key, _, _ = segments(raw, np.full(len(raw), len(raw)), length, FINE_GRAM)
-                    out += [(k ^ s["key"], s["at"] + a, piece[a:b]) for a, b, k in zip(start.tolist(), stop.tolist(), key.tolist(), strict=True)]
-                key, at, piece = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.full(len(key), d)), pa.array((v << 32) | np.array(at, np.int64)), pa.array(piece, pa.binary())], names=["key", "d", "ord", "bytes"])
+                    raw = np.frombuffer(text, np.uint8)[s["at"] : s["at"] + s["len"]]
+                    if gram < length:
+                        start, stop, key, mark, again = segments(raw, np.full(len(raw), len(raw)), length, gram)
+                    else:
+                        window = _grams(_prefix_sums(raw), length)
+                        start, key, mark = np.arange(len(window)), (mix64(window) & _LOW48).astype(np.int64), (mix64(window + np.uint64(length)) & _LOW48).astype(np.int64)
+                        stop, again = start + length, np.zeros(len(window), bool)
+                    n = len(start)
+                    yield pa.RecordBatch.from_arrays([pa.array(key ^ s["key"]), pa.array(mark), pa.array(np.full(n, batch["d"][i].as_py(), np.int64)), pa.array((v << 32) | (s["at"] + start)), pa.array((stop - start).astype(np.int32)), pa.array(again), pa.array(np.full(n, twice, bool))], names=["key", "mark", "d", "ord", "len", "again", "twice"])
 
     return run
 
 
+def _fetch(batches):
+    """Bytes of wanted segments."""
+    for batch in batches:
+        for i, spans in enumerate(batch["hard"].to_pylist()):
+            text, v = batch["text"][i].as_py().encode(), batch["v"][i].as_py()
+            d, at = np.full(len(spans), batch["d"][i].as_py(), np.int64), np.array([s["at"] for s in spans], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([s["key"] for s in spans], pa.int64()), pa.array(d), pa.array((v << 32) | at), pa.array([text[s["at"] : s["at"] + s["len"]] for s in spans], pa.binary())], names=["key", "d", "ord", "bytes"])
+
+
 def _settle(length: int):
     """Repeats among segments that come sorted by key, in chunks of whole keys."""
 
@@ -298,6 +312,33 @@ def _small(df: DataFrame, spans: Column) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and m <= BROADCAST_SPANS else df
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """d, v, text, hard and twice of the documents with wanted spans; rows that repeat a document are one."""
+    few = _small(wanted.select(F.col("d").alias("w_d"), F.col("v").alias("w_v"), "hard", "twice"), F.size("hard"))
+    met = docs.join(few, (F.col("d") == F.col("w_d")) & (F.col("v") == F.col("w_v"))).select("d", "v", "text", "hard", "twice")
+    if wanted.where("twice").limit(1).count():
+        met = met.where("not twice").union(met.where("twice").dropDuplicates(["d", "v"]))
+    return met
+
+
+def _at() -> Column:
+    return F.col("ord").bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _by_document(rows: DataFrame) -> DataFrame:
+    return cut(rows.groupBy("d", F.shiftright("ord", 32).alias("v")).agg(F.collect_list(F.struct(_at().alias("at"), "len", "key")).alias("hard"), F.max("twice").alias("twice")))
+
+
+def _refined(docs: DataFrame, wanted: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pieces of the wanted spans that repeat an earlier one; by document, first pieces to settle; and those of keys that stay hot."""
+    pieces = cut(_texts(docs, wanted).mapInArrow(_recut(length, gram), "key long, mark long, d long, ord long, len int, again boolean, twice boolean"))
+    firsts = cut(pieces.groupBy("key", "mark").agg(F.min(F.struct("d", "ord", "len", "again", "twice")).alias("f")).select("key", "f.*"))
+    many = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > hot).select(F.col("key").alias("hot_key"))
+    met = firsts.join(F.broadcast(many), F.col("key") == F.col("hot_key"), "left")  # one in ``hot`` of the first pieces at most
+    few = met.where("hot_key is null").withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("kinds > 1 or again")
+    return pieces.join(firsts, ["d", "ord", "key"], "left_anti"), _by_document(few), _by_document(met.where("hot_key is not null"))
+
+
 def repeated_spans(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """d, v and runs (int64 pairs of start and stop) of each document with bytes to remove."""
     docs = _keyed(documents)
@@ -309,17 +350,21 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -
     told = cuts.select("*", F.coalesce(F.lag("mark").over(by_mark) != F.col("mark"), F.lit(True)).alias("first"), same["repeat"].alias("repeat"), same["twice"].alias("twice"), F.count(F.lit(1)).over(whole).alias("held"), F.max("again").over(whole).alias("any_again"))
     told = told.where("(held > 1 or any_again) and not repeat").withColumn("kinds", F.sum(F.col("first").cast("int")).over(whole))
     kept = told.where("not first or kinds > 1 or again")
-    at = F.col("ord").bitwiseAND(F.lit((1 << 32) - 1))
-    gone = F.when(~F.col("first"), F.struct(at.alias("at"), F.col("len").alias("len")))
-    hard = F.when(F.col("first"), F.struct(at.alias("at"), F.col("len").alias("len"), F.col("key").alias("key"), (F.col("kinds") > hot).alias("hot")))
-    per_doc = cut(kept.select("d", F.shiftright("ord", 32).alias("v"), gone.alias("gone"), hard.alias("hard"), "twice").groupBy("d", "v").agg(F.collect_list("gone").alias("gone"), F.collect_list("hard").alias("hard"), F.max("twice").alias("twice")))
-    wanted = _small(per_doc.where(F.size("hard") > 0).select(F.col("d").alias("w_d"), F.col("v").alias("w_v"), "hard", "twice"), F.size("hard"))
-    met = docs.join(wanted, (F.col("d") == F.col("w_d")) & (F.col("v") == F.col("w_v")))
-    if per_doc.where("twice and size(hard) > 0").limit(1).count():  # rows that repeat a document are fetched once
-        met = met.where("not twice").union(met.where("twice").dropDuplicates(["d", "v"]))
-    fetched = met.select("d", "v", "text", "hard").mapInArrow(_fetch(length), "key long, d long, ord long, bytes binary")
+    span = F.struct(_at().alias("at"), "len")
+    gone = F.when(~F.col("first"), span)
+    hard, finer = (F.when(F.col("first") & x, F.struct(_at().alias("at"), "len", "key")) for x in (F.col("kinds") <= hot, F.col("kinds") > hot))
+    per_doc = cut(kept.select("d", F.shiftright("ord", 32).alias("v"), gone.alias("gone"), hard.alias("hard"), finer.alias("finer"), "twice").groupBy("d", "v").agg(*[F.collect_list(c).alias(c) for c in ("gone", "hard", "finer")], F.max("twice").alias("twice")))
+    wanted, repeated = [per_doc.where(F.size("hard") > 0).select("d", "v", "hard", "twice")], []
+    left = per_doc.where(F.size("finer") > 0).select("d", "v", F.col("finer").alias("hard"), "twice")
+    for gram in (FINE_GRAM, length):
+        if not left.limit(1).count():
+            break
+        copies, few, left = _refined(docs, left, length, gram, hot)
+        wanted.append(few)
+        repeated.append(copies)
+    fetched = reduce(DataFrame.union, [_texts(docs, w).mapInArrow(_fetch, "key long, d long, ord long, bytes binary") for w in wanted])
     settled = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_settle(length), "d long, ord long, len int")
-    more = settled.select("d", F.shiftright("ord", 32).alias("v"), F.struct(at.alias("at"), "len").alias("s"))
+    more = reduce(DataFrame.union, [x.select("d", F.shiftright("ord", 32).alias("v"), span.alias("s")) for x in (settled, *repeated)])
     spans = per_doc.select("d", "v", "gone").union(more.groupBy("d", "v").agg(F.collect_list("s").alias("gone"))).where(F.size("gone") > 0)
 
     def merge(batches):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +190,28 @@ def test_suffix_counts_a_repeated_row_once(spark, hot):
     assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.h) for r in got} == {(i, *w) for i, w in want.items()}
 
 
+def test_suffix_settles_a_common_passage_without_its_copies(spark, monkeypatch, tmp_path):
+    rng = random.Random(9)
+    passage, seen, settle = prose(rng, 2, 12), str(tmp_path / "rows"), suffix_dedup._settle
+    base = {i: f"{prose(rng, 1, 8)} {passage}{prose(rng, 1, 6)}" for i in range(200)} | {i: prose(rng, 1, 8) + "-" * (300 + i) for i in range(200, 260)}
+
+    def spy(length):
+        def counted(batches):
+            for batch in batches:
+                with open(seen, "a") as f:
+                    f.writelines(f"{key}\n" for key in batch["key"].to_pylist())
+                yield batch
+
+        return lambda batches: settle(length)(counted(batches))
+
+    monkeypatch.setattr(suffix_dedup, "_settle", spy)
+    df = spark.createDataFrame(list(base.items()), "doc_id long, text string")
+    got = suffix_dedup.strip_repeats(df, hot=20).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in got} == covered(base, 100)
+    with open(seen) as f:
+        assert max(Counter(f).values()) <= 20  # not one for each document with the passage
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2060)] + [(5, 5)]
