@@ -1,63 +1,71 @@
 """Language-model scoring from a log-frequency Bloom filter of n-gram counts.
 
-The filter holds unigrams and bigrams of the training rows. A count c is stored
-as the log-frequency class ``1 + floor(log2 c)``: one entry for each class up to
-its own, so repeated membership probes, class by class until one fails, give the
-quantised count back. It is blocked: an n-gram's probes stay in one block, chosen
-by its hash, so blocks are built independently from a shuffle by block and the
-whole is a concatenation. Its size follows the number of training tokens without
-a limit and no count is left out: N tokens make at most 2N entries, since a count
-c has at most c classes, so ``BITS_PER_TOKEN`` bounds the false-positive rate.
-
-A filter of at most ``max_bits`` is broadcast. A larger one stays a table of
-blocks: n-grams with at least N/2^20 occurrences (at most 2^20 unigrams and as
-many bigrams) are broadcast with what the filter says of them, and the others, once
-for each chunk of texts, meet their blocks in a shuffle join. Results are the same.
-
-Probabilities are interpolated with a Dirichlet prior from those probes alone:
-``P(w|h) = (c(h,w) + k * P(w)) / (c(h) + k)`` and ``P(w) = (c(w) + 0.5) / (N +
-0.5 (V + 1))``; k maximises the leave-one-out likelihood of all training rows:
-every row is scored with each of the six values, and six sums come to the driver.
-
-Beside it stands the exact additive unigram score. Tokens with at least N/2^20
-occurrences, at most 2^20 by arithmetic, are broadcast with their counts; all
-others meet their exact counts in a join on the token.
+The filter holds the unigrams and bigrams of all training rows. A count is stored
+as its class: itself up to 46, then one class for each step of 1/46, so a class
+tells a count to about one part in a hundred. Each class up to an n-gram's own is
+an entry, so repeated membership probes, by doubling and halving, give the class
+back. N-grams are dealt by hash to groups of about ``GROUP_BYTES`` of text; each
+group's part of the filter is as large as its entries need to fill it by half.
+No count is left out at any size.
+
+A word's probability is ``P(w|h) = (c(h,w) + k P(w)) / (c(h) + k + f)`` with ``P(w)
+= (c(w) + 0.5) / (C + 0.5 (V + 1))``: the counts are what the probes give, C is
+the sum of the c(w), and one share is left for all unknown words. First classes
+are checked by ``log2(4 V)`` probes, so that f, the number of the V words that an
+entry is wrongly found for, is at most a quarter; sums over the vocabulary are
+within a few parts in a hundred of 1 for every context (tested).
+
+A filter of at most ``max_bytes`` is broadcast. A larger one stays a table of
+groups: the most frequent n-grams, at most ``HEAD_WORDS`` and ``HEAD_PAIRS``, are
+broadcast with their classes, and the others meet their group in a shuffle join,
+which sends back sums for each text. Results are the same.
+
+Beside it stands the exact additive unigram score, from the exact counts that
+travel with the groups.
 
 Defined results: a null or empty text is its end token alone; repeated rows get
-equal rows; without training rows N = V = 0 and every token has the base's
-probability of an unseen one.
+equal rows; a text of any length is scored whole; without training rows N = V = 0
+and every token has the base's probability of an unseen one; an empty table gives
+no rows; columns other than doc_id, text and those of ``held_out`` are not read,
+so none can clash.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from larkspur.llm._common import cut, mix64, span_hashes, spans, text_chunks
 
-#: Filters up to this size are broadcast.
-MAX_BITS = 1 << 29
-BLOCK_BITS = 1 << 19
-BITS_PER_TOKEN = 12
-PROBES = 4
-HEAD = 1 << 20
-#: Texts whose n-grams are looked up together, and the least number of groups of blocks they are dealt to.
-PROBE_BYTES = 1 << 22
-PROBE_DOCS = 4096
-GROUPS = 512
-PRIORS = (1.0, 4.0, 16.0, 64.0, 256.0, 1024.0)
-_FLUSH = 2_000_000
+#: Filters of at most so many bytes, with the exact counts of their words, are broadcast whole.
+MAX_BYTES = 1 << 24
+#: Of a larger one the most frequent n-grams: 18 bytes for each word and 10 for each pair, 58 MB at most.
+HEAD_WORDS = 1 << 20
+HEAD_PAIRS = 1 << 22
+#: Training text behind a group of n-grams, and the least number of groups.
+GROUP_BYTES = 1 << 25
+GROUPS = 64
+#: Texts whose n-grams are asked for together.
+ASK_BYTES = 1 << 22
+ASK_DOCS = 4096
+#: Counts up to this one have a class of their own.
+EXACT = 46
+#: Probes for each class beyond the first.
+MORE_PROBES = 8
+PRIOR = 256.0
+#: The mass of counts is summed in such parts, so that it does not depend on the order.
+MASS = 1 << 12
+_FLUSH = 4_000_000
 
 END = np.uint64(0xE4D0_0000_0000_00E5)
 _UNI = np.uint64(0xA24BAED4963EE407)
 _LOW48 = np.uint64((1 << 48) - 1)
-_TAIL = 255
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,22 +79,28 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.append(END, out[:-1]), bound
 
 
-def unigram_key(words: np.ndarray) -> np.ndarray:
-    return mix64(words ^ _UNI)
-
-
 def bigram_key(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix64(before * np.uint64(0x9FB21C651E98DF25) + mix64(words))
 
 
-def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of each key; ``blocks`` is a power of two. The high 16 bits choose first."""
-    return ((keys << np.uint64(16) | keys >> np.uint64(48)) & np.uint64(blocks - 1)).astype(np.int64)
+def word_low(words: np.ndarray) -> np.ndarray:
+    """What the filter knows a word by within its group."""
+    return mix64(words ^ _UNI) & _LOW48
+
+
+def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each 64-bit key, by its high bits, so that keys in order are in order of groups."""
+    return ((keys >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+
 
+def class_of(counts: np.ndarray) -> np.ndarray:
+    counts = np.asarray(counts, np.int64)
+    return np.where(counts <= EXACT, counts, EXACT + np.ceil(EXACT * np.log(np.maximum(counts, 1) / EXACT))).astype(np.int64)
 
-def canonical(keys: np.ndarray, blocks: int) -> np.ndarray:
-    """What a filter of so many blocks can tell of keys: the block and the low 48 bits."""
-    return keys if blocks >= 1 << 16 else keys & np.uint64((blocks - 1) << 48 | int(_LOW48))
+
+def quantised(level: np.ndarray) -> np.ndarray:
+    """The count a class stands for."""
+    return np.where(level <= EXACT, level, EXACT * np.exp((level - EXACT - 0.5) / EXACT))
 
 
 def count_unique(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,352 +110,414 @@ def count_unique(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-class Gathered:
-    """Counts of keys, merged whenever many have come in, so its memory is bounded."""
+def _starts(group: np.ndarray) -> np.ndarray:
+    """Where each run of equal groups begins."""
+    return np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+
+
+def _six(keys: np.ndarray) -> bytes:
+    """The low 48 bits of each key."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
 
-    def __init__(self, limit: int = _FLUSH):
-        self.limit, self.keys, self.size = limit, [], 0
+def _from_six(raw) -> np.ndarray:
+    raw = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :6] = raw
+    return wide.view(np.uint64).ravel()
 
-    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        self.keys.append(keys)
-        self.size += len(keys)
-        return self.drain() if self.size >= self.limit else None
 
-    def drain(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate(self.keys) if self.keys else np.zeros(0, np.uint64)
-        self.keys, self.size = [], 0
-        return count_unique(keys, np.ones(len(keys), np.int64))
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """All arrays of a column of bytes, one after the other; nulls are empty."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column if x.is_valid), kind)
 
 
-def token_counts(train: DataFrame) -> DataFrame:
-    """token (a 64-bit hash) and c for every distinct token of the training rows."""
+_COUNTED = "group int, words binary, times binary, once binary, more binary, counts binary"
+
+
+def _counted(group: int, words: np.ndarray, times: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> dict:
+    """Counts of the n-grams of one group; most pairs occur once and need no number."""
+    once = counts == 1
+    return {"group": group, "words": words.tobytes(), "times": times.astype(np.int64).tobytes(), "once": _six(pairs[once]), "more": _six(pairs[~once]), "counts": counts[~once].astype(np.int64).tobytes()}
+
+
+def _pair_counts(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    once, more = _from_six(b"".join(x.as_buffer() for x in rows["once"])), _from_six(b"".join(x.as_buffer() for x in rows["more"]))
+    return np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), _joined(rows["counts"], np.int64)])
+
+
+def counted_groups(train: DataFrame, groups: int) -> DataFrame:
+    """A row for each group: exact counts of its words and pairs, and what the size of its filter follows from."""
 
     def count(batches):
-        got = Gathered()
+        words, pairs, size = [], [], 0
+
+        def drained():
+            (w, t), (p, c) = (count_unique(x := np.concatenate(got), np.ones(len(x), np.int64)) for got in (words, pairs))
+            own, at = group_of(w, groups), group_of(p, groups)
+            for g in np.unique(np.concatenate([own, at])).tolist():
+                i, j = (slice(*np.searchsorted(x, [g, g + 1])) for x in (own, at))
+                yield pa.RecordBatch.from_pylist([_counted(g, w[i], t[i], p[j], c[j])], schema)
+
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch["text"]):
-                if (part := got.add(tokens(data, offsets)[0])) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1])], names=["token", "c"])
-        part = got.drain()
-        yield pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1])], names=["token", "c"])
+                w, before, _ = tokens(data, offsets)
+                words.append(w)
+                pairs.append(bigram_key(before, w))
+                size += len(w)
+                if size >= _FLUSH:
+                    yield from drained()
+                    words, pairs, size = [], [], 0
+        if size:
+            yield from drained()
+
+    schema = to_arrow_schema(_COUNTED)
+
+    def merge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        words, times = count_unique(_joined(rows["words"], np.uint64), _joined(rows["times"], np.int64))
+        pairs, counts = count_unique(*_pair_counts(rows))
+        level = np.concatenate([class_of(times), class_of(counts)])
+        facts = {"n": int(times.sum()), "distinct": len(times), "mass": int(np.rint(quantised(class_of(times)) * MASS).sum()), "first": len(level), "later": int(level.sum()) - len(level)}
+        above = {f"{k}_above": [int((x >= 2**j).sum()) for j in range(48)] for k, x in (("words", times), ("pairs", counts))}
+        return pa.Table.from_pylist([_counted(key[0].as_py(), words, times, pairs, counts) | facts | above], out)
 
-    return train.select("text").mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    kind = _COUNTED + ", n long, distinct long, mass long, first long, later long, words_above array<long>, pairs_above array<long>"
+    out = to_arrow_schema(kind)
+    return train.select("text").mapInArrow(count, _COUNTED).groupBy("group").applyInArrow(merge, kind)
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray, blocks: int):
-    """One row for each block: the low 48 bits of its keys, then their counts."""
-    block = block_of(keys, blocks)
-    order = np.argsort(block, kind="stable")
-    block, keys, counts = block[order], keys[order] & _LOW48, counts[order]
-    first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
-    low = keys.view(np.uint8).reshape(-1, 8)[:, :6]
-    small = np.minimum(counts, 2**32 - 1).astype(np.uint32)
-    for lo in range(0, len(first), 256):
-        part, stop = first[lo : lo + 256], np.append(first[lo + 1 : lo + 257], len(keys))[: len(first[lo : lo + 256])]
-        yield pa.RecordBatch.from_arrays([pa.array(block[part].astype(np.int32)), pa.array([low[s:e].tobytes() for s, e in zip(part, stop, strict=True)], pa.binary()), pa.array([small[s:e].tobytes() for s, e in zip(part, stop, strict=True)], pa.binary())], names=["block", "low", "counts"])
+def to_arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in T._parse_datatype_string(ddl)])
 
 
 class Filter:
-    """The blocks end to end, and how to read a count from them."""
+    """The bits of one or more groups end to end."""
 
-    def __init__(self, bits: np.ndarray, blocks: int):
-        self.bits, self.blocks = bits, blocks
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, probes: int):
+        self.bits, self.sizes, self.probes = bits, sizes.astype(np.uint64), probes
+        self.base = np.cumsum(sizes) - sizes
 
     @staticmethod
-    def probes(low: np.ndarray, level: int, block_bits: int = BLOCK_BITS):
-        for k in range(PROBES):
-            yield mix64(low * np.uint64(2) + np.uint64((level * PROBES + k) * 0x632BE59BD9B4E019 % 2**64)) & np.uint64(block_bits - 1)
+    def size_for(first, later, probes: int):
+        """Bits that ``first`` first and ``later`` later classes fill by half, in whole bytes."""
+        return (first * probes + later * MORE_PROBES) * 13 // 72 * 8 + 64  # 13/9 is 1 / ln 2
 
     @staticmethod
-    def read(bits: np.ndarray, base: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Classes of keys from their low bits and the place of their block's first bit."""
-        level, active = np.zeros(len(low), np.uint8), np.arange(len(low))
-        for q in range(1, 64):
-            ok = np.ones(len(active), bool)
-            for at in Filter.probes(low[active], q):
-                bit = base[active] + at.astype(np.int64)
-                ok &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-            active = active[ok]
-            if not len(active):
+    def places(low: np.ndarray, level: np.ndarray, k: int, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two of the bits of each (n-gram, class)."""
+        h = mix64(low * np.uint64(2) + np.uint64(1) + mix64(level.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(k)))
+        return ((h >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64), ((h & np.uint64(0xFFFFFFFF)) * size >> np.uint64(32)).astype(np.int64)
+
+    @classmethod
+    def built(cls, low: np.ndarray, level: np.ndarray, probes: int) -> Filter:
+        size = cls.size_for(len(low), int(level.sum()) - len(low), probes)
+        bits, m = np.zeros(size, bool), np.uint64(size)
+        order = np.argsort(-level, kind="stable")
+        low, level = low[order], level[order]
+        for q in range(1, int(level[0]) + 1 if len(level) else 1):
+            own = low[: np.searchsorted(-level, -q, "right")]
+            for k in range((probes if q == 1 else MORE_PROBES) // 2):
+                for at in cls.places(own, np.array([q]), k, m):
+                    bits[at] = True
+        return cls(np.packbits(bits, bitorder="little"), np.array([size]), probes)
+
+    def has(self, group: np.ndarray, low: np.ndarray, level: np.ndarray, probes: int) -> np.ndarray:
+        """Which (n-gram, class) entries all probes find."""
+        left = np.arange(len(low))
+        for k in range(probes // 2):
+            size, base = self.sizes[group[left]], self.base[group[left]]
+            ok = np.ones(len(left), bool)
+            for at in self.places(low[left], level[left], k, size):
+                at += base
+                ok &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            left = left[ok]
+            if not len(left):
                 break
-            level[active] = q
-        return level
+        out = np.zeros(len(low), bool)
+        out[left] = True
+        return out
+
+    def read(self, group: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The class of each n-gram, 0 for one that is not there."""
+        out = self.has(group, low, np.ones(len(low), np.int64), self.probes).astype(np.int64)
+
+        def reach(left: np.ndarray, level: np.ndarray) -> np.ndarray:
+            """Whether classes further on are there, and the class before each: one false entry alone leads one class too far at most."""
+            hit = self.has(group[left], low[left], level, MORE_PROBES)
+            again = np.flatnonzero(hit & (level > out[left] + 1))
+            hit[again] = self.has(group[left[again]], low[left[again]], level[again] - 1, MORE_PROBES)
+            return hit
+
+        left = np.flatnonzero(out)
+        fail, step = np.zeros(len(low), np.int64), 1
+        while len(left):  # classes twice as far each time, until one is not there
+            hit = reach(left, out[left] + step)
+            fail[left[~hit]] = out[left[~hit]] + step
+            left = left[hit]
+            out[left] += step
+            step *= 2
+        while len(left := np.flatnonzero(fail - out > 1)):
+            mid = (out[left] + fail[left]) // 2
+            hit = reach(left, mid)
+            out[left[hit]] = mid[hit]
+            fail[left[~hit]] = mid[~hit]
+        return out
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        return self.read(self.bits, block_of(keys, self.blocks) * BLOCK_BITS, keys & _LOW48)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        return quantised(self.levels(keys))
+class Scorer:
+    """The numbers of the whole corpus, and probabilities from counts."""
 
+    def __init__(self, n: int, v: int, mass: float, prior: float, probes: int):
+        self.prior, self.false = prior, v * 2.0**-probes
+        self.base_total, self.total = n + 0.5 * (v + 1), mass + 0.5 * (v + 1)
 
-def quantised(level: np.ndarray) -> np.ndarray:
-    """The count a class stands for: 0, 1, or the middle of the class [2^(q-1), 2^q)."""
-    return np.where(level > 1, 0.75 * 2.0 ** level.astype(float), level)
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / self.base_total)
+
+    def weight(self, level: np.ndarray) -> np.ndarray:
+        """k P(w) of words."""
+        return self.prior * (quantised(level) + 0.5) / self.total
+
+    def alone(self, level: np.ndarray) -> np.ndarray:
+        """A token's share in its text's score as a word without known pairs, and as the context of the next one."""
+        return np.log10(self.weight(level)) - np.log10(quantised(level) + self.prior + self.false)
+
+    def paired(self, weight: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """What a known pair adds to that."""
+        return np.log10(1 + quantised(pair) / weight)
 
 
-def build_block(low: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The bits of one block from the keys that fall into it."""
-    keys, counts = count_unique(low, counts)
-    level = np.floor(np.log2(counts)).astype(np.int64) + 1
-    bits = np.zeros(BLOCK_BITS, np.uint8)
-    for q in range(1, int(level.max(initial=0)) + 1):
-        for at in Filter.probes(keys[level >= q], q):
-            bits[at.astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little")
+class Head:
+    """Values of the most frequent keys, found by the high bits of a key."""
 
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], [v[order] for v in values]
+        self.shift = np.uint64(63 - max(len(keys), 1).bit_length())
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << int(64 - self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
 
-def blocks_for(n_tokens: int) -> int:
-    return max(BLOCK_BITS, 1 << math.ceil(math.log2(max(BITS_PER_TOKEN * n_tokens, 2)))) // BLOCK_BITS
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not among them."""
+        slot = keys >> self.shift
+        at, stop = self.first[slot], self.first[slot + np.uint64(1)]
+        out, left = np.full(len(keys), -1, np.int64), np.flatnonzero(at < stop)
+        at, stop, keys = at[left], stop[left], keys[left]
+        while len(left):
+            hit = self.keys[at] == keys
+            out[left[hit]] = at[hit]
+            on = ~hit & (at + 1 < stop)
+            left, at, stop, keys = left[on], at[on] + 1, stop[on], keys[on]
+        return out
 
 
-def built_blocks(train: DataFrame, unigrams: DataFrame, n_tokens: int, blocks: int) -> DataFrame:
-    """block, its bits, and keys and classes of the n-grams in it with at least n_tokens / HEAD occurrences."""
-    least = max(n_tokens / HEAD, 1)
+def _group_filter(row: dict, probes: int) -> tuple[Filter, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The filter of a row of ``counted_groups``, and its exact words, times, pairs and counts."""
+    words, times = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["times"], np.int64)
+    once, more = _from_six(row["once"]), _from_six(row["more"])
+    pairs, counts = np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), np.frombuffer(row["counts"], np.int64)])
+    return Filter.built(np.concatenate([word_low(words), pairs]), np.concatenate([class_of(times), class_of(counts)]), probes), words, times, pairs, counts
 
-    def bigrams(batches):
-        got = Gathered(2 * _FLUSH)
+
+def filters(counted: DataFrame, probes: int) -> DataFrame:
+    """group, its bits, and the exact counts of its words."""
+
+    def build(batches):
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch["text"]):
-                words, before, _ = tokens(data, offsets)
-                if (part := got.add(bigram_key(before, words))) is not None:
-                    yield from _packed(*part, blocks)
-        yield from _packed(*got.drain(), blocks)
+            for row in batch.to_pylist():
+                made, words, times, *_ = _group_filter(row, probes)
+                yield pa.RecordBatch.from_pylist([{"group": row["group"], "bits": made.bits.tobytes(), "words": words.tobytes(), "times": times.tobytes()}], schema)
+
+    kind = "group int, bits binary, words binary, times binary"
+    schema = to_arrow_schema(kind)
+    return counted.select(*_COUNTED.replace(" int", "").replace(" binary", "").split(", ")).mapInArrow(build, kind)
+
 
-    def singles(batches):
+def heads(counted: DataFrame, probes: int, least_word: int, least_pair: int) -> tuple[Head, Head]:
+    """Words and pairs with so many occurrences: the class that the filter gives, and for words the exact count."""
+
+    def pick(batches):
         for batch in batches:
-            yield from _packed(unigram_key(batch["token"].to_numpy().view(np.uint64)), batch["c"].to_numpy(), blocks)
-
-    schema = "block int, low binary, counts binary"
-    packed = train.select("text").mapInArrow(bigrams, schema).union(unigrams.mapInArrow(singles, schema))
-
-    def build(key: tuple[pa.Scalar, ...], batches: pa.Table) -> pa.Table:
-        lows, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, b in zip(batches["low"], batches["counts"], strict=True):
-            raw = np.frombuffer(a.as_py(), np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :6] = raw
-            lows.append(wide.view(np.uint64).ravel())
-            counts.append(np.frombuffer(b.as_py(), np.uint32).astype(np.int64))
-        low, c = count_unique(np.concatenate(lows), np.concatenate(counts))
-        bits, block = build_block(low, c), key[0].as_py()
-        often = low[c >= least]
-        level = Filter.read(bits, np.zeros(len(often), np.int64), often)
-        often = often | np.uint64((block & 0xFFFF) << 48)
-        return pa.table({"block": pa.array([block], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary()), "often": pa.array([often.tobytes()], pa.binary()), "level": pa.array([level.tobytes()], pa.binary())})
-
-    return packed.groupBy("block").applyInArrow(build, "block int, bits binary, often binary, level binary")
-
-
-def whole_filter(built: DataFrame, blocks: int) -> Filter:
-    out = np.zeros(blocks * (BLOCK_BITS // 8), np.uint8)
-    for r in built.select("block", "bits").toLocalIterator():
-        out[r.block * (BLOCK_BITS // 8) : (r.block + 1) * (BLOCK_BITS // 8)] = np.frombuffer(r.bits, np.uint8)
-    return Filter(out, blocks)
-
-
-def frequent(built: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, in order, and classes of at most 2 * HEAD n-grams."""
-    found = built.where(F.length("often") > 0).select("often", "level").toArrow()
-    keys = np.frombuffer(b"".join(found["often"].to_pylist()), np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.frombuffer(b"".join(found["level"].to_pylist()), np.uint8)[order]
+            for row in batch.to_pylist():
+                made, words, times, pairs, counts = _group_filter(row, probes)
+                w, p = times >= least_word, counts >= least_pair
+                level = [made.read(np.zeros(len(x), np.int64), x).astype(np.uint16).tobytes() for x in (word_low(words[w]), pairs[p])]
+                yield pa.RecordBatch.from_pylist([{"group": row["group"], "words": words[w].tobytes(), "times": times[w].tobytes(), "levels": level[0], "pairs": _six(pairs[p]), "pair_levels": level[1]}], schema)
 
+    kind = "group int, words binary, times binary, levels binary, pairs binary, pair_levels binary"
+    schema = to_arrow_schema(kind)
+    got = counted.select(*_COUNTED.replace(" int", "").replace(" binary", "").split(", ")).mapInArrow(pick, kind).toArrow()  # bounded by HEAD_WORDS and HEAD_PAIRS
+    pairs = [tagged(_from_six(x.as_buffer()), np.int64(g.as_py())) for g, x in zip(got["group"], got["pairs"], strict=True)]
+    words = Head(_joined(got["words"], np.uint64), _joined(got["levels"], np.uint16), _joined(got["times"], np.int64))
+    return words, Head(np.concatenate(pairs) if pairs else np.zeros(0, np.uint64), _joined(got["pair_levels"], np.uint16))
 
-class Scorer:
-    def __init__(self, n: int, v: int):
-        self.total = n + 0.5 * (v + 1)
-
-    def log10(self, w: np.ndarray, h: np.ndarray, hw: np.ndarray, k: float) -> np.ndarray:
-        return np.log10((hw + k * (w + 0.5) / self.total) / (h + k))
-
-    def rows(self, w: np.ndarray, hw: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        """For each text and prior its score, then its leave-one-out likelihood, from classes of tokens and pairs.
-
-        Leave-one-out: a token's own occurrence counts neither for its word, context nor pair.
-        """
-        h = np.roll(w, 1)  # before a text's first token and at each text's end stands the end token
-        code = (w.astype(np.int32) << 12) | (h.astype(np.int32) << 6) | np.minimum(hw, np.minimum(w, h))
-        seen = np.flatnonzero(np.bincount(code, minlength=1 << 18))
-        count = [quantised(x) for x in (seen >> 12, (seen >> 6) & 63, seen & 63)]
-        less = [np.maximum(x - 1, 0) for x in count]
-        table = np.stack([self.log10(*x, k) for x in (count, less) for k in PRIORS], axis=1)
-        at = np.zeros(1 << 18, np.int32)
-        at[seen] = np.arange(len(seen))
-        return np.add.reduceat(table[at[code]], bound[:-1], axis=0)
-
-
-def lookups(model: Filter, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of each token and of each pair of a token with the one before it."""
-    single, at = np.unique(words, return_inverse=True)
-    pairs, at_pair = np.unique(bigram_key(before, words), return_inverse=True)
-    return model.levels(unigram_key(single))[at], model.levels(pairs)[at_pair]
-
-
-_PROBED = "chunk long, deal int, data binary, carry struct<w:binary,hw:binary,w_at:binary,hw_at:binary,bound:binary,ids:binary,known:binary,base:binary,own:binary,rest:binary,times:binary,doc_id:array<{0}>,held_out:array<boolean>>"
-
-
-def groups_for(blocks: int) -> int:
-    return min(blocks, max(GROUPS, blocks >> 6))
-
-
-def probes_of(words: np.ndarray, before: np.ndarray, head: tuple[np.ndarray, np.ndarray], blocks: int):
-    """(group, keys) of the lookups that the head leaves open, group by group, and how tokens refer to them."""
-    single, at = np.unique(words, return_inverse=True)
-    pairs, at_pair = np.unique(canonical(bigram_key(before, words), blocks), return_inverse=True)
-    one = canonical(unigram_key(single), blocks)
-    order = np.argsort(one)
-    place = np.empty(len(one), np.int64)
-    place[order] = np.arange(len(one))
-    keys = np.concatenate([one[order], pairs])
-    level = np.full(len(keys), _TAIL, np.uint8)
-    if len(head[0]):
-        near = np.minimum(np.searchsorted(head[0], keys), len(head[0]) - 1)
-        there = head[0][near] == keys
-        level[there] = head[1][near[there]]
-    tail = np.flatnonzero(level == _TAIL)
-    group = block_of(keys[tail], blocks) // (blocks // groups_for(blocks))
-    order = np.argsort(group, kind="stable")
-    tail, group = tail[order], group[order]
-    rank = np.zeros(len(keys), np.int32)
-    rank[tail] = np.arange(len(tail))
-    refs = []
-    for ref in (place[at], at_pair + len(one)):
-        own = level[ref]
-        refs.append((own, rank[ref[own == _TAIL]]))
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-    found = keys[tail]
-    return [(int(group[a]), found[a:b].tobytes()) for a, b in zip(first, np.append(first[1:], len(group)), strict=True)], refs
-
-
-def meet(blocks: int):
-    """Classes of the keys of one group of blocks; what is carried past them goes on unchanged."""
-    per = blocks // groups_for(blocks)
-
-    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):
-            return left
-        size, out = BLOCK_BITS // 8, []
-        bits = np.zeros(per * size, np.uint8)
-        for b, raw in zip(right["block"].to_pylist(), right["bits"], strict=True):
-            bits[b % per * size : (b % per + 1) * size] = np.frombuffer(raw.as_buffer(), np.uint8)
-        for raw in left["data"]:
-            if not raw.is_valid:
-                out.append(None)
-                continue
-            keys = np.frombuffer(raw.as_buffer(), np.uint64)
-            out.append(Filter.read(bits, block_of(keys, blocks) % per * BLOCK_BITS, keys & _LOW48).tobytes())
-        return left.set_column(left.schema.get_field_index("data"), "data", pa.array(out, pa.binary()))
-
-    return run
-
-
-def score(documents: DataFrame, held_out: Column, max_bits: int = MAX_BITS) -> DataFrame:
+
+def tagged(low: np.ndarray, group) -> np.ndarray:
+    """Pairs as their group and low 48 bits tell them, spread over 64 bits."""
+    return mix64((low & _LOW48) + np.uint64(0x9E3779B97F4A7C15) * np.asarray(group).astype(np.uint64))
+
+
+def score(documents: DataFrame, held_out: Column, max_bytes: int = MAX_BYTES, prior: float = PRIOR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = documents.sparkSession
     docs = documents.select("doc_id", "text", held_out.alias("held_out"))
     train = docs.where("not held_out")
-    counts = cut(token_counts(train))
-    total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    blocks = blocks_for(total)
-    built = built_blocks(train, counts, total, blocks)
-    scorer = Scorer(total, distinct)
-    head = counts.where(F.col("c") * HEAD >= total).toArrow()  # at most HEAD rows
-    order = np.argsort(keys := head["token"].to_numpy().view(np.uint64))
-    unigrams = (keys[order], head["c"].to_numpy()[order], total + 0.5 * (distinct + 1))
-    doc = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")], T.StructField("base", T.DoubleType()), T.StructField("scores", T.ArrayType(T.DoubleType()))])
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("token", T.LongType()), T.StructField("times", T.IntegerType()), T.StructField("doc", doc)])
-
-    def basis(words: np.ndarray, bound: np.ndarray, unigrams: tuple) -> tuple[np.ndarray, ...]:
-        """Known tokens and base score of each text by frequent tokens, and (text, token, times) of all others."""
-        known, c, denominator = unigrams
-        n, log_known = len(bound) - 1, np.log10((c + 0.5) / denominator)
-        row = np.repeat(np.arange(n), np.diff(bound))
-        at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
-        there = known[at] == words if len(known) else np.zeros(len(words), bool)
-        base = np.bincount(row[there], log_known[at[there]], minlength=n).astype(float)
-        n_known = np.bincount(row[there], minlength=n)
-        rest, own = words[~there], row[~there]
-        order = np.lexsort((rest, own))
-        rest, own = rest[order], own[order]
-        first = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (own[1:] != own[:-1]))) if len(rest) else np.zeros(0, np.int64)
-        return n_known, base, own[first], rest[first], np.diff(np.append(first, len(rest))).astype(np.int32)
-
-    def told(ids, doc_id, out, bound, scores, n_known, base, own, rest, times) -> Iterator[pa.RecordBatch]:
-        n = len(ids)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * scores.shape[1]), pa.array(scores.ravel()))
-        carrier = pa.StructArray.from_arrays([doc_id, out, pa.array(np.diff(bound)), pa.array(n_known), pa.array(base), flat.cast(pa_struct(doc).field("scores").type)], fields=list(pa_struct(doc)))
-        # a carrier row holds what is known of a text; it has times 0, so the token it is dealt by adds nothing
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mix64(ids.view(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int32)), carrier], names=schema.names)
-        if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(rest.view(np.int64)), pa.array(times), pa.nulls(len(own), carrier.type)], names=schema.names)
-
-    def pa_struct(kind: T.DataType):
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        return to_arrow_type(kind)
+    groups = max(GROUPS, -(-(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES))
+    counted = cut(counted_groups(train, groups))
+    facts = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "distinct", "mass", "first", "later")]).first()
+    probes = 2 * math.ceil(max(math.log2(4 * max(facts["distinct"], 1)), MORE_PROBES) / 2)
+    scorer = Scorer(facts["n"], facts["distinct"], facts["mass"] / MASS, prior, probes)
+    out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
+    if Filter.size_for(facts["first"], facts["later"], probes) // 8 + 16 * facts["distinct"] <= max_bytes:
+        return _by_broadcast(docs, filters(counted, probes), groups, scorer, probes, facts["n"], out)
+    return _by_groups(docs, counted, groups, scorer, probes, facts["n"], out)
+
+
+def _told(doc_id, held_out, n_tokens, known, n: int, base, score, names) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, held_out, pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(score)], names=names)
+
+
+def _by_broadcast(docs: DataFrame, built: DataFrame, groups: int, scorer: Scorer, probes: int, n: int, out: T.StructType) -> DataFrame:
+    """Every n-gram is looked up in the whole filter, which each worker has."""
+    got = built.toArrow()  # max_bytes at most
+    sizes = np.full(groups, 8, np.int64)
+    parts = [b"\0"] * groups
+    for g, b in zip(got["group"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        parts[g], sizes[g] = b, 8 * len(b)
+    model = Filter(np.frombuffer(b"".join(parts), np.uint8), sizes, probes)
+    shared = docs.sparkSession.sparkContext.broadcast((model, Head(_joined(got["words"], np.uint64), _joined(got["times"], np.int64))))
 
     def rate(batches):
-        model, unigrams = shared.value
+        model, exact = shared.value
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch["text"]):
-                n = hi - lo
                 words, before, bound = tokens(data, offsets)
-                yield from told(batch["row"].slice(lo, n).to_numpy(), batch["doc_id"].slice(lo, n), batch["held_out"].slice(lo, n), bound, scorer.rows(*lookups(model, words, before), bound), *basis(words, bound, unigrams))
-
-    probed = T._parse_datatype_string(_PROBED.format(docs.schema["doc_id"].dataType.simpleString()))
-
-    def probe(batches):
-        often, unigrams = shared.value
-        kind = pa_struct(probed["carry"].dataType)
-
-        def one(x: pa.Array) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-
+                single, at = np.unique(words, return_inverse=True)
+                pairs, at_pair = np.unique(bigram_key(before, words), return_inverse=True)
+                level = model.read(group_of(single, groups), word_low(single))[at]
+                pair = model.read(group_of(pairs, groups), pairs & _LOW48)[at_pair]
+                place = exact.find(single)
+                c = (np.where(place >= 0, exact.values[0][place], 0) if len(exact.keys) else np.zeros(len(single), np.int64))[at]
+                own = scorer.alone(level) + scorer.paired(scorer.weight(level), pair)
+                base, total, known = (np.add.reduceat(x, bound[:-1]) for x in (scorer.base(c), own, (c > 0).astype(np.int64)))
+                yield _told(batch["doc_id"].slice(lo, hi - lo), batch["held_out"].slice(lo, hi - lo), np.diff(bound), known, n, base, total, out.names)
+
+    return docs.mapInArrow(rate, out)
+
+
+_ASKED = "chunk long, deal int, docs binary, per binary, weights binary, pairs binary, words binary, rare binary"
+_MET = "chunk long, deal int, docs binary, sums binary, times binary, levels binary, rare binary"
+_CARRIED = "carry struct<n_tokens:binary,known:binary,base:binary,score:binary,row:binary,at_word:binary,at_pair:binary,doc_id:array<{0}>,held_out:array<boolean>>"
+
+
+def _by_groups(docs: DataFrame, counted: DataFrame, groups: int, scorer: Scorer, probes: int, n: int, out: T.StructType) -> DataFrame:
+    """Frequent n-grams are looked up in the map; the others meet their group of the filter, dealt by hash.
+
+    A chunk of texts asks each group once: for pairs of a frequent word, whose
+    contributions come back as sums by text; for its rare words; and for the pairs of
+    rare words. What is known of the chunk without those answers goes along.
+    """
+    rows = counted.select(F.posexplode(F.arrays_zip("words_above", "pairs_above")).alias("j", "x")).groupBy("j").agg(F.sum("x.words_above").alias("w"), F.sum("x.pairs_above").alias("p")).collect()  # 48 rows
+    least_word = 2 ** min(r["j"] for r in rows if r["w"] <= HEAD_WORDS)
+    # a frequent pair's word is frequent
+    least_pair = max(2 ** min(r["j"] for r in rows if r["p"] <= HEAD_PAIRS), least_word)
+    shared = docs.sparkSession.sparkContext.broadcast(heads(counted, probes, least_word, least_pair))
+    carried = _CARRIED.format(docs.schema["doc_id"].dataType.simpleString())
+    asked_kind, met_kind = f"{_ASKED}, {carried}", f"{_MET}, {carried}"
+    asked_schema, met_schema = to_arrow_schema(asked_kind), to_arrow_schema(met_kind)
+    small = np.uint16 if groups <= 1 << 16 else np.int32
+
+    def ask(batches):
+        top_words, top_pairs = shared.value
+        level_w, times_w = top_words.values
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch["text"], PROBE_BYTES, PROBE_DOCS):
-                n = hi - lo
+            for lo, hi, data, offsets in text_chunks(batch["text"], ASK_BYTES, ASK_DOCS):
                 words, before, bound = tokens(data, offsets)
-                asked, ((w, w_at), (hw, hw_at)) = probes_of(words, before, often, blocks)
-                ids = batch["row"].slice(lo, n).to_numpy()
-                chunk = int(ids[0])  # the number of a chunk's first row is its own
-                raw = [w, hw, w_at, hw_at, bound.astype(np.int64), ids, *basis(words, bound, unigrams)]
-                columns = [*[pa.array([x.tobytes()], pa.binary()) for x in raw], one(batch["doc_id"].slice(lo, n)), one(batch["held_out"].slice(lo, n))]
-                carry = pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(columns, kind, strict=True)], fields=list(kind))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([int(mix64(ids[:1].view(np.uint64))[0] % np.uint64(groups_for(blocks)))], pa.int32()), pa.nulls(1, pa.binary()), carry], names=probed.names)
-                if asked:
-                    deal, keys = zip(*asked, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(deal)), pa.array(deal, pa.int32()), pa.array(keys, pa.binary()), pa.nulls(len(deal), kind)], names=probed.names)
+                row = np.repeat(np.arange(hi - lo), np.diff(bound))
+                place = top_words.find(words)
+                top = np.flatnonzero(place >= 0)
+                level = level_w[place[top]].astype(np.int64)
+                known = np.bincount(row[top], minlength=hi - lo)
+                base = np.bincount(row[top], scorer.base(times_w)[place[top]], minlength=hi - lo)
+                weight = scorer.weight(level)
+                own = scorer.alone(level)
+                keys = bigram_key(before, words)
+                deal = group_of(keys, groups)
+                pair = top_pairs.find(tagged(keys, deal))
+                seen = pair[top] >= 0
+                own[seen] += scorer.paired(weight[seen], top_pairs.values[0][pair[top[seen]]].astype(np.int64))
+                total = np.bincount(row[top], own, minlength=hi - lo)
+                asks: dict[int, dict] = {}
+
+                def put(group: np.ndarray, name: str, values, asks=asks):
+                    first = _starts(group)
+                    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(group)], strict=False):  # nothing where there is no group
+                        asks.setdefault(int(group[a]), {})[name] = values(slice(a, b))
+
+                open_ = top[~seen]
+                order = np.argsort(deal[open_].astype(small), kind="stable")
+                open_, weight_o = open_[order], level[~seen][order].astype(np.uint16)
+                g = deal[open_]
+                put(g, "pairs", lambda s: _six(keys[open_[s]]))
+                put(g, "weights", lambda s: weight_o[s].tobytes())
+                first = _starts(g * np.int64(ASK_DOCS) + row[open_])
+                per, docs_of, g_of = np.diff(np.append(first, len(open_))).astype(np.uint32), row[open_[first]].astype(np.uint16), g[first]
+                put(g_of, "docs", lambda s: docs_of[s].tobytes())
+                put(g_of, "per", lambda s: per[s].tobytes())
+                rare = np.flatnonzero(place < 0)
+                at_word, at_pair = group_of(words[rare], groups), deal[rare]
+                for name, at, values in (("words", at_word, words[rare]), ("rare", at_pair, keys[rare])):
+                    order = np.argsort(at.astype(small), kind="stable")
+                    sorted_ = values[order]
+                    put(at[order], name, (lambda s, x=sorted_: x[s].tobytes()) if name == "words" else (lambda s, x=sorted_: _six(x[s])))
+                chunk = batch["row"][lo].as_py()  # the number of a chunk's first row is its own
+                carry = {"n_tokens": np.diff(bound).astype(np.int64).tobytes(), "known": known.astype(np.int64).tobytes(), "base": base.tobytes(), "score": total.tobytes(), "row": row[rare].astype(np.uint16).tobytes(), "at_word": at_word.astype(small).tobytes(), "at_pair": at_pair.astype(small).tobytes(), "doc_id": batch["doc_id"].slice(lo, hi - lo).to_pylist(), "held_out": batch["held_out"].slice(lo, hi - lo).to_pylist()}
+                found = [{"chunk": chunk, "deal": int(mix64(np.array([chunk], np.uint64))[0] % np.uint64(groups)), "carry": carry}]
+                yield pa.RecordBatch.from_pylist(found + [{"chunk": chunk, "deal": k} | x for k, x in asks.items()], asked_schema)
+
+    def meet(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if len(right):
+            bits = np.frombuffer(right["bits"][0].as_buffer(), np.uint8)
+            words, times = np.frombuffer(right["words"][0].as_buffer(), np.uint64), np.frombuffer(right["times"][0].as_buffer(), np.int64)
+        else:
+            bits, words, times = np.zeros(1, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        model, exact, result = Filter(bits, np.array([8 * len(bits)]), probes), Head(words, times), []
+        read = lambda low: model.read(np.zeros(len(low), np.int64), low)
+        for row in left.to_pylist():
+            met = {"chunk": row["chunk"], "deal": row["deal"], "carry": row["carry"]}
+            if row["pairs"]:
+                per = np.frombuffer(row["per"], np.uint32).astype(np.int64)
+                weight = scorer.weight(np.frombuffer(row["weights"], np.uint16).astype(np.int64))
+                more = scorer.paired(weight, read(_from_six(row["pairs"])))
+                met |= {"docs": row["docs"], "sums": np.add.reduceat(more, np.cumsum(per) - per).tobytes()}
+            if row["words"]:
+                asked = np.frombuffer(row["words"], np.uint64)
+                place = exact.find(asked)
+                met |= {"times": (np.where(place >= 0, exact.values[0][place], 0) if len(words) else np.zeros(len(asked), np.int64)).tobytes(), "levels": read(word_low(asked)).astype(np.uint16).tobytes()}
+            if row["rare"]:
+                met["rare"] = read(_from_six(row["rare"])).astype(np.uint16).tobytes()
+            result.append(met)
+        return pa.Table.from_pylist(result, met_schema)
 
     def finish(found: pa.Table) -> pa.Table:
-        parts = sorted((d, x) for d, x in zip(found["deal"].to_pylist(), found["data"].to_pylist(), strict=True) if x is not None)
-        level = np.frombuffer(b"".join(x for _, x in parts), np.uint8)
-        carry = found["carry"].combine_chunks().drop_null()
-        types = (np.uint8, np.uint8, np.int32, np.int32, np.int64, np.int64, np.int64, np.float64, np.int64, np.uint64, np.int32)
-        w, hw, w_at, hw_at, bound, ids, *rest = (np.frombuffer(carry.field(i)[0].as_buffer(), t).copy() for i, t in enumerate(types))
-        w[w == _TAIL] = level[w_at]
-        hw[hw == _TAIL] = level[hw_at]
-        doc_id, out = (carry.field(c)[0].values for c in ("doc_id", "held_out"))
-        return pa.Table.from_batches(told(ids, doc_id, out, bound, scorer.rows(w, hw, bound), *rest))
+        found = found.sort_by("deal")
+        carry = next(x.as_py() for x in found["carry"] if x.is_valid)
+        n_tokens, known = (np.frombuffer(carry[c], np.int64) for c in ("n_tokens", "known"))
+        base, total = (np.frombuffer(carry[c], np.float64).copy() for c in ("base", "score"))
+        for d, s in zip(found["docs"], found["sums"], strict=True):
+            if d.is_valid:
+                total[np.frombuffer(d.as_buffer(), np.uint16)] += np.frombuffer(s.as_buffer(), np.float64)
+        row = np.frombuffer(carry["row"], np.uint16).astype(np.int64)
+        c, level, pair = (np.zeros(len(row), np.int64) for _ in range(3))
+        by_word, by_pair = (np.argsort(np.frombuffer(carry[x], small), kind="stable") for x in ("at_word", "at_pair"))
+        c[by_word], level[by_word], pair[by_pair] = _joined(found["times"], np.int64), _joined(found["levels"], np.uint16), _joined(found["rare"], np.uint16)
+        add = lambda x: np.bincount(row, x, minlength=len(base))
+        base += add(scorer.base(c))
+        total += add(scorer.alone(level) + scorer.paired(scorer.weight(level), pair))
+        known = known + add(c > 0).astype(np.int64)
+        ids = pa.array(carry["doc_id"], to_arrow_type(out["doc_id"].dataType))
+        return pa.Table.from_batches([_told(ids, pa.array(carry["held_out"], pa.bool_()), n_tokens, known, n, base, total, out.names)])
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text", "held_out")
-    if blocks * BLOCK_BITS <= max_bits:
-        shared = spark.sparkContext.broadcast((whole_filter(built, blocks), unigrams))
-        rated = numbered.mapInArrow(rate, schema)
-    else:
-        built = cut(built)
-        shared = spark.sparkContext.broadcast((frequent(built), unigrams))
-        table = built.select((F.col("block") / F.lit(blocks // groups_for(blocks))).cast("int").alias("deal"), "block", "bits")
-        asked = numbered.mapInArrow(probe, probed)
-        rated = asked.groupBy("deal").cogroup(table.groupBy("deal")).applyInArrow(meet(blocks), probed).groupBy("chunk").applyInArrow(finish, schema)
-    met = rated.join(counts.select("token", "c"), "token", "left")
-    c, times = F.coalesce("c", F.lit(0)), F.col("times")
-    parts = cut(
-        met.groupBy("row").agg(
-            F.max("doc").alias("doc"),
-            F.sum(times * F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))).alias("rest"),
-            F.sum(F.when(c > 0, times).otherwise(0)).alias("rest_known"),
-        )
-    )
-    fits = parts.where("not doc.held_out").agg(*[F.sum(F.col("doc.scores")[len(PRIORS) + i]) for i in range(len(PRIORS))]).first()
-    best = max(range(len(PRIORS)), key=lambda i: fits[i] or 0.0)
-    return parts.select("doc.doc_id", "doc.held_out", "doc.n_tokens", (F.col("doc.n_known") + F.col("rest_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("doc.base") + F.col("rest")).alias("base_score"), F.col("doc.scores")[best].alias("score"))
+    asked = numbered.mapInArrow(ask, asked_kind)
+    table = filters(counted, probes).withColumnRenamed("group", "deal")
+    met = asked.groupBy("deal").cogroup(table.groupBy("deal")).applyInArrow(meet, met_kind)
+    return met.groupBy("chunk").applyInArrow(finish, out)
