@@ -11,14 +11,14 @@ No count is left out at any size.
 A word's probability is ``P(w|h) = (c(h,w) + k P(w)) / (c(h) + k + f)`` with ``P(w)
 = (c(w) + 0.5) / (C + 0.5 (V + 1))``: the counts are what the probes give, C is
 the sum of the c(w), and one share is left for all unknown words. First classes
-are checked by ``log2(4 V)`` probes, so that f, the number of the V words that an
-entry is wrongly found for, is at most a quarter; sums over the vocabulary are
-within a few parts in a hundred of 1 for every context (tested).
+are checked by ``log2(V)`` probes, so that f, the number of the V words that an
+entry is wrongly found for, is at most 1; sums over the vocabulary are within two
+parts in a hundred of 1 (tested).
 
 A filter of at most ``max_bytes`` is broadcast. A larger one stays a table of
 groups: the most frequent n-grams, at most ``HEAD_WORDS`` and ``HEAD_PAIRS``, are
 broadcast with their classes, and the others meet their group in a shuffle join,
-which sends back sums for each text. Results are the same.
+which sends back sums for each text. Results are the same, to single precision.
 
 Beside it stands the exact additive unigram score, from the exact counts that
 travel with the groups.
@@ -49,8 +49,8 @@ MAX_BYTES = 1 << 24
 HEAD_WORDS = 1 << 20
 HEAD_PAIRS = 1 << 22
 #: Training text behind a group of n-grams, and the least number of groups.
-GROUP_BYTES = 1 << 25
-GROUPS = 64
+GROUP_BYTES = 1 << 24
+GROUPS = 16
 #: Texts whose n-grams are asked for together.
 ASK_BYTES = 1 << 22
 ASK_DOCS = 4096
@@ -127,6 +127,26 @@ def _from_six(raw) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
+def _in_order(low: np.ndarray) -> bytes:
+    """Sorted 48-bit keys: how many have each value of the first bytes, then the other bytes of each."""
+    d = 2 if len(low) >= 1 << 17 else 1 if len(low) >= 1 << 11 else 0
+    head = np.bincount((low >> np.uint64(48 - 8 * d)).astype(np.int64), minlength=256**d).astype(np.uint32) if d else np.zeros(0, np.uint32)
+    return bytes([d]) + head.tobytes() + np.ascontiguousarray(low).view(np.uint8).reshape(-1, 8)[:, : 6 - d].tobytes()
+
+
+def _from_order(raw) -> np.ndarray:
+    raw = np.frombuffer(raw, np.uint8)
+    d = int(raw[0])
+    size = 4 * 256**d if d else 0
+    rest = raw[1 + size :].reshape(-1, 6 - d)
+    wide = np.zeros((len(rest), 8), np.uint8)
+    wide[:, : 6 - d] = rest
+    low = wide.view(np.uint64).ravel()
+    if d:
+        low |= np.repeat(np.arange(256**d, dtype=np.uint64), np.frombuffer(raw[1 : 1 + size].tobytes(), np.uint32)) << np.uint64(48 - 8 * d)
+    return low
+
+
 def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     """All arrays of a column of bytes, one after the other; nulls are empty."""
     return np.frombuffer(b"".join(x.as_buffer() for x in column if x.is_valid), kind)
@@ -137,13 +157,16 @@ _COUNTED = "group int, words binary, times binary, once binary, more binary, cou
 
 def _counted(group: int, words: np.ndarray, times: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> dict:
     """Counts of the n-grams of one group; most pairs occur once and need no number."""
+    low = pairs & _LOW48
+    order = np.argsort(low)
+    low, counts = low[order], counts[order]
     once = counts == 1
-    return {"group": group, "words": words.tobytes(), "times": times.astype(np.int64).tobytes(), "once": _six(pairs[once]), "more": _six(pairs[~once]), "counts": counts[~once].astype(np.int64).tobytes()}
+    return {"group": group, "words": words.tobytes(), "times": times.astype(np.int64).tobytes(), "once": _in_order(low[once]), "more": _in_order(low[~once]), "counts": counts[~once].astype(np.int64).tobytes()}
 
 
-def _pair_counts(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    once, more = _from_six(b"".join(x.as_buffer() for x in rows["once"])), _from_six(b"".join(x.as_buffer() for x in rows["more"]))
-    return np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), _joined(rows["counts"], np.int64)])
+def _pair_counts(once: list, more: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    once, more = [_from_order(x) for x in once], [_from_order(x) for x in more]
+    return np.concatenate([*once, *more]), np.concatenate([np.ones(sum(map(len, once)), np.int64), *[np.frombuffer(x, np.int64) for x in counts]])
 
 
 def counted_groups(train: DataFrame, groups: int) -> DataFrame:
@@ -175,7 +198,7 @@ def counted_groups(train: DataFrame, groups: int) -> DataFrame:
 
     def merge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         words, times = count_unique(_joined(rows["words"], np.uint64), _joined(rows["times"], np.int64))
-        pairs, counts = count_unique(*_pair_counts(rows))
+        pairs, counts = count_unique(*_pair_counts(*(rows[c].to_pylist() for c in ("once", "more", "counts"))))
         level = np.concatenate([class_of(times), class_of(counts)])
         facts = {"n": int(times.sum()), "distinct": len(times), "mass": int(np.rint(quantised(class_of(times)) * MASS).sum()), "first": len(level), "later": int(level.sum()) - len(level)}
         above = {f"{k}_above": [int((x >= 2**j).sum()) for j in range(48)] for k, x in (("words", times), ("pairs", counts))}
@@ -313,8 +336,7 @@ class Head:
 def _group_filter(row: dict, probes: int) -> tuple[Filter, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The filter of a row of ``counted_groups``, and its exact words, times, pairs and counts."""
     words, times = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["times"], np.int64)
-    once, more = _from_six(row["once"]), _from_six(row["more"])
-    pairs, counts = np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), np.frombuffer(row["counts"], np.int64)])
+    pairs, counts = _pair_counts([row["once"]], [row["more"]], [row["counts"]])
     return Filter.built(np.concatenate([word_low(words), pairs]), np.concatenate([class_of(times), class_of(counts)]), probes), words, times, pairs, counts
 
 
@@ -363,7 +385,7 @@ def score(documents: DataFrame, held_out: Column, max_bytes: int = MAX_BYTES, pr
     groups = max(GROUPS, -(-(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES))
     counted = cut(counted_groups(train, groups))
     facts = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "distinct", "mass", "first", "later")]).first()
-    probes = 2 * math.ceil(max(math.log2(4 * max(facts["distinct"], 1)), MORE_PROBES) / 2)
+    probes = 2 * math.ceil(max(math.log2(max(facts["distinct"], 1)), MORE_PROBES) / 2)
     scorer = Scorer(facts["n"], facts["distinct"], facts["mass"] / MASS, prior, probes)
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
     if Filter.size_for(facts["first"], facts["later"], probes) // 8 + 16 * facts["distinct"] <= max_bytes:
@@ -403,11 +425,17 @@ def _by_broadcast(docs: DataFrame, built: DataFrame, groups: int, scorer: Scorer
     return docs.mapInArrow(rate, out)
 
 
-_ASKED = "chunk long, deal int, docs binary, per binary, weights binary, pairs binary, words binary, rare binary"
+_ASKED = "chunk long, deal int, steps binary, weights binary, pairs binary, words binary, rare binary"
 _MET = "chunk long, deal int, docs binary, sums binary, times binary, levels binary, rare binary"
 _CARRIED = "carry struct<n_tokens:binary,known:binary,base:binary,score:binary,row:binary,at_word:binary,at_pair:binary,doc_id:array<{0}>,held_out:array<boolean>>"
 
 
+def _steps(rows: np.ndarray) -> bytes:
+    """Rows in order, each as its distance from the one before, in one byte or two."""
+    step = np.diff(rows, prepend=0)
+    return step.astype(np.uint8 if step.max() < 256 else np.uint16).tobytes()
+
+
 def _by_groups(docs: DataFrame, counted: DataFrame, groups: int, scorer: Scorer, probes: int, n: int, out: T.StructType) -> DataFrame:
     """Frequent n-grams are looked up in the map; the others meet their group of the filter, dealt by hash.
 
@@ -458,10 +486,7 @@ def _by_groups(docs: DataFrame, counted: DataFrame, groups: int, scorer: Scorer,
                 g = deal[open_]
                 put(g, "pairs", lambda s: _six(keys[open_[s]]))
                 put(g, "weights", lambda s: weight_o[s].tobytes())
-                first = _starts(g * np.int64(ASK_DOCS) + row[open_])
-                per, docs_of, g_of = np.diff(np.append(first, len(open_))).astype(np.uint32), row[open_[first]].astype(np.uint16), g[first]
-                put(g_of, "docs", lambda s: docs_of[s].tobytes())
-                put(g_of, "per", lambda s: per[s].tobytes())
+                put(g, "steps", lambda s: _steps(row[open_[s]]))
                 rare = np.flatnonzero(place < 0)
                 at_word, at_pair = group_of(words[rare], groups), deal[rare]
                 for name, at, values in (("words", at_word, words[rare]), ("rare", at_pair, keys[rare])):
@@ -484,10 +509,11 @@ def _by_groups(docs: DataFrame, counted: DataFrame, groups: int, scorer: Scorer,
         for row in left.to_pylist():
             met = {"chunk": row["chunk"], "deal": row["deal"], "carry": row["carry"]}
             if row["pairs"]:
-                per = np.frombuffer(row["per"], np.uint32).astype(np.int64)
                 weight = scorer.weight(np.frombuffer(row["weights"], np.uint16).astype(np.int64))
                 more = scorer.paired(weight, read(_from_six(row["pairs"])))
-                met |= {"docs": row["docs"], "sums": np.add.reduceat(more, np.cumsum(per) - per).tobytes()}
+                docs_of = np.cumsum(np.frombuffer(row["steps"], np.uint8 if len(row["steps"]) == len(more) else np.uint16), dtype=np.int64)
+                first = _starts(docs_of)
+                met |= {"docs": docs_of[first].astype(np.uint16).tobytes(), "sums": np.add.reduceat(more, first).astype(np.float32).tobytes()}
             if row["words"]:
                 asked = np.frombuffer(row["words"], np.uint64)
                 place = exact.find(asked)
@@ -504,7 +530,7 @@ def _by_groups(docs: DataFrame, counted: DataFrame, groups: int, scorer: Scorer,
         base, total = (np.frombuffer(carry[c], np.float64).copy() for c in ("base", "score"))
         for d, s in zip(found["docs"], found["sums"], strict=True):
             if d.is_valid:
-                total[np.frombuffer(d.as_buffer(), np.uint16)] += np.frombuffer(s.as_buffer(), np.float64)
+                total[np.frombuffer(d.as_buffer(), np.uint16)] += np.frombuffer(s.as_buffer(), np.float32)
         row = np.frombuffer(carry["row"], np.uint16).astype(np.int64)
         c, level, pair = (np.zeros(len(row), np.int64) for _ in range(3))
         by_word, by_pair = (np.argsort(np.frombuffer(carry[x], small), kind="stable") for x in ("at_word", "at_pair"))

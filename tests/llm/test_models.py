@@ -162,7 +162,7 @@ class PlainLM:
             self.bi.update(zip(["\0end", *ws[:-1]], ws, strict=True))
         self.n, self.v = sum(self.uni.values()), len(self.uni)
         self.c = sum(map(self.read, self.uni.values()))
-        self.false = self.v / 2 ** (2 * math.ceil(max(math.log2(4 * self.v), 8) / 2))
+        self.false = self.v / 2 ** (2 * math.ceil(max(math.log2(self.v), 8) / 2))
 
     @staticmethod
     def tokens(text):
@@ -204,7 +204,7 @@ def test_bloom_probabilities_sum_to_one(spark):
     train = docs.where(remainder(5) != 1)
     counted = bloom_lm.counted_groups(train, 4).collect()
     v = sum(r.distinct for r in counted)
-    probes = 2 * math.ceil(math.log2(4 * v) / 2)
+    probes = 2 * math.ceil(math.log2(v) / 2)
     scorer = bloom_lm.Scorer(sum(r.n for r in counted), v, sum(r.mass for r in counted) / bloom_lm.MASS, bloom_lm.PRIOR, probes)
     made = {r.group: bloom_lm._group_filter(r.asDict(), probes) for r in counted}
     whole = bloom_lm.Filter(np.concatenate([made[g][0].bits for g in range(4)]), np.array([8 * len(made[g][0].bits) for g in range(4)]), probes)
@@ -241,9 +241,17 @@ def test_bloom_groups_score_like_the_broadcast(spark, monkeypatch, least):
     monkeypatch.setattr(bloom_lm, "ASK_DOCS", 16)
 
     def scores(max_bytes):
-        return sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in bloom_lm.score(documents(spark), remainder(5) == 1, max_bytes).collect())
+        return sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in bloom_lm.score(documents(spark), remainder(5) == 1, max_bytes).collect())
 
-    assert scores(bloom_lm.MAX_BYTES) == scores(0)
+    whole, dealt = scores(bloom_lm.MAX_BYTES), scores(0)
+    assert [x[:4] for x in whole] == [x[:4] for x in dealt]
+    assert [x[4] for x in dealt] == pytest.approx([x[4] for x in whole], rel=1e-5)
+
+
+def test_bloom_keys_in_order_come_back():
+    for n in (0, 5, 5000, 200_000):
+        keys = np.sort(np.random.default_rng(n).integers(0, 2**48, n, dtype=np.uint64))
+        assert (bloom_lm._from_order(bloom_lm._in_order(keys)) == keys).all()
 
 
 def test_bloom_other_columns(spark):
