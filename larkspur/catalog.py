@@ -166,6 +166,11 @@ class Catalog:
             wanted, grown = wanted | more, bool(more)
         return [n for n, t in self.types.items() if isinstance(t, Composite) and wanted & set(t.interfaces)]
 
+    def fields_of(self, name: str) -> list[tuple[str, str]]:
+        """(composite, field) of every field of a type, by its name or by what aliases of both stand for."""
+        base = self.base(name)
+        return [(n, f.name) for n, t in self.types.items() if isinstance(t, Composite) for f in t.fields if f.type == name or self.base(f.type) == base]
+
     def spark_type(self, name: str) -> T.DataType:
         """Composite fields are references to an index, interface fields a type and an index; arrays hold copies."""
         name = name.strip()
@@ -206,6 +211,12 @@ class Catalog:
         return spark.createDataFrame([r for r in rows if kind in (None, r[1])], "name string, kind string")
 
     def describe(self, spark: SparkSession, name: str) -> DataFrame:
+        """Fields of a type, variants of an enum, or, for ``Enum.variant``, its payload fields."""
+        enum, dot, variant = name.partition(".")
+        if dot:  # the payload of one variant
+            fields = self.types[self.base(enum)].variants[variant]
+            rows = [(f.name, f.type, None) for f in fields] if isinstance(fields, list) else []
+            return spark.createDataFrame(rows, "property string, type string, value string")
         t = self.types[self.base(name)]
         if isinstance(t, Enum):
             rows = [(k, "variant" if isinstance(v, int) else ", ".join(f"{f.name}: {f.type}" for f in v), str(v) if isinstance(v, int) else None) for k, v in t.variants.items()]

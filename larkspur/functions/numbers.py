@@ -25,10 +25,19 @@ def true_div(a: Column, b: Column) -> Column:
     return a.cast("double") / b.cast("double")
 
 
+def _floating(*columns: Column) -> Column:
+    """Whether any of the columns is a float or double; known when the plan is analysed."""
+    out = F.lit(False)
+    for c in columns:
+        out |= F.typeof(c).isin("float", "double")
+    return out
+
+
 def floor_div(a: Column, b: Column) -> Column:
     """Rounds toward minus infinity, where ``div`` truncates; division by zero is an error."""
     q = F.call_function("div", a.cast("long"), b.cast("long"))
-    return q - F.when((a.cast("long") % b.cast("long") != 0) & ((a < 0) != (b < 0)), 1).otherwise(0)
+    whole = q - F.when((a.cast("long") % b.cast("long") != 0) & ((a < 0) != (b < 0)), 1).otherwise(0)
+    return F.when(_floating(a, b), F.floor(a.cast("double") / b.cast("double"))).otherwise(whole)
 
 
 def floor_mod(a: Column, b: Column) -> Column:
@@ -63,7 +72,16 @@ def subtract(a: Column, b: Column, bits: int, policy: str = "error", signed: boo
 
 
 def multiply(a: Column, b: Column, bits: int, policy: str = "error", signed: bool = True) -> Column:
-    return overflow(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"), bits, policy, signed)
+    if signed or bits < 64:
+        return overflow(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"), bits, policy, signed)
+    # products of unsigned 64-bit numbers pass 38 digits, so the upper half of one factor goes first
+    x, y, half = a.cast("decimal(20,0)"), b.cast("decimal(20,0)"), F.lit(str(1 << 32)).cast("decimal(11,0)")
+    high, low = F.floor(x / half).cast("decimal(11,0)"), (x % half).cast("decimal(11,0)")
+    upper, lower = (high * y).cast("decimal(31,0)"), (low * y).cast("decimal(31,0)")
+    if policy == "wrapping":
+        return overflow((upper % half).cast("decimal(11,0)") * half + lower, bits, policy, signed)
+    # an upper part of 2^32 or more is out of range whatever the rest is
+    return overflow(F.least(upper, half.cast("decimal(31,0)")).cast("decimal(11,0)") * half + lower, bits, policy, signed)
 
 
 def convert(value: Column, bits: int, signed: bool = True) -> Column:
@@ -133,15 +151,17 @@ def big_mod(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.IntegerType())
 def big_compare(a: pd.Series, b: pd.Series) -> pd.Series:
     """-1, 0 or 1."""
-    return pd.Series([(int(x) > int(y)) - (int(x) < int(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
+    return pd.Series([None if x is None or y is None else (int(x) > int(y)) - (int(x) < int(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 _FRACTION = T.StructType().add("num", "string").add("den", "string")
 
 
 def _fractions(op, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    out = [op(Fraction(int(n), int(d)), Fraction(int(m), int(e))) for n, d, m, e in zip(a.num, a.den, b.num, b.den, strict=True)]
-    return pd.DataFrame({"num": [str(x.numerator) for x in out], "den": [str(x.denominator) for x in out]})
+    """A fraction with a null part, and what is made of one, has two null parts."""
+    rows = zip(a.num, a.den, b.num, b.den, strict=True)
+    out = [None if any(x is None for x in row) else op(Fraction(int(row[0]), int(row[1])), Fraction(int(row[2]), int(row[3]))) for row in rows]
+    return pd.DataFrame({k: pd.Series([None if x is None else str(getattr(x, name)) for x in out], dtype=object) for k, name in (("num", "numerator"), ("den", "denominator"))})
 
 
 @F.pandas_udf(_FRACTION)
@@ -178,10 +198,15 @@ def elementwise(a: Column, b: Column, op, a_list: bool = False, b_list: bool = F
     return F.transform(b, lambda x: op(a, x)) if b_list else op(a, b)
 
 
+def _start(known: Column, value: int) -> Column:
+    """What a fold over a list begins with: a wide integer for integers, a double for floats."""
+    return F.get(known, F.lit(0)) * 0 + F.lit(value).cast(_WIDE)
+
+
 def list_sum(a: Column) -> Column:
     """Of a list's values, nulls left out; null for an empty list."""
     known = F.filter(a, lambda x: x.isNotNull())
-    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast(_WIDE), lambda t, x: (t + x).cast(_WIDE)))
+    return F.when(F.size(known) > 0, F.aggregate(known, _start(known, 0), lambda t, x: t + x))
 
 
 def list_average(a: Column) -> Column:
@@ -191,7 +216,7 @@ def list_average(a: Column) -> Column:
 
 def list_product(a: Column) -> Column:
     known = F.filter(a, lambda x: x.isNotNull())
-    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(1).cast(_WIDE), lambda t, x: (t * x.cast("decimal(19,0)")).cast(_WIDE)))
+    return F.when(F.size(known) > 0, F.aggregate(known, _start(known, 1), lambda t, x: t * x))
 
 
 def boolean(x: Column) -> Column:

@@ -95,23 +95,25 @@ class Graph:
     def step(self, start: Result, name: str, depth: int = 1) -> Result:
         """Nodes and edges reached from ``start`` along an axis; depth 0 is nothing, ALL goes on to the end.
 
-        Edges found in the last round, in which no node is new, are kept.
+        Each round goes on from the nodes that are new. A round in which none is new is
+        the last: its edges count, its nodes do not.
         """
         none = Result(start.nodes.limit(0), start.edges.limit(0))
         if depth == 0:
             return none
-        edges, front, seen, found, n = self.axis(name), start.nodes, start.nodes, none, 0
+        edges, front, seen, n = self.axis(name), start.nodes, start.nodes.distinct(), 0
+        nodes, found = none.nodes, none.edges
         while depth == ALL or n < depth:
-            out = edges.join(front.select(F.col("id").alias("_n")), F.col("source") == F.col("_n"), "left_semi")
-            reached = out.select(F.col("target").alias("id")).distinct()
-            fresh = cut(reached.join(seen, "id", "left_anti"))
-            n += 1
-            found = Result(found.nodes.union(reached).distinct(), found.edges.union(out).distinct())
-            if depth == 1 or fresh.isEmpty():
+            out = edges.join(front.select(F.col("id").alias("_n")), F.col("source") == F.col("_n"), "left_semi").distinct()
+            marked = out.join(seen.select(F.col("id").alias("_s")), F.col("target") == F.col("_s"), "left")
+            marked = cut(marked.select("label", "source", "target", F.col("_s").isNull().alias("_new")))
+            found, n = found.union(marked.drop("_new")), n + 1
+            if marked.where("_new").isEmpty():
                 break
-            seen, front = cut(seen.union(fresh)), fresh
-            found = Result(found.nodes, cut(found.edges))
-        return found
+            nodes = nodes.union(marked.select(F.col("target").alias("id")))
+            front = marked.where("_new").select(F.col("target").alias("id")).distinct()
+            seen = seen.union(front)
+        return Result(nodes.distinct(), found.distinct())
 
     def add(self, start: Result, name: str, depth: int = 1) -> Result:
         """What is there and what the axis reaches."""
@@ -147,6 +149,37 @@ class Graph:
         told = found.edges.withColumnRenamed("label", "_old").join(names, F.col(end) == F.col("id"), "left")
         return Result(found.nodes, told.select(F.coalesce("label", "_old").alias("label"), "source", "target"))
 
+    def values(self, ids: DataFrame, path: list[str]) -> DataFrame:
+        """id and _values: in order, the names that a path of axes leads to from each node; a last step may be a column of the nodes."""
+        at = ids.select("id", F.col("id").alias("_at")).distinct()
+        axes = {*self.reverses, *self.groups}
+        for step in path[:-1]:
+            at = self._onward(at, step)
+        last = path[-1]
+        if last in self.nodes.columns and last not in axes:
+            told = at.join(self.nodes.select(F.col("id").alias("_node"), F.col(f"`{last}`").cast("string").alias("_value")), F.col("_at") == F.col("_node"))
+        else:
+            at = self._onward(at, last)
+            told = at.join(self.nodes.select(F.col("id").alias("_node"), "name"), F.col("_at") == F.col("_node"), "left").withColumn("_value", F.coalesce("name", "_at"))
+        pairs = told.where("_value is not null").select("id", "_at", "_value").distinct()
+        return pairs.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_value"))), lambda x: x["_value"]).alias("_values"))
+
+    def _onward(self, at: DataFrame, name: str) -> DataFrame:
+        onward = self.axis(name).select(F.col("source").alias("_from"), F.col("target").alias("_to"))
+        return at.join(onward, F.col("_at") == F.col("_from")).select("id", F.col("_to").alias("_at")).distinct()
+
+    def label_by(self, found: Result, paths: list[list[str]], separator: str = "", end: str = "target") -> Result:
+        """Edges labelled by what paths lead to from their target or source, joined in the order of the paths.
+
+        A node of an edge without any value keeps its label.
+        """
+        ids, names = found.edges.select(F.col(end).alias("id")).distinct(), None
+        for i, path in enumerate(paths):
+            part = self.values(ids, path).withColumnRenamed("_values", f"_p{i}")
+            names = part if names is None else names.join(part, "id", "full")
+        parts = [F.coalesce(f"_p{i}", F.array().cast("array<string>")) for i in range(len(paths))]
+        return self.label(found, names.select("id", F.array_join(F.flatten(F.array(*parts)), separator).alias("label")), end)
+
     def project(self, found: Result, name: str) -> Result:
         """Each edge's target replaced by what an axis leads to from it; edges whose target it does not leave go."""
         onward = self.axis(name).select(F.col("source").alias("_from"), F.col("target").alias("_to"))

@@ -46,7 +46,10 @@ class Compare:
         if isinstance(self.field, Column):
             left = self.field
         elif self.field in df.columns:
-            left, kind = F.col(f"`{self.field}`"), _kind(df.schema[self.field].dataType)
+            left, t = F.col(f"`{self.field}`"), df.schema[self.field].dataType
+            if isinstance(t, T.ArrayType) and self.op in ("starts with", "matches"):
+                left, t = F.array_join(F.transform(left, lambda x: x.cast("string")), ""), T.StringType()  # a list reads as one text
+            kind = _kind(t)
         else:
             left = F.lit(None)
         if self.value is None:

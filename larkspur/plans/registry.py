@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.catalog import Catalog, Field
 from larkspur.functions import collections as C
 from larkspur.functions import numbers as N
 from larkspur.functions import strings as S
 
 from larkspur.operators import change
-from larkspur.operators.graph import ALL, Graph
-from larkspur.operators.predicates import all_of, any_of, none_of, where
+from larkspur.operators.graph import ALL, Graph, Result
+from larkspur.operators.predicates import all_of, any_of, none_of, variant, where
+from larkspur.operators.record_graph import record_graph
 from larkspur.operators.select import INDEX, Agg, collect, exact_product, follow, select
 from larkspur.sources import dump, tables
 from larkspur.sources.tables import table
@@ -358,33 +360,40 @@ def array_of_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(C.smallest(a), 4).alias("low"), F.round(C.largest(a), 4).alias("high"), F.round(C.at(a, -1), 4).alias("last"))
 
 
-@query(
-    """SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best, min(o_totalprice) AS low FROM orders GROUP BY o_custkey"""
-)
+@query("SELECT l_orderkey, arg_max(l_linenumber, (l_extendedprice, -l_linenumber)) AS best, round(CAST(min(l_extendedprice) AS DOUBLE), 2) AS low FROM lineitem GROUP BY l_orderkey")
 def array_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer as an array of rows: sorted by two keys, and the least by one."""
-    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("a"))
+    """Lines of an order, seven at most, as an array of rows: sorted by two keys, and the least by one."""
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_extendedprice")).alias("a"))
     a = F.col("a")
-    return per.select("o_custkey", C.at(C.sort(a, ("o_totalprice", True), ("o_orderkey", False)), 0)["o_orderkey"].alias("best"), C.smallest(a, "o_totalprice").alias("low"))
+    return per.select("l_orderkey", C.at(C.sort(a, ("l_extendedprice", True), ("l_linenumber", False)), 0)["l_linenumber"].alias("best"), F.round(C.smallest(a, "l_extendedprice"), 2).alias("low"))
 
 
 @query(
-    """SELECT p_partkey, CAST(len(list_distinct(list_concat(s, t))) AS INTEGER) AS either, CAST(len(list_intersect(s, t)) AS INTEGER) AS both, CAST(len(list_filter(s, lambda x: NOT list_contains(t, x))) AS INTEGER) AS only,
-    CAST(len(list_distinct(list_concat(s, t))) - len(list_intersect(s, t)) AS INTEGER) AS one, list_contains(s, 'r') AS has
-    FROM (SELECT p_partkey, list_distinct(string_split(replace(p_name, ' ', ''), '')) AS s, list_distinct(string_split(lower(p_type), '')) AS t FROM part)"""
+    """SELECT p_partkey, array_to_string(list_concat(s, list_filter(t, lambda x: NOT list_contains(s, x))), '') AS either, array_to_string(list_filter(s, lambda x: list_contains(t, x)), '') AS both,
+    array_to_string(list_filter(s, lambda x: NOT list_contains(t, x)), '') AS only,
+    array_to_string(list_concat(list_filter(s, lambda x: NOT list_contains(t, x)), list_filter(t, lambda x: NOT list_contains(s, x))), '') AS one,
+    array_to_string(CASE WHEN list_contains(s, '#') THEN s ELSE list_append(s, '#') END, '') AS added, list_contains(s, 'r') AS has
+    FROM (SELECT p_partkey, CASE WHEN len(u) = 0 THEN u ELSE list_filter(u, lambda x, i: list_position(u, x) = i) END AS s, list_filter(v, lambda x, i: list_position(v, x) = i) AS t
+    FROM (SELECT p_partkey, string_split(replace(p_name, ' ', ''), '') AS u, string_split(lower(p_type), '') AS v FROM part))"""
 )
 def set_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members and their order: those of the first set, then the new ones of the second."""
     s, t = F.array_distinct(F.split(F.replace(F.col("p_name"), F.lit(" "), F.lit("")), "")), F.array_distinct(F.split(F.lower("p_type"), ""))
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(C.set_union(s, t)).alias("either"), F.size(C.set_intersect(s, t)).alias("both"), F.size(C.set_difference(s, t)).alias("only"), F.size(C.set_symmetric_difference(s, t)).alias("one"), C.contains(C.set_add(s, "r"), "r").alias("_has"), C.contains(s, "r").alias("has")).drop("_has")
+    text = lambda x: F.array_join(x, "")
+    return table(spark, sf_dir, "part").select("p_partkey", text(C.set_union(s, t)).alias("either"), text(C.set_intersect(s, t)).alias("both"), text(C.set_difference(s, t)).alias("only"), text(C.set_symmetric_difference(s, t)).alias("one"), text(C.set_add(s, "#")).alias("added"), C.contains(s, "r").alias("has"))
+
+
+def _joined(a: Column) -> Column:
+    return F.coalesce(F.array_join(a.cast("array<string>"), ","), F.lit(""))
 
 
 @query(
-    """SELECT event_id, k IS NOT NULL AS has, k AS value, CAST(CASE WHEN k IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n, CAST(0 AS INTEGER) AS left_over
+    """SELECT event_id, k IS NOT NULL AS has, k AS value, CASE WHEN k IS NULL THEN '' ELSE 'k' END AS names, coalesce(CAST(k AS VARCHAR), '') AS inside, coalesce('k' || k, '') AS pairs, CAST(0 AS INTEGER) AS left_over
     FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"""
 )
 def dict_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.from_json("props", "map<string,int>")
-    return table(spark, sf_dir, "events").select("event_id", C.has_key(d, "k").alias("has"), C.lookup(d, "k").alias("value"), F.size(C.entries(d)).alias("n"), F.size(C.keys(C.drop_key(d, "k"))).alias("left_over"))
+    return table(spark, sf_dir, "events").select("event_id", C.has_key(d, "k").alias("has"), C.lookup(d, "k").alias("value"), _joined(C.keys(d)).alias("names"), _joined(C.values(d)).alias("inside"), _joined(F.transform(C.entries(d), lambda e: F.concat(e["key"], e["value"].cast("string")))).alias("pairs"), F.size(C.keys(C.drop_key(d, "k"))).alias("left_over"))
 
 
 # numbers
@@ -476,7 +485,7 @@ def compact_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.remap(table(spark, sf_dir, "orders"), "o_custkey", ids).select("o_orderkey", "o_custkey")
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS _index, r_name FROM region UNION ALL SELECT * FROM (VALUES (CAST(5 AS BIGINT), 'ARCTIC'), (CAST(6 AS BIGINT), 'OCEANIA')) t(a, b)")
+@query("SELECT CAST(r_regionkey AS BIGINT) AS _index, r_name FROM region UNION ALL SELECT * FROM (VALUES (CAST(5 AS BIGINT), 'OCEANIA'), (CAST(6 AS BIGINT), 'ARCTIC')) t(a, b)")
 def create_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = spark.createDataFrame([("OCEANIA",), ("ARCTIC",)], "r_name string")
     return change.create(table(spark, sf_dir, "region"), fresh).select(INDEX, "r_name")
@@ -615,4 +624,242 @@ def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.add(g.select("nations"), "region").dot()
 
 
+# numbers beyond integers, records with defaults, and graphs from records
+
+
+@query(
+    """SELECT p_partkey, p_retailprice + p_size AS total, round(p_retailprice * p_size, 4) AS product, CAST(floor(p_retailprice / 0.5) AS BIGINT) AS halves, CAST(floor(-p_retailprice / 7) AS BIGINT) AS sevenths FROM part"""
+)
+def math_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and products of lists of floats, and floor division by them."""
+    price = F.col("p_retailprice").cast("double")
+    pair = F.array(price, F.col("p_size").cast("double"))
+    return table(spark, sf_dir, "part").select("p_partkey", N.list_sum(pair).alias("total"), F.round(N.list_product(pair), 4).alias("product"), N.floor_div(price, F.lit(0.5)).alias("halves"), N.floor_div(-price, F.lit(7)).alias("sevenths"))
+
+
+@query(
+    """SELECT p_partkey, CAST(least(CAST(18446744073709551615 AS HUGEINT), CAST(p_partkey AS HUGEINT) * 12297829382473034411) AS VARCHAR) AS held,
+    CAST((CAST(p_partkey AS HUGEINT) * 12297829382473034411) % 18446744073709551616 AS VARCHAR) AS turned, CAST(CAST(p_size AS HUGEINT) * 300000000000000000 AS VARCHAR) AS whole FROM part"""
+)
+def math_unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of unsigned 64-bit numbers under each policy."""
+    big = F.lit("12297829382473034411").cast("decimal(20,0)")
+    product = lambda a, b, policy: N.multiply(a, b, 64, policy, False).cast("string")
+    return table(spark, sf_dir, "part").select("p_partkey", product(F.col("p_partkey"), big, "saturating").alias("held"), product(big, F.col("p_partkey"), "wrapping").alias("turned"), product(F.col("p_size"), F.lit(300000000000000000), "error").alias("whole"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(CASE WHEN p_size > 25 THEN 1 WHEN p_size < 25 THEN -1 ELSE 0 END AS INTEGER) END AS side,
+    CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST((3 * p_size + 2) // gcd(3 * p_size + 2, 6) AS VARCHAR) || '/' || CAST(6 // gcd(3 * p_size + 2, 6) AS VARCHAR) END AS f FROM part"""
+)
+def math_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Big numbers and fractions of which some are null."""
+    size = F.when(F.col("p_size") % 5 != 0, F.col("p_size"))
+    total = N.fraction_add(N.fraction(size, F.lit(2)), N.fraction(F.lit(1), F.lit(3)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", N.big_compare(size.cast("string"), F.lit("25")).alias("side"), total.alias("f"))
+    return rows.select("p_partkey", "side", F.concat("f.num", F.lit("/"), "f.den").alias("f"))
+
+
+@query("SELECT p_partkey, [p_size + 1, p_size + 10] AS plus, [p_size * 1, p_size * 10] AS times, [1 - p_size, 10 - p_size] AS minus, -p_size AS negative, [p_size, p_size, p_size] AS thrice FROM part")
+def math_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists with a value, lists with lists, and a value repeated."""
+    size, pair = F.col("p_size"), F.array(F.lit(1), F.lit(10))
+    each = lambda a, b, op, x, y: N.elementwise(a, b, op, x, y)
+    return table(spark, sf_dir, "part").select("p_partkey", each(pair, size, lambda a, b: a + b, True, False).alias("plus"), each(F.array_repeat(size, 2), pair, lambda a, b: a * b, True, True).alias("times"), each(pair, size, lambda a, b: a - b, True, False).alias("minus"), (-size).alias("negative"), F.array_repeat(size, 3).alias("thrice"))
+
+
+@query("SELECT p_partkey, CAST(p_size * 2 AS BIGINT) AS small, CAST(p_retailprice AS DOUBLE) AS wide, CAST(p_size AS VARCHAR) AS text, p_size > 0 AS yes, CAST(p_size % 2 = 0 AS INTEGER) AS bit FROM part")
+def math_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values brought into declared types."""
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", N.convert(size * 2.0, 8, False).alias("small"), F.col("p_retailprice").cast("double").alias("wide"), size.cast("string").alias("text"), N.boolean(size).alias("yes"), (size % 2 == 0).cast("int").alias("bit"))
+
+
+def shop(spark: SparkSession, sf_dir: str) -> tuple[Catalog, dict[str, DataFrame]]:
+    """The star schema's people and places as typed records: references, arrays and dictionaries of copies, and a variant."""
+    c = Catalog()
+    c.alias("Money", "float64")
+    c.composite("Place", [Field("name", "string"), Field("visits", "uint8", 7, "saturating"), Field("rank", "int8", None, "wrapping"), Field("tags", "string[]", ["new"])])
+    c.forward("Land")
+    c.composite("Region", [Field("name", "string"), Field("lands", "Land[]"), Field("by_name", "{string: Land}")])
+    c.composite("Land", [Field("name", "string"), Field("region", "Region")])
+    c.enum("Home", {"none": None, "at": [Field("land", "Land"), Field("since", "int32")]})
+    c.composite("Person", [Field("name", "string"), Field("home", "Home"), Field("balance", "Money")])
+    c.composite("Order", [Field("name", "string"), Field("total", "Money"), Field("person", "Person")])
+    region, nation, customer, orders = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
+    land = nation.select(INDEX, F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region"))
+    # 25 nations are all there are at any size
+    inside = land.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("name", "region"))).alias("lands"))
+    regions = region.join(inside, region[INDEX] == inside["region"], "left").select(INDEX, F.col("r_name").alias("name"), "lands", F.map_from_arrays(F.col("lands.name"), F.col("lands")).alias("by_name"))
+    home = F.when(F.col("c_acctbal") < 0, F.struct(F.lit("none").alias("_variant"), F.lit(None).cast("struct<land:bigint,since:int>").alias("at"))).otherwise(F.struct(F.lit("at").alias("_variant"), F.struct(F.col("c_nationkey").cast("long").alias("land"), F.lit(1).alias("since")).alias("at")))
+    person = customer.select(INDEX, F.col("c_name").alias("name"), home.alias("home"), F.col("c_acctbal").cast("double").alias("balance"))
+    order = orders.select(INDEX, F.col("o_orderpriority").alias("name"), F.col("o_totalprice").cast("double").alias("total"), F.col("o_custkey").cast("long").alias("person"))
+    return c, {"Region": regions, "Land": land, "Person": person, "Order": order}
+
+
+def shop_graph(spark: SparkSession, sf_dir: str, axes: dict[str, list[str]], *selectors: str) -> Graph:
+    kinds = {"regions": "Region", "lands": "Land", "people": "Person", "orders": "Order"}
+    return record_graph(*shop(spark, sf_dir), {s: kinds[s] for s in selectors}, axes)
+
+
+@query("SELECT n_name AS source, 'region' AS label, r_name AS target FROM nation JOIN region ON n_regionkey = r_regionkey")
+def graph_from_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = shop_graph(spark, sf_dir, {"region": ["lands.region"]}, "lands", "regions")
+    return g.step(g.select("lands"), "region").edges.select("source", "label", "target")
+
+
+@query("SELECT r_name AS source, 'lands' AS label, n_name AS target FROM nation JOIN region ON n_regionkey = r_regionkey")
+def graph_from_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of an array, which are copies known by their names."""
+    g = shop_graph(spark, sf_dir, {"lands": ["regions.lands"]}, "regions", "lands")
+    return g.step(g.select("regions"), "lands").edges.select("source", "label", "target")
+
+
+@query("SELECT r_name AS source, 'named' AS label, n_name AS target FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'back', r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def graph_from_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a dictionary, and what their own fields refer to."""
+    g = shop_graph(spark, sf_dir, {"named": ["regions.by_name.value"], "back": ["regions.by_name.value.region"]}, "regions", "lands")
+    return g.either(g.select("regions"), ["named", "back"]).edges.select("source", "label", "target")
+
+
+@query("SELECT c_name AS source, 'home' AS label, n_name AS target FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0 UNION ALL SELECT c_name, 'region', r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal >= 0")
+def graph_from_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload of the variant that is there, and one path past it."""
+    g = shop_graph(spark, sf_dir, {"home": ["people.home"], "region": ["people.home.at.land.region"]}, "people", "lands", "regions")
+    return g.either(g.select("people"), ["home", "region"]).edges.select("source", "label", "target")
+
+
+@query("SELECT DISTINCT n_name || '.' || segment AS source, n_name AS label, segment AS target FROM (SELECT n_name, c_mktsegment AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey)")
+def graph_shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose names occur more than once are known by the node that leads to them."""
+    c = Catalog()
+    c.composite("Segment", [Field("name", "string")])
+    c.composite("Land", [Field("name", "string"), Field("segments", "Segment[]")])
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    inside = customer.groupBy(F.col("c_nationkey").alias("_n")).agg(F.collect_set(F.struct(F.col("c_mktsegment").alias("name"))).alias("segments"))
+    lands = nation.join(inside, F.col("n_nationkey") == F.col("_n"), "left").select(INDEX, F.col("n_name").alias("name"), "segments")
+    segments = customer.select(INDEX, F.col("c_mktsegment").alias("name"))
+    g = record_graph(c, {"Land": lands, "Segment": segments}, {"lands": "Land", "segments": "Segment"}, {"of": ["lands.segments"]})
+    return g.step(g.select("lands"), "of").edges.join(g.nodes, F.col("target") == F.col("id")).select(F.col("target").alias("source"), F.col("source").alias("label"), F.col("name").alias("target"))
+
+
+@query("SELECT c_name AS source, r_name || '/' || n_name AS label, n_name AS target FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal >= 0")
+def graph_joined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels made of what two paths lead to from an edge's target."""
+    g = shop_graph(spark, sf_dir, {"home": ["people.home"], "region": ["lands.region"]}, "people", "lands", "regions")
+    return g.label_by(g.step(g.select("people"), "home"), [["region"], ["name"]], "/").edges.select("source", "label", "target")
+
+
+def ring(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations, each leading to the next of ten, round and round; the rest lead to themselves."""
+    nation = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    onto = F.when(k < 10, (k + 1) % 10).otherwise(k)
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    nodes = nation.select(name(k).alias("id"), F.lit("nations").alias("selector"), F.col("n_name").alias("name"))
+    return Graph(nodes, nation.select(F.lit("next").alias("axis"), name(k).alias("source"), name(onto).alias("target")), {"ways": ["next", "before"], "both": ["ways"]}, {"before": "next"})
+
+
+@query("SELECT 'edge' AS what, 'n' || n_nationkey AS a, 'n' || ((n_nationkey + 1) % 10) AS b FROM nation WHERE n_nationkey < 10 UNION ALL SELECT 'node', 'n' || n_nationkey, '' FROM nation WHERE n_nationkey BETWEEN 1 AND 9")
+def graph_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle to its end: the round that comes back gives its edge, and no node."""
+    g = ring(spark, sf_dir)
+    return _parts(g.step(g.select("nations", ["NATION_0"]), "next", ALL))
+
+
+@query("SELECT 'edge' AS what, 'n' || n_nationkey AS a, 'n' || n_nationkey AS b FROM nation WHERE n_nationkey >= 10")
+def graph_self_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step that finds nothing new: edges, and no nodes."""
+    g = ring(spark, sf_dir)
+    start = g.select("nations")
+    start.nodes = start.nodes.where("CAST(substr(id, 2) AS INT) >= 10")
+    return _parts(g.step(start, "next"))
+
+
+@query("SELECT 'edge' AS what, 'n0' AS a, 'n1' AS b UNION ALL SELECT 'edge', 'n0', 'n9' UNION ALL SELECT 'edge', 'n1', 'n2' UNION ALL SELECT 'edge', 'n1', 'n0' UNION ALL SELECT 'edge', 'n9', 'n0' UNION ALL SELECT 'edge', 'n9', 'n8' UNION ALL SELECT 'node', x, '' FROM (VALUES ('n0'), ('n1'), ('n2'), ('n8'), ('n9')) t(x)")
+def graph_axis_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps along a group of a forward and a reversed axis, by way of another group."""
+    g = ring(spark, sf_dir)
+    return _parts(g.step(g.select("nations", ["NATION_0"]), "both", 2))
+
+
+def _parts(found: Result) -> DataFrame:
+    edges = found.edges.select(F.lit("edge").alias("what"), F.col("source").alias("a"), F.col("target").alias("b")).distinct()
+    return edges.union(found.nodes.select(F.lit("node"), "id", F.lit("")))
+
+
+@query(
+    """SELECT CAST(r_regionkey AS BIGINT) AS _index, r_name AS name, CAST(r_regionkey AS INTEGER) AS visits, CAST(NULL AS INTEGER) AS rank, CAST(NULL AS VARCHAR) AS tags FROM region
+    UNION ALL SELECT 5, 'OCEANIA', 255, 44, 'new' UNION ALL SELECT 6, 'ARCTIC', 0, -128, 'new'"""
+)
+def create_with_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields left out take their defaults; values beyond a field follow its policy; rows stay in order."""
+    catalog = shop(spark, sf_dir)[0]
+    old = table(spark, sf_dir, "region").select(INDEX, F.col("r_name").alias("name"), F.col("r_regionkey").cast("smallint").alias("visits"), F.lit(None).cast("tinyint").alias("rank"), F.lit(None).cast("array<string>").alias("tags"))
+    rows = spark.createDataFrame([("OCEANIA", 300, 300), ("ARCTIC", -4, 128)], "name string, visits int, rank int")
+    return change.create(old, rows, catalog, "Place").withColumns({"visits": F.col("visits").cast("int"), "rank": F.col("rank").cast("int"), "tags": F.array_join("tags", ",")})
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS _index, r_name AS name, CAST(least(r_regionkey * 100, 255) AS INTEGER) AS visits FROM region UNION ALL SELECT 5, 'OCEANIA', 7")
+def update_with_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A default where nothing is given, then an update held by a field's policy."""
+    catalog = shop(spark, sf_dir)[0]
+    old = table(spark, sf_dir, "region").select(INDEX, F.col("r_name").alias("name"), F.col("r_regionkey").cast("smallint").alias("visits"))
+    more = change.create(old, spark.createDataFrame([("OCEANIA",)], "name string"), catalog, "Place")
+    return change.update(more, {"visits": F.col("visits").cast("int") * 100}, where("name", "!=", "OCEANIA"), catalog, "Place").select(INDEX, "name", F.col("visits").cast("int").alias("visits"))
+
+
+@query("SELECT 'Person' AS _source, c_custkey AS _index, 'balance' AS _field, CAST(c_acctbal AS DOUBLE) AS _value FROM customer UNION ALL SELECT 'Order', o_orderkey, 'total', CAST(o_totalprice AS DOUBLE) FROM orders")
+def alias_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of an alias, its fields found in the catalog."""
+    catalog, records = shop(spark, sf_dir)
+    return tables.type_scan(records, tables.typed_columns(catalog, records, "Money"))
+
+
+@query("SELECT p_partkey FROM part WHERE starts_with(p_size || '' || (p_size + 1), '12') OR regexp_matches(p_size || '' || (p_size + 1), '9$')")
+def list_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text predicates on a list read its elements as one text."""
+    rows = table(spark, sf_dir, "part").withColumn("pair", F.array(F.col("p_size"), F.col("p_size") + 1))
+    return select(rows, ["p_partkey"], any_of(where("pair", "starts with", "12"), where("pair", "matches", "9$")))
+
+
+_LAND_JSON = """'{"$id":"Land_' || n_nationkey || '","name":"' || n_name || '","region":{"$ref":"Region_' || n_regionkey || '"}}'"""
+
+
+@query(f"SELECT 0 AS part, CAST(r_regionkey AS BIGINT) AS _index, '{{\"$id\":\"Region_' || r_regionkey || '\",\"name\":\"' || r_name || '\"}}' AS value FROM region UNION ALL SELECT 1, n_nationkey, {_LAND_JSON} FROM nation")
+def dump_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables in dependency order, with references between them."""
+    records = shop(spark, sf_dir)[1]
+    return dump.dump(_plain_places(), {"Region": records["Region"].select(INDEX, "name"), "Land": records["Land"]}, "json", ["Land"])
+
+
+@query("SELECT '- &Land_' || n_nationkey || chr(10) || '  name: \"' || n_name || '\"' || chr(10) || '  region: *Region_' || n_regionkey AS value FROM nation")
+def dump_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dump.dump_yaml(shop(spark, sf_dir)[1]["Land"], "Land", dump.references_of(_plain_places(), "Land"))
+
+
+@query("SELECT '<Land id=\"Land_' || n_nationkey || '\"><name>' || n_name || '</name><region ref=\"#Region_' || n_regionkey || '\"/></Land>' AS value FROM nation")
+def dump_xml_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dump.dump_xml(shop(spark, sf_dir)[1]["Land"], "Land", dump.references_of(_plain_places(), "Land"))
+
+
+@query("SELECT '$_Land_' || n_nationkey || ' = create Land(name=\"' || n_name || '\", region=$_Region_' || n_regionkey || ')' AS value FROM nation")
+def dump_script_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dump.dump_script(shop(spark, sf_dir)[1]["Land"], "Land", dump.references_of(_plain_places(), "Land"))
+
+
+def _plain_places() -> Catalog:
+    c = Catalog()
+    c.composite("Region", [Field("name", "string")])
+    c.composite("Land", [Field("name", "string"), Field("region", "Region")])
+    return c
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'none' ELSE 'at' END AS variant FROM customer WHERE c_acctbal < 0 OR c_nationkey = 3")
+def where_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enum literals with and without payload."""
+    people = shop(spark, sf_dir)[1]["Person"]
+    return select(people, "*", any_of(variant("home", "at", land=3), where(F.col("home._variant"), "=", "none"))).select(F.col(INDEX).alias("c_custkey"), F.col("home._variant").alias("variant"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "graph"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.catalog import Catalog
 from larkspur.operators.select import INDEX
 
 #: What orders and names the rows of the star schema's tables: an expression of their keys.
@@ -47,6 +48,11 @@ def type_scan(tables: dict[str, DataFrame], columns: list[tuple[str, str]]) -> D
     return reduce(DataFrame.union, parts)
 
 
+def typed_columns(catalog: Catalog, tables: dict[str, DataFrame], name: str) -> list[tuple[str, str]]:
+    """(table, column) of each field of a type, for ``type_scan`` and ``enum_overview``; tables that are not there are left out."""
+    return [(t, c) for t, c in catalog.fields_of(name) if t in tables]
+
+
 def enum_overview(tables: dict[str, DataFrame], columns: list[tuple[str, str]]) -> DataFrame:
     """``_source, _index, _field, _variant, value`` of each enum column; value reads ``variant(field=value, ...)``."""
     parts = []

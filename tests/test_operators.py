@@ -11,6 +11,7 @@ from larkspur.functions import strings as S
 from larkspur.operators import change
 from larkspur.operators.graph import ALL, Graph, schema_graph
 from larkspur.operators.predicates import all_of, any_of, none_of, variant, where
+from larkspur.operators.record_graph import record_graph
 from larkspur.operators.select import Agg, collect, exact_product, follow, select
 from larkspur.sources import dump, tables
 
@@ -111,6 +112,11 @@ def test_sets_and_dicts(spark):
 def test_numbers(spark):
     i = F.lit
     assert one(spark, N.floor_div(i(-7), i(2)), N.floor_div(i(7), i(-2)), N.floor_mod(i(-7), i(2)), N.floor_mod(i(7), i(-2)), N.true_div(i(7), i(2))) == [-4, -4, 1, -1, 3.5]
+    assert one(spark, N.floor_div(i(7.5), i(0.5)), N.floor_div(i(-7.5), i(2)), N.list_sum(F.array(i(1.5), i(2.5))), N.list_product(F.array(i(1.5), i(1.5))), N.list_sum(F.array(i(1), i(None), i(2)))) == [15, -4, 4.0, 2.25, 3]
+    top = i(str(2**64 - 1)).cast("decimal(20,0)")
+    assert one(spark, N.multiply(top, i(1), 64, "error", False), N.multiply(top, top, 64, "saturating", False), N.multiply(top, top, 64, "wrapping", False)) == [2**64 - 1, 2**64 - 1, 1]
+    none = i(None).cast("string")
+    assert one(spark, N.big_compare(none, i("1")), N.fraction_add(N.fraction(none, i(2)), N.fraction(i(1), i(3)))["num"]) == [None, None]
     assert one(spark, N.add(i(127), i(1), 8, "saturating"), N.add(i(127), i(1), 8, "wrapping"), N.subtract(i(0), i(1), 16, "wrapping", False), N.round_half_even(i(2.5))) == [127, -128, 65535, 2.0]
     for bad in (N.add(i(127), i(1), 8), N.convert(i(1.5), 8), N.square_root(i(-1.0)), N.logarithm(i(0.0))):
         with pytest.raises(PySparkException):
@@ -132,8 +138,8 @@ def test_changes(spark, people):
     assert ids(left) == [0, 1]
     numbered, moved = change.compact(change.delete(people, where("name", "=", "Bob")))
     assert ids(numbered) == [0, 1, 2] and sorted((r["old"], r["new"]) for r in moved.collect()) == [(0, 0), (2, 1), (3, 2)]
-    more = change.create(people, spark.createDataFrame([("Eve",)], "name string"))
-    assert [r["_index"] for r in more.where("name = 'Eve'").collect()] == [4]
+    more = change.create(people, spark.createDataFrame([("Zoe",), ("Eve",), (None,)], "name string"))
+    assert [(r["_index"], r["name"]) for r in more.where("_index > 3").orderBy("_index").collect()] == [(4, "Zoe"), (5, "Eve"), (6, None)]
     assert change.dense_index(people.limit(0), ["name"]).collect() == []
 
 
@@ -163,6 +169,48 @@ def test_catalog(spark):
     assert c.describe(spark, "Person").count() == 5
 
 
+def test_defaults_and_policies(spark):
+    c = Catalog()
+    c.enum("Shape", {"none": None, "circle": [Field("r", "float64")]})
+    c.composite("T", [Field("x", "uint8", 42), Field("y", "int8", None, "wrapping"), Field("l", "int8[]", [0, 1]), Field("s", "Shape", {"_variant": "circle", "circle": {"r": 2.0}})])
+    old = spark.createDataFrame([], "_index long, x smallint, y tinyint, l array<tinyint>, s struct<_variant:string,circle:struct<r:double>>")
+    got = change.create(old, spark.createDataFrame([(200,), (None,)], "y int"), c, "T").orderBy("_index").collect()
+    assert [(r["x"], r["y"], r["l"], r["s"]["_variant"], r["s"]["circle"]["r"]) for r in got] == [(42, -56, [0, 1], "circle", 2.0), (42, None, [0, 1], "circle", 2.0)]
+    assert change.create(old, spark.createDataFrame([(None,)], "x int"), c, "T").first()["x"] is None  # a null that is given stays
+    small = change.create(old, spark.createDataFrame([(3,)], "x int"), c, "T")
+    with pytest.raises(PySparkException, match="out of range"):
+        change.create(old, spark.createDataFrame([(300,)], "x int"), c, "T").collect()
+    with pytest.raises(PySparkException, match="out of range"):
+        change.update(small, {"x": F.lit(-1)}, None, c, "T").collect()
+    assert {tuple(r) for r in c.describe(spark, "Shape.circle").collect()} == {("r", "float64", None)}
+
+
+def test_dump_order(spark):
+    c = Catalog()
+    c.forward("B")
+    c.composite("A", [Field("b", "B")])
+    c.composite("B", [Field("a", "A"), Field("n", "string")])
+    c.composite("C", [Field("b", "B")])
+    assert dump.closure(c, ["C"]) == ["B", "A", "C"]
+    assert dump.dump_order(c, ["A", "B", "C"]) == (["B", "A", "C"], [("B", "a", "A")])
+    tables_ = {"A": spark.createDataFrame([(0, 1)], "_index long, b long"), "B": spark.createDataFrame([(1, 0, "x")], "_index long, a long, n string")}
+    got = [r["value"] for r in dump.dump(c, tables_, "script").orderBy("part", "_index").collect()]
+    assert got == ["$_A_0 = create A(b=null)", '$_B_1 = create B(a=$_A_0, n="x")', "update $_A_0 set b=$_B_1"]
+    assert [r["value"] for r in dump.dump(c, tables_, "json").orderBy("part").collect()] == ['{"$id":"A_0","b":{"$ref":"B_1"}}', '{"$id":"B_1","a":{"$ref":"A_0"},"n":"x"}']
+
+
+def test_record_graph_interfaces_sets_and_nothing(spark):
+    c = Catalog()
+    c.interface("Named", [Field("name", "string")])
+    c.composite("Cat", [], ("Named",))
+    c.composite("Home", [Field("name", "string"), Field("pet", "Named"), Field("cats", "{Cat}")])
+    cats = spark.createDataFrame([(0, "Tom"), (1, "Kit"), (2, None)], "_index long, name string")
+    homes = spark.createDataFrame([(0, "H", ("Cat", 1), [("Tom",)]), (1, "I", None, None), (2, "J", ("Dog", 1), [])], "_index long, name string, pet struct<_type:string,_index:long>, cats array<struct<name:string>>")
+    g = record_graph(c, {"Cat": cats, "Home": homes}, {"homes": "Home", "cats": "Cat"}, {"pet": ["homes.pet"], "cats": ["homes.cats"], "odd": ["homes.nothing", "unknown.x"]})
+    assert {tuple(r) for r in g.edges.collect()} == {("pet", "H", "Kit"), ("cats", "H", "Tom")}
+    assert {r["id"] for r in g.nodes.collect()} == {"H", "I", "J", "Tom", "Kit"}
+
+
 def test_enums(spark):
     shapes = spark.createDataFrame([(0, ("circle", (50.0,))), (1, ("none", None)), (2, ("circle", (5.0,)))], "_index long, bg struct<_variant:string,circle:struct<r:double>>")
     assert ids(select(shapes, "*", variant("bg", "circle", r=5.0))) == [2]
@@ -202,6 +250,8 @@ def test_graph_cycle_ends(spark):
     assert g.step(g.select("n", ["a"]), "next", 0).nodes.count() == 0
     assert [tuple(r) for r in g.add(g.select("n", ["d"]), "back").table().collect()] == [("d", "", "")]
     assert g.select("unknown").nodes.count() == 0
+    back = g.step(g.select("n", ["a", "b", "c"]), "next")  # nothing new: edges, no nodes
+    assert back.edges.count() == 3 and back.nodes.count() == 0
 
 
 def test_schema_graph(spark):
