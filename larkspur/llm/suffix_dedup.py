@@ -5,8 +5,13 @@ Windows of ``length`` bytes are dealt by their minimiser: the least hash of the
 segment, so equal windows always lie in segments of one key, and segments are
 few. Segments whose key occurs once hold no repeat. Of equal segments only the
 first, by document id and place, can hold a first occurrence: the others are
-removed whole. What remains are first segments of keys with several different
-segments, or with a repeat inside one; only their bytes are fetched.
+removed whole. Segments are equal if they have one key (44 bits of their least
+gram's hash), one 64-bit hash of all their bytes and one length; among n segments of a
+key, two different ones pass for equal with odds of about n^2 / 2^65. Copies within a
+chunk of texts are told apart before anything is shuffled, so a passage that many
+texts share sends one segment a chunk to its key, not one a text. What remains are
+first segments of keys with several different segments, or with a repeat inside one;
+only their bytes are fetched.
 
 Those go, key by key, through a suffix array: its Burrows-Wheeler transform is
 extended backward breadth first. Two suffixes part at depth l + 1 when what
@@ -19,8 +24,8 @@ Segments of keys with more than ``hot`` different ones are cut again by minimise
 of 96 bytes, and where that leaves more than ``hot`` to a key, into their single
 windows. First places there are minima by key and content, and a document's pieces
 meet them at the document, so neither bytes nor suffix arrays follow a passage that
-many texts share. (The windows over coarse segments do hold a key's rows in one
-task, without bytes.)
+many texts share. (The windows over coarse segments hold a key's different segments
+of all chunks in one task, without bytes.)
 
 Defined results: null and empty texts have no bytes; rows that repeat a document,
 id and text alike, are that document and come out alike; rows with one id and
@@ -43,7 +48,7 @@ from larkspur.llm._common import CHUNK_BYTES, cut, mix64, text_chunks
 LENGTH = 100
 GRAM = 40
 FINE_GRAM = 96
-HOT = 8192
+HOT = 1024
 #: Rows and spans that may be broadcast, after they are counted. More are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 BROADCAST_SPANS = 1 << 21
@@ -114,7 +119,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int):
     moved = np.concatenate([[0], np.cumsum(least[1:] != least[:-1])])
     again = moved[stop - length] > moved[start]
     mark = mix64((total[stop] - total[start]) * _powers()[1][start] + (stop - start).astype(np.uint64))
-    return start, stop, (mix64(value[start]) & _LOW48).astype(np.int64), (mark & _LOW48).astype(np.int64), again
+    return start, stop, (mix64(value[start]) & _LOW48).astype(np.int64), mark.view(np.int64), again
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -217,7 +222,19 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.where(F.length("text") > 0).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), _version(F.col("text")).alias("v"), "text")
 
 
+def _settled_here(key: np.ndarray, mark: np.ndarray, d: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of a chunk without repeats of a row, which of them equal an earlier one, and which stand in a row that occurs twice."""
+    order = np.lexsort((place, d, size, mark, key))
+    same = (key[order][1:] == key[order][:-1]) & (mark[order][1:] == mark[order][:-1]) & (size[order][1:] == size[order][:-1])
+    repeat = same & (d[order][1:] == d[order][:-1]) & (place[order][1:] == place[order][:-1])
+    twice = np.append(repeat, False)
+    stay = np.append(True, ~repeat)[: len(order)]
+    return order[stay], np.append(False, same)[: len(order)][stay], (twice[: len(order)] | ~np.append(True, ~repeat)[: len(order)])[stay]
+
+
 def _cut_up(length: int, gram: int):
+    """Segments of all texts; one that equals an earlier one of its chunk has a key below zero of its own document's."""
+
     def run(batches):
         for batch in batches:
             d, v = batch["d"].to_numpy(), batch["v"].to_numpy()
@@ -225,7 +242,10 @@ def _cut_up(length: int, gram: int):
                 for part, ends, row, at in _pieces(data, offsets, length):
                     start, stop, key, mark, again = segments(part, ends, length, gram)
                     own = lo + row[start]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mark), pa.array(d[own]), pa.array((v[own] << 32) | at[start]), pa.array((stop - start).astype(np.int32)), pa.array(again)], names=["key", "mark", "d", "ord", "len", "again"])
+                    ids, place, size = d[own], (v[own] << 32) | at[start], (stop - start).astype(np.int32)
+                    order, gone, twice = _settled_here(key, mark, ids, place, size)
+                    key = np.where(gone, -1 - (mix64(ids[order].view(np.uint64)) & _LOW48).astype(np.int64), key[order])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, mark[order], ids[order], place[order], size[order], again[order], twice)], names=["key", "mark", "d", "ord", "len", "again", "twice"])
 
     return run
 
@@ -244,7 +264,7 @@ def _recut(length: int, gram: int):
                         start, stop, key, mark, again = segments(raw, np.full(len(raw), len(raw)), length, gram)
                     else:
                         window = _grams(_prefix_sums(raw), length)
-                        start, key, mark = np.arange(len(window)), (mix64(window) & _LOW48).astype(np.int64), (mix64(window + np.uint64(length)) & _LOW48).astype(np.int64)
+                        start, key, mark = np.arange(len(window)), (mix64(window) & _LOW48).astype(np.int64), mix64(window + np.uint64(length)).view(np.int64)
                         stop, again = start + length, np.zeros(len(window), bool)
                     n = len(start)
                     yield pa.RecordBatch.from_arrays([pa.array(key ^ s["key"]), pa.array(mark), pa.array(np.full(n, batch["d"][i].as_py(), np.int64)), pa.array((v << 32) | (s["at"] + start)), pa.array((stop - start).astype(np.int32)), pa.array(again), pa.array(np.full(n, twice, bool))], names=["key", "mark", "d", "ord", "len", "again", "twice"])
@@ -334,7 +354,7 @@ def _refined(docs: DataFrame, wanted: DataFrame, length: int, gram: int, hot: in
     pieces = cut(_texts(docs, wanted).mapInArrow(_recut(length, gram), "key long, mark long, d long, ord long, len int, again boolean, twice boolean"))
     firsts = cut(pieces.groupBy("key", "mark").agg(F.min(F.struct("d", "ord", "len", "again", "twice")).alias("f")).select("key", "f.*"))
     many = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > hot).select(F.col("key").alias("hot_key"))
-    met = firsts.join(F.broadcast(many), F.col("key") == F.col("hot_key"), "left")  # one in ``hot`` of the first pieces at most
+    met = firsts.join(_small(many, F.lit(1)), F.col("key") == F.col("hot_key"), "left")
     few = met.where("hot_key is null").withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("kinds > 1 or again")
     return pieces.join(firsts, ["d", "ord", "key"], "left_anti"), _by_document(few), _by_document(met.where("hot_key is not null"))
 
@@ -342,13 +362,15 @@ def _refined(docs: DataFrame, wanted: DataFrame, length: int, gram: int, hot: in
 def repeated_spans(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """d, v and runs (int64 pairs of start and stop) of each document with bytes to remove."""
     docs = _keyed(documents)
-    cuts = docs.mapInArrow(_cut_up(length, GRAM), "key long, mark long, d long, ord long, len int, again boolean")
-    by_mark = Window.partitionBy("key").orderBy("mark", "d", "ord")
+    cuts = docs.mapInArrow(_cut_up(length, GRAM), "key long, mark long, d long, ord long, len int, again boolean, twice boolean")
+    by_mark = Window.partitionBy("key").orderBy("mark", "len", "d", "ord")
     whole = by_mark.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    settled = F.col("key") < 0
+    alike = lambda f: (f("mark").over(by_mark) == F.col("mark")) & (f("len").over(by_mark) == F.col("len"))
     # equal rows of a document give equal segments, next to each other: only one of them counts
-    same = {way: F.coalesce((f("mark").over(by_mark) == F.col("mark")) & (f("d").over(by_mark) == F.col("d")) & (f("ord").over(by_mark) == F.col("ord")), F.lit(False)) for way, f in (("repeat", F.lag), ("twice", F.lead))}
-    told = cuts.select("*", F.coalesce(F.lag("mark").over(by_mark) != F.col("mark"), F.lit(True)).alias("first"), same["repeat"].alias("repeat"), same["twice"].alias("twice"), F.count(F.lit(1)).over(whole).alias("held"), F.max("again").over(whole).alias("any_again"))
-    told = told.where("(held > 1 or any_again) and not repeat").withColumn("kinds", F.sum(F.col("first").cast("int")).over(whole))
+    same = {way: F.coalesce(alike(f) & (f("d").over(by_mark) == F.col("d")) & (f("ord").over(by_mark) == F.col("ord")), F.lit(False)) for way, f in (("repeat", F.lag), ("next", F.lead))}
+    told = cuts.select("key", "mark", "d", "ord", "len", "again", (~settled & ~F.coalesce(alike(F.lag), F.lit(False))).alias("first"), same["repeat"].alias("repeat"), (F.col("twice") | same["next"]).alias("twice"), F.count(F.lit(1)).over(whole).alias("held"), F.max("again").over(whole).alias("any_again"))
+    told = told.where(settled | ((F.col("held") > 1) | F.col("any_again")) & ~F.col("repeat")).withColumn("kinds", F.sum(F.col("first").cast("int")).over(whole))
     kept = told.where("not first or kinds > 1 or again")
     span = F.struct(_at().alias("at"), "len")
     gone = F.when(~F.col("first"), span)
@@ -363,8 +385,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, hot: int = HOT) -
         wanted.append(few)
         repeated.append(copies)
     fetched = reduce(DataFrame.union, [_texts(docs, w).mapInArrow(_fetch, "key long, d long, ord long, bytes binary") for w in wanted])
-    settled = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_settle(length), "d long, ord long, len int")
-    more = reduce(DataFrame.union, [x.select("d", F.shiftright("ord", 32).alias("v"), span.alias("s")) for x in (settled, *repeated)])
+    found = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_settle(length), "d long, ord long, len int")
+    more = reduce(DataFrame.union, [x.select("d", F.shiftright("ord", 32).alias("v"), span.alias("s")) for x in (found, *repeated)])
     spans = per_doc.select("d", "v", "gone").union(more.groupBy("d", "v").agg(F.collect_list("s").alias("gone"))).where(F.size("gone") > 0)
 
     def merge(batches):
