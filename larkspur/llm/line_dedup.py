@@ -6,28 +6,33 @@ id and place, has the same tokens or a Jaccard similarity of at least
 ``percent`` / 100 with it, whether or not that line stays itself. Lines with
 fewer than ``min_tokens`` tokens always stay.
 
-Tokens are ordered by rarity: a table of fixed size counts the words of all
-texts by hash bucket, and a token's rank is its bucket's count. Lines with equal
+Tokens are ordered by rarity: a table of 2^18 hash buckets counts the words of all
+texts, and a token's rank is its bucket's count, so a word that is frequent is
+always told from most rare ones. Lines with equal
 tokens form a class. The prefix filter joins classes on the first ``n - ceil(t *
 n) + 1`` tokens, of which the smaller set needs fewer; length and positional filters and the parities of 64 hash
 ranges bound the overlap before sets are compared. Each class is first compared
 with the earliest class under each key; only classes that this leaves in place
 are then compared with all earlier ones, so a large group of near copies does not
-make all its pairs. A class that holds a large share of all repeated lines is told
-to them by broadcast, so that no task follows the most common line.
+make all its pairs. Keys of words with 2^16 occurrences or more are dealt to
+``SALTS`` parts, each with an earliest class of its own, so no group of the first
+comparison is larger. A class that holds a large share of all repeated lines is
+told to them by broadcast, and a line that a large share of all candidates name is
+met in ``SALTS`` parts, so that no task follows the most common line.
 
 Defined results: null texts have no lines and stay null; an empty text is one
 empty line; rows that repeat a document, id and text alike, are treated as that
 document and come out alike; rows with one id and different texts are different
-documents, ordered by a hash of the text; null ids come first; all other columns
-are kept; an empty table gives no rows.
+documents, ordered by a hash of the text; null ids come first; texts of any length
+are split whole; all other columns are kept, whatever their names, but for n_lines
+and n_removed, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +40,15 @@ from larkspur.llm._common import cut, stored
 
 PERCENT = 90
 MIN_TOKENS = 5
-RANK_BUCKETS = 1 << 16
+RANK_BUCKETS = 1 << 18
 #: Rows that may be broadcast, after they are counted; each holds an id and a few places. More are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 BROADCAST_PLACES = 1 << 20
 #: Classes with more than one part in so many of all repeated lines are broadcast; there are fewer than this.
 HOT_CLASSES = 1 << 12
+#: Ranks from which on a key's lines are dealt to parts: of buckets with 2^16 words.
+HOT_RANK = 4 * 16
+SALTS = 32
 _NO_ID = -(2**63)
 
 
@@ -56,14 +64,13 @@ def _hashes(line: Column) -> Column:
 
 
 def _ranks(documents: DataFrame) -> Column:
-    """How common the words of each hash bucket are, as a constant array of RANK_BUCKETS numbers below 128, in the highest byte."""
+    """How common the words of each hash bucket are, as a constant array of RANK_BUCKETS numbers below 128."""
     # rarer blanks are not told apart here: the order of tokens need only be the same everywhere
     words = documents.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    got = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).count().collect()  # at most RANK_BUCKETS rows
-    ranks = [0] * RANK_BUCKETS
-    for r in got:
-        ranks[r["bucket"]] = min(127, round(4 * math.log2(r["count"]))) << 56
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # folded to a constant
+    got = words.groupBy(_bucket(F.xxhash64("w")).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most RANK_BUCKETS rows
+    ranks = np.zeros(RANK_BUCKETS, np.int64)
+    ranks[got["bucket"].to_numpy()] = np.minimum(127, np.rint(4 * np.log2(got["n"].to_numpy())))
+    return F.split(F.lit(",".join(map(str, ranks.tolist()))), ",").cast("array<bigint>")  # folded to a constant
 
 
 def _bucket(h: Column) -> Column:
@@ -72,7 +79,11 @@ def _bucket(h: Column) -> Column:
 
 def _keys(line: Column, ranks: Column) -> Column:
     """Sorted distinct token keys of a line, rare first: rank, then hash."""
-    return F.sort_array(F.transform(_hashes(line), lambda h: F.get(ranks, _bucket(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.call_function("shiftleft", F.get(ranks, _bucket(h)), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
+
+
+def _is_hot(key: Column) -> Column:
+    return key >= HOT_RANK << 56
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -121,7 +132,14 @@ def _similar(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     lines = met.select("d", F.col("w_v").alias("v"), "places", F.explode(F.array(F.split(_blanked(F.col("text")), "\n"))).alias("lines")).select("d", "v", F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x"))
     sets = lines.select("d", F.shiftleft("v", 32).bitwiseOR(F.col("x.pos").cast("long")).alias("ord"), _hashes(F.col("x.line")).alias("words"))
     sets = sets.dropDuplicates(["d", "ord"])
-    both = pairs.join(sets, ["d", "ord"]).join(sets.select(F.col("d").alias("e_d"), F.col("ord").alias("e_ord"), F.col("words").alias("e_words")), ["e_d", "e_ord"])
+    # an earlier line that many candidates name is met in parts; there are fewer than HOT_CLASSES of them
+    often = pairs.groupBy("e_d", "e_ord").agg(F.count(F.lit(1)).alias("named")).where(F.col("named") * HOT_CLASSES > pairs.count())
+    often = F.broadcast(often.withColumn("often", F.lit(True)).drop("named"))
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("d", "ord"), F.lit(SALTS))).otherwise(0).cast("int")
+    salted = pairs.join(often, ["e_d", "e_ord"], "left").withColumn("salt", salt).drop("often")
+    earlier = sets.select(F.col("d").alias("e_d"), F.col("ord").alias("e_ord"), F.col("words").alias("e_words")).join(often, ["e_d", "e_ord"], "left")
+    earlier = earlier.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("often"), SALTS - 1).otherwise(0)))).drop("often")
+    both = salted.join(sets, ["d", "ord"]).join(earlier, ["e_d", "e_ord", "salt"])
     shared = F.size(F.array_intersect("words", "e_words"))
     return both.where(100 * shared >= percent * (F.size("words") + F.size("e_words") - shared)).select("d", "ord").distinct()
 
@@ -160,15 +178,17 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
     classes = lines.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.first("prefix").alias("prefix"))
     postings = classes.select(F.col("first.d").alias("d"), F.col("first.ord").alias("ord"), "n", "parity", F.posexplode("prefix").alias("i", "key"))
     # a pair's smaller set holds the key in its index prefix; rows without such a partner of near size are left behind
-    by_size = Window.partitionBy("key").orderBy("n", "i")
+    postings = postings.withColumn("part", F.when(_is_hot(F.col("key")), F.pmod(F.xxhash64("d", "ord"), F.lit(SALTS)) + 1).otherwise(0).cast("int"))
+    by_size = Window.partitionBy("key", "part").orderBy("n", "i")
     indexed = F.col("i") < _index_length(F.col("n"), percent)
     larger = 100 * F.col("n") >= percent * F.lead("n").over(by_size)
     smaller = 100 * F.last(F.when(indexed, F.col("n")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= percent * F.col("n")
-    near_size = postings.withColumn("reach", F.coalesce(indexed & larger, F.lit(False)) | F.coalesce(smaller, F.lit(False))).where("reach").drop("reach")
-    by_age = Window.partitionBy("key").orderBy("d", "ord")
+    # what a key's other parts hold is not seen here, so its rows all stay
+    near_size = postings.withColumn("reach", (F.col("part") > 0) | F.coalesce(indexed & larger, F.lit(False)) | F.coalesce(smaller, F.lit(False))).where("reach").drop("reach")
+    by_age = Window.partitionBy("key", "part").orderBy("d", "ord")
     row = F.struct("d", "ord", "n", "i", "parity")
-    shared = near_size.withColumn("turn", F.row_number().over(by_age)).withColumn("x", F.first(row).over(by_age)).where("turn > 1").withColumn("y", row)
-    first = F.when(_close("x", "y", percent), F.struct(F.col("x.d").alias("e_d"), F.col("x.ord").alias("e_ord")))
+    shared = near_size.withColumn("turn", F.row_number().over(by_age)).withColumn("x", F.first(row).over(by_age)).where("turn > 1 or part > 0").withColumn("y", row)
+    first = F.when((F.col("turn") > 1) & _close("x", "y", percent), F.struct(F.col("x.d").alias("e_d"), F.col("x.ord").alias("e_ord")))
     shared, drop_shared = stored(shared.select("key", "d", "ord", "n", "i", "parity", first.alias("first")))
     near = _small(cut(_similar(shared.where("first is not null").select("d", "ord", "first.*"), documents, percent)))
     rest = shared.drop("first")
@@ -190,11 +210,14 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
 def drop_repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """All columns of ``documents`` with the text less its removed lines, plus n_lines and n_removed."""
     gone = _small(repeated_lines(documents, percent, min_tokens).select(F.col("d").alias("_d"), F.col("v").alias("_v"), F.col("places").alias("_places")), F.size("_places"))
-    met = documents.join(gone, (F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_d")) & (_version(F.col("text")) == F.col("_v")), "left")
+    # a row travels whole in one column, so none of its names can clash
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    text = F.col("_row")["text"]
+    met = rows.join(gone, (F.coalesce(F.col("_row")["doc_id"], F.lit(_NO_ID)) == F.col("_d")) & (_version(text) == F.col("_v")), "left")
     # the generator keeps the split from being computed for each of its uses; texts that stay as they are pass it by
-    met = met.select("*", F.explode(F.array(F.when(F.col("_places").isNotNull(), F.split("text", "\n")))).alias("_lines"))
+    met = met.select("_row", "_places", F.explode(F.array(F.when(F.col("_places").isNotNull(), F.split(text, "\n")))).alias("_lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_places"))
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
-    other = [F.col(f"`{c}`") if c != "text" else text.alias("text") for c in documents.columns if c not in ("n_lines", "n_removed")]
-    n_lines = F.when(F.col("text").isNull(), 0).when(F.col("_places").isNotNull(), F.size("_lines")).otherwise(F.size(F.split("text", "\n")))
+    left = F.when(F.col("_places").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    other = [F.col("_row")[c].alias(c) if c != "text" else left.alias("text") for c in documents.columns if c not in ("n_lines", "n_removed")]
+    n_lines = F.when(text.isNull(), 0).when(F.col("_places").isNotNull(), F.size("_lines")).otherwise(F.size(F.split(text, "\n")))
     return met.select(*other, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias("n_removed"))

@@ -1,9 +1,10 @@
 """N-gram Jaccard self-join with rare-first prefixes, and the components of its links.
 
 A text's set holds its distinct n-word shingles as 64-bit hashes. Shingles are
-ordered rare first: a table of fixed size counts, over all texts, how many sets
-hold a shingle of each hash bucket, and a shingle's rank is its bucket's count.
-Any order gives exact results; a rare-first order keeps shared keys few.
+ordered rare first: a table that grows with the texts, from 2^18 to 2^23 hash
+buckets, counts over all texts how many sets hold a shingle of each bucket, and a
+shingle's rank is its bucket's count, to half an octave. Any order gives exact
+results; a rare-first order keeps shared keys few.
 
 Texts with equal sets form a class, and only classes are joined. The prefix
 filter joins classes on shingles among the first ``n - ceil(t * n) + 1``; length
@@ -15,26 +16,39 @@ Links are sought in two rounds. First each key's classes are compared with one
 of them, the class with the most copies. Then, within keys that still hold
 several components, every pair of classes from different components that passes
 the filters is verified, so a large group of near copies costs its size rather
-than its square, and no component is missed.
+than its square, and no component is missed. Keys that ``HOT`` sets or more may
+hold, by their rank, are dealt to ``SALTS`` parts for the first round and by size
+for the second: a size meets only its own and the next band of sizes, which is as
+far as the length filter reaches.
 
 Defined results: null texts and texts without words have empty sets, link with
 nothing and are their own component; texts with fewer words than ``n`` are one
 shingle; repeated rows get equal rows; columns other than doc_id and text are
-not read; an empty table gives no rows.
+not read, so none can clash; a text of any length is one set; of equal texts each
+row has its own, equal, result; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm._common import cut, gram_hashes, mix64, span_hashes, spans, text_chunks
 from larkspur.llm.components import connected_components
 
-BUCKET_BITS = 18
+#: Bits of the rank table's size, from bytes of text, and of a rank.
+BUCKET_BITS = (18, 23)
+RANK_BITS = 6
+BYTES_PER_BUCKET = 1 << 8
+_SLICE = 1 << 16
+#: Keys of buckets with so many sets are split.
+HOT = 1 << 13
+SALTS = 32
 RANGES = 2048
 _FOLD = 256
 #: Ids that may be broadcast, after they are counted: 16 bytes each. More are joined by a shuffle.
@@ -69,34 +83,60 @@ def required(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def bucket_counts(documents: DataFrame, n: int) -> np.ndarray:
-    """How many sets hold a shingle of each bucket, as powers of two; its size does not grow with the data."""
+def bucket_ranks(documents: DataFrame, n: int) -> np.ndarray:
+    """How many sets hold a shingle of each bucket, as twice its binary logarithm; a power of two of buckets, 2^23 at most.
+
+    Each task sends its counts in slices of buckets, in as many bytes as they need.
+    """
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max((size // BYTES_PER_BUCKET).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
 
     def count(batches):
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch["text"]):
-                total += np.bincount(shingle_sets(data, offsets, n)[0] >> np.uint64(64 - BUCKET_BITS), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+                np.add.at(total, (shingle_sets(data, offsets, n)[0] >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        for k, part in enumerate(total.reshape(-1, _SLICE)):
+            most = int(part.max())
+            if most:
+                kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())], names=["slice", "counts"])
+
+    def merge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        total = np.zeros(_SLICE, np.int64)
+        for raw in rows["counts"]:
+            raw = raw.as_buffer()
+            total += np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[raw.size // _SLICE])
+        ranks = np.minimum(2 * np.log2(np.maximum(total, 1)), (1 << RANK_BITS) - 1).astype(np.uint8)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "ranks": pa.array([ranks.tobytes()], pa.binary())})
+
+    got = documents.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(merge, "slice int, ranks binary").toArrow()
+    out = np.zeros((1 << bits) // _SLICE, f"V{_SLICE}")
+    for k, raw in zip(got["slice"].to_pylist(), got["ranks"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(raw, f"V{_SLICE}")[0]
+    return out.view(np.uint8)
+
+
+def hot_rank(sets: int) -> int:
+    return int(2 * np.log2(sets))
+
 
-    got = documents.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.uint8)
-    out[got["bucket"].to_numpy()] = np.log2(got["n"].to_numpy()).astype(np.uint8)
-    return out
+def _rank(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 64 - RANK_BITS)
 
 
 def prefixes(documents: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, set_id (a hash of the set), prefix, parity and its fold of each text."""
-    ranks = documents.sparkSession.sparkContext.broadcast(bucket_counts(documents, n))
+    ranks = documents.sparkSession.sparkContext.broadcast(bucket_ranks(documents, n))
     schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("prefix", T.BinaryType()), T.StructField("parity", T.BinaryType()), T.StructField("fold", T.BinaryType())])
 
     def make(batches):
         rank = ranks.value
+        shift = np.uint64(65 - len(rank).bit_length())
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch["text"]):
                 grams, bound = shingle_sets(data, offsets, n)
-                keys = (rank[grams >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(58)) | (mix64(grams) >> np.uint64(6))
+                keys = (rank[(grams >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(64 - RANK_BITS)) | (mix64(grams) >> np.uint64(RANK_BITS))
                 ids, prefix, parity, fold = np.zeros(hi - lo, np.int64), [], [], []
                 for i in range(hi - lo):
                     own = slice(bound[i], bound[i + 1])
@@ -233,9 +273,11 @@ def link_components(documents: DataFrame, n: int = 3, percent: int = 90) -> Data
     classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max(F.struct("n_shingles", "prefix", "parity", "fold")).alias("s"))
     classes = cut(classes.select("set_id", "first_id", "copies", F.col("s.n_shingles").alias("n"), "s.prefix", "s.parity", "s.fold"))
 
-    key = Window.partitionBy("key")
+    hot = _rank(F.col("key")) >= hot_rank(HOT)
+    postings = _postings(classes).withColumn("part", F.when(hot, F.pmod(F.xxhash64("set_id"), F.lit(SALTS)) + 1).otherwise(0).cast("int"))
+    key = Window.partitionBy("key", "part")
     pivot = key.orderBy(F.desc("copies"), "set_id")
-    shared = _postings(classes).withColumn("pivot", F.first(F.struct("set_id", "n", "at")).over(pivot)).withColumn("held", F.count(F.lit(1)).over(key)).where("held > 1")
+    shared = postings.withColumn("pivot", F.first(F.struct("set_id", "n", "at")).over(pivot)).withColumn("held", F.count(F.lit(1)).over(key)).where("held > 1 or part > 0")
     shared = cut(shared.select("key", "set_id", "n", "at", "pivot"))
     a_n, b_n, a_at, b_at = F.col("pivot.n"), F.col("n"), F.col("pivot.at"), F.col("at")
     need = F.ceil(percent * (a_n + b_n) / (100 + percent))
@@ -248,6 +290,10 @@ def link_components(documents: DataFrame, n: int = 3, percent: int = 90) -> Data
     parts = connected_components(first)
     placed = classes.join(parts, F.col("set_id") == F.col("node"), "left").select("set_id", "fold", F.coalesce("component", "set_id").alias("part"))
     rest = shared.select("key", "set_id", "n", "at").join(placed, "set_id").select("key", "set_id", "n", "at", "part", "fold")
+    # a hot key's rows go to their own band of sizes and, as the smaller ones, to the next
+    band = F.floor(F.log(F.col("n")) / math.log(100 / percent)) if percent < 100 else F.col("n")
+    rest = rest.withColumn("band", F.explode(F.when(hot, F.array(band, band + 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    rest = rest.withColumn("key", F.when(hot, F.xxhash64("key", "band")).otherwise(F.col("key"))).drop("band")
     near = rest.repartition("key").sortWithinPartitions("key", "n", "set_id").mapInArrow(_near_pairs(percent), "a long, b long")
     links = first.union(_verified(near, documents, classes, n, percent))
     found = connected_components(links)

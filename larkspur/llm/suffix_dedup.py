@@ -229,7 +229,7 @@ def _settled_here(key: np.ndarray, mark: np.ndarray, d: np.ndarray, place: np.nd
     repeat = same & (d[order][1:] == d[order][:-1]) & (place[order][1:] == place[order][:-1])
     twice = np.append(repeat, False)
     stay = np.append(True, ~repeat)[: len(order)]
-    return order[stay], np.append(False, same)[: len(order)][stay], (twice[: len(order)] | ~np.append(True, ~repeat)[: len(order)])[stay]
+    return order[stay], np.append(False, same)[: len(order)][stay], twice[: len(order)][stay]
 
 
 def _cut_up(length: int, gram: int):

@@ -1,6 +1,7 @@
 """Line dedup, n-gram Jaccard join, suffix dedup and components against brute force."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -74,10 +75,26 @@ def test_lines_alike_however_many_classes_are_hot(spark):
 
 
 def test_lines_keep_other_columns_and_nothing(spark):
-    odd = documents(spark).withColumn("n_lines", F.lit("clash")).withColumn("places", F.lit(1)).withColumn("d", F.lit(2))
+    names = ("n_lines", "places", "d", "_d", "_v", "_places", "_lines", "_row", "a.b")
+    odd = documents(spark).withColumns({c: F.lit("clash") for c in names})
     got = line_dedup.drop_repeated_lines(odd)
-    assert {"doc_id", "text", "places", "d", "n_lines", "n_removed"} <= set(got.columns)
+    assert {"doc_id", "text", *names, "n_removed"} == set(got.columns) - {"lang", "source", "n_chars"}
+    assert {r["_places"] for r in got.collect()} == {"clash"}
     assert got.count() == odd.count()
+
+
+def test_lines_alike_however_many_keys_are_hot(spark, monkeypatch):
+    rng = random.Random(12)
+    line = prose(rng, 1, 12)
+    more = [(100 + i, f"{changed(rng, line, i % 3)}\n{prose(rng, 1, 9)}", "en", "s", 1) for i in range(60)]
+    docs = documents(spark).union(spark.createDataFrame(more, SCHEMA))
+    want = sorted((r.d, r.v, sorted(r.places)) for r in line_dedup.repeated_lines(docs).collect())
+    monkeypatch.setattr(line_dedup, "HOT_RANK", 8)
+    monkeypatch.setattr(line_dedup, "HOT_CLASSES", 1 << 20)
+    assert sorted((r.d, r.v, sorted(r.places)) for r in line_dedup.repeated_lines(docs).collect()) == want
+
+
+def test_lines_nothing(spark):
     assert line_dedup.drop_repeated_lines(empty(spark)).collect() == []
 
 
@@ -117,12 +134,26 @@ def test_jaccard_without_ids_and_rows(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_components(none).collect()) == [(1, 0, 1), (2, 0, 2)]
 
 
+def test_jaccard_ranks_count_sets(spark):
+    texts = ["a b c d", "a b c e", "x a b c", "q r s"] * 3 + [None, ""]
+    ranks = ngram_join.bucket_ranks(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 3)
+    assert len(ranks) == 1 << 18
+    assert sorted(ranks[ranks > 0].tolist()) == [int(2 * math.log2(x)) for x in (3, 3, 3, 3, 9)]
+
+
+def test_jaccard_other_columns(spark):
+    odd = documents(spark).withColumns({c: F.lit("clash") for c in ("set_id", "component_id", "n", "key", "prefix")})
+    want = sorted(str((r.doc_id, r.component_id)) for r in ngram_join.link_components(documents(spark)).collect())
+    assert sorted(str((r.doc_id, r.component_id)) for r in ngram_join.link_components(odd).collect()) == want
+
+
 def test_jaccard_blocks_of_a_hot_key(spark, monkeypatch):
     rng = random.Random(8)
     seed = prose(rng, 3, 20)
     base = {i: changed(rng, seed, 2 + i % 3) for i in range(80)}
     df = spark.createDataFrame(list(base.items()), "doc_id long, text string")
     monkeypatch.setattr(ngram_join, "_RUN", 8)
+    monkeypatch.setattr(ngram_join, "HOT", 4)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
     want = jaccard_components(base, 3, 80)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link_components(df, 3, 80).collect()} == {(i, *w) for i, w in want.items()}
