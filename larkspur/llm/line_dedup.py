@@ -14,11 +14,11 @@ n) + 1`` tokens, of which the smaller set needs fewer; length and positional fil
 ranges bound the overlap before sets are compared. Each class is first compared
 with the earliest class under each key; only classes that this leaves in place
 are then compared with all earlier ones, so a large group of near copies does not
-make all its pairs. Keys of words with 2^16 occurrences or more are dealt to
-``SALTS`` parts, each with an earliest class of its own, so no group of the first
-comparison is larger. A class that holds a large share of all repeated lines is
+make all its pairs. A class that holds a large share of all repeated lines is
 told to them by broadcast, and a line that a large share of all candidates name is
-met in ``SALTS`` parts, so that no task follows the most common line.
+met in ``SALTS`` parts, so that no task follows the most common line. (The two
+windows over a token's postings do pass through one task each, sorted and without
+words.)
 
 Defined results: null texts have no lines and stay null; an empty text is one
 empty line; rows that repeat a document, id and text alike, are treated as that
@@ -46,8 +46,6 @@ BROADCAST_ROWS = 1 << 18
 BROADCAST_PLACES = 1 << 20
 #: Classes with more than one part in so many of all repeated lines are broadcast; there are fewer than this.
 HOT_CLASSES = 1 << 12
-#: Ranks from which on a key's lines are dealt to parts: of buckets with 2^16 words.
-HOT_RANK = 4 * 16
 SALTS = 32
 _NO_ID = -(2**63)
 
@@ -82,10 +80,6 @@ def _keys(line: Column, ranks: Column) -> Column:
     return F.sort_array(F.transform(_hashes(line), lambda h: F.call_function("shiftleft", F.get(ranks, _bucket(h)), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
 
 
-def _is_hot(key: Column) -> Column:
-    return key >= HOT_RANK << 56
-
-
 def _lines(documents: DataFrame) -> DataFrame:
     """d, ord and line of every line; ord holds 31 bits of the text's hash, then the place."""
     docs = documents.where("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("d"), _version(F.col("text")).alias("v"), _blanked(F.col("text")).alias("t"))
@@ -121,6 +115,18 @@ def _small(df: DataFrame, places: Column | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and p <= BROADCAST_PLACES else df
 
 
+def _with_words(pairs: DataFrame, sets: DataFrame, line: tuple[str, str], other: tuple[str, str], name: str, total: int) -> DataFrame:
+    """Pairs with the words of one of their lines. A line that a large share of all pairs name is met in parts, dealt by the other line."""
+    # fewer than HOT_CLASSES lines
+    often = pairs.groupBy(*line).agg(F.count(F.lit(1)).alias("named")).where(F.col("named") * HOT_CLASSES > total)
+    often = F.broadcast(often.select(*line, F.lit(True).alias("often")))
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64(*other), F.lit(SALTS))).otherwise(0).cast("int")
+    told = sets.select(F.col("d").alias(line[0]), F.col("ord").alias(line[1]), F.col("words").alias(name)).join(often, [*line], "left")
+    told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("often"), SALTS - 1).otherwise(0)))).drop("often")
+    salted = pairs.join(often, [*line], "left").withColumn("salt", salt).drop("often")
+    return salted.join(told, [*line, "salt"]).drop("salt")
+
+
 def _similar(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     """d and ord of the later line of each pair (d, ord, e_d, e_ord) that reaches the similarity."""
     pairs = cut(pairs.distinct())
@@ -132,14 +138,9 @@ def _similar(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     lines = met.select("d", F.col("w_v").alias("v"), "places", F.explode(F.array(F.split(_blanked(F.col("text")), "\n"))).alias("lines")).select("d", "v", F.explode(F.transform("places", lambda p: F.struct(p.alias("pos"), F.get("lines", p).alias("line")))).alias("x"))
     sets = lines.select("d", F.shiftleft("v", 32).bitwiseOR(F.col("x.pos").cast("long")).alias("ord"), _hashes(F.col("x.line")).alias("words"))
     sets = sets.dropDuplicates(["d", "ord"])
-    # an earlier line that many candidates name is met in parts; there are fewer than HOT_CLASSES of them
-    often = pairs.groupBy("e_d", "e_ord").agg(F.count(F.lit(1)).alias("named")).where(F.col("named") * HOT_CLASSES > pairs.count())
-    often = F.broadcast(often.withColumn("often", F.lit(True)).drop("named"))
-    salt = F.when(F.col("often"), F.pmod(F.xxhash64("d", "ord"), F.lit(SALTS))).otherwise(0).cast("int")
-    salted = pairs.join(often, ["e_d", "e_ord"], "left").withColumn("salt", salt).drop("often")
-    earlier = sets.select(F.col("d").alias("e_d"), F.col("ord").alias("e_ord"), F.col("words").alias("e_words")).join(often, ["e_d", "e_ord"], "left")
-    earlier = earlier.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("often"), SALTS - 1).otherwise(0)))).drop("often")
-    both = salted.join(sets, ["d", "ord"]).join(earlier, ["e_d", "e_ord", "salt"])
+    total = pairs.count()
+    both = _with_words(pairs, sets, ("d", "ord"), ("e_d", "e_ord"), "words", total)
+    both = _with_words(both, sets, ("e_d", "e_ord"), ("d", "ord"), "e_words", total)
     shared = F.size(F.array_intersect("words", "e_words"))
     return both.where(100 * shared >= percent * (F.size("words") + F.size("e_words") - shared)).select("d", "ord").distinct()
 
@@ -178,17 +179,15 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
     classes = lines.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.first("prefix").alias("prefix"))
     postings = classes.select(F.col("first.d").alias("d"), F.col("first.ord").alias("ord"), "n", "parity", F.posexplode("prefix").alias("i", "key"))
     # a pair's smaller set holds the key in its index prefix; rows without such a partner of near size are left behind
-    postings = postings.withColumn("part", F.when(_is_hot(F.col("key")), F.pmod(F.xxhash64("d", "ord"), F.lit(SALTS)) + 1).otherwise(0).cast("int"))
-    by_size = Window.partitionBy("key", "part").orderBy("n", "i")
+    by_size = Window.partitionBy("key").orderBy("n", "i")
     indexed = F.col("i") < _index_length(F.col("n"), percent)
     larger = 100 * F.col("n") >= percent * F.lead("n").over(by_size)
     smaller = 100 * F.last(F.when(indexed, F.col("n")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= percent * F.col("n")
-    # what a key's other parts hold is not seen here, so its rows all stay
-    near_size = postings.withColumn("reach", (F.col("part") > 0) | F.coalesce(indexed & larger, F.lit(False)) | F.coalesce(smaller, F.lit(False))).where("reach").drop("reach")
-    by_age = Window.partitionBy("key", "part").orderBy("d", "ord")
+    near_size = postings.withColumn("reach", F.coalesce(indexed & larger, F.lit(False)) | F.coalesce(smaller, F.lit(False))).where("reach").drop("reach")
+    by_age = Window.partitionBy("key").orderBy("d", "ord")
     row = F.struct("d", "ord", "n", "i", "parity")
-    shared = near_size.withColumn("turn", F.row_number().over(by_age)).withColumn("x", F.first(row).over(by_age)).where("turn > 1 or part > 0").withColumn("y", row)
-    first = F.when((F.col("turn") > 1) & _close("x", "y", percent), F.struct(F.col("x.d").alias("e_d"), F.col("x.ord").alias("e_ord")))
+    shared = near_size.withColumn("turn", F.row_number().over(by_age)).withColumn("x", F.first(row).over(by_age)).where("turn > 1").withColumn("y", row)
+    first = F.when(_close("x", "y", percent), F.struct(F.col("x.d").alias("e_d"), F.col("x.ord").alias("e_ord")))
     shared, drop_shared = stored(shared.select("key", "d", "ord", "n", "i", "parity", first.alias("first")))
     near = _small(cut(_similar(shared.where("first is not null").select("d", "ord", "first.*"), documents, percent)))
     rest = shared.drop("first")

@@ -48,7 +48,7 @@ from larkspur.llm._common import CHUNK_BYTES, cut, mix64, text_chunks
 LENGTH = 100
 GRAM = 40
 FINE_GRAM = 96
-HOT = 1024
+HOT = 2000
 #: Rows and spans that may be broadcast, after they are counted. More are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 BROADCAST_SPANS = 1 << 21
@@ -224,12 +224,20 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 def _settled_here(key: np.ndarray, mark: np.ndarray, d: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments of a chunk without repeats of a row, which of them equal an earlier one, and which stand in a row that occurs twice."""
-    order = np.lexsort((place, d, size, mark, key))
-    same = (key[order][1:] == key[order][:-1]) & (mark[order][1:] == mark[order][:-1]) & (size[order][1:] == size[order][:-1])
-    repeat = same & (d[order][1:] == d[order][:-1]) & (place[order][1:] == place[order][:-1])
-    twice = np.append(repeat, False)
-    stay = np.append(True, ~repeat)[: len(order)]
-    return order[stay], np.append(False, same)[: len(order)][stay], twice[: len(order)][stay]
+    gone, repeat, twice = (np.zeros(len(key), bool) for _ in range(3))
+    # few segments have an equal: they are found by one sort of their hashes, and only they are put in order
+    by_mark = np.argsort(mark)
+    near = mark[by_mark][1:] == mark[by_mark][:-1]
+    few = np.unique(np.concatenate([by_mark[1:][near], by_mark[:-1][near]]))
+    few = few[np.lexsort((place[few], d[few], size[few], mark[few], key[few]))]
+    a, b = few[:-1], few[1:]
+    same = (key[a] == key[b]) & (mark[a] == mark[b]) & (size[a] == size[b])
+    gone[b[same]] = True
+    row = same & (d[a] == d[b]) & (place[a] == place[b])
+    repeat[b[row]] = True
+    twice[a[row]] = True
+    stay = np.flatnonzero(~repeat)
+    return stay, gone[stay], twice[stay]
 
 
 def _cut_up(length: int, gram: int):
@@ -243,9 +251,9 @@ def _cut_up(length: int, gram: int):
                     start, stop, key, mark, again = segments(part, ends, length, gram)
                     own = lo + row[start]
                     ids, place, size = d[own], (v[own] << 32) | at[start], (stop - start).astype(np.int32)
-                    order, gone, twice = _settled_here(key, mark, ids, place, size)
-                    key = np.where(gone, -1 - (mix64(ids[order].view(np.uint64)) & _LOW48).astype(np.int64), key[order])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, mark[order], ids[order], place[order], size[order], again[order], twice)], names=["key", "mark", "d", "ord", "len", "again", "twice"])
+                    stay, gone, twice = _settled_here(key, mark, ids, place, size)
+                    key = np.where(gone, -1 - (mix64(ids[stay].view(np.uint64)) & _LOW48).astype(np.int64), key[stay])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, mark[stay], ids[stay], place[stay], size[stay], again[stay], twice)], names=["key", "mark", "d", "ord", "len", "again", "twice"])
 
     return run
 

@@ -83,13 +83,12 @@ def test_lines_keep_other_columns_and_nothing(spark):
     assert got.count() == odd.count()
 
 
-def test_lines_alike_however_many_keys_are_hot(spark, monkeypatch):
+def test_lines_alike_when_every_line_is_named_often(spark, monkeypatch):
     rng = random.Random(12)
     line = prose(rng, 1, 12)
     more = [(100 + i, f"{changed(rng, line, i % 3)}\n{prose(rng, 1, 9)}", "en", "s", 1) for i in range(60)]
     docs = documents(spark).union(spark.createDataFrame(more, SCHEMA))
     want = sorted((r.d, r.v, sorted(r.places)) for r in line_dedup.repeated_lines(docs).collect())
-    monkeypatch.setattr(line_dedup, "HOT_RANK", 8)
     monkeypatch.setattr(line_dedup, "HOT_CLASSES", 1 << 20)
     assert sorted((r.d, r.v, sorted(r.places)) for r in line_dedup.repeated_lines(docs).collect()) == want
 
