@@ -4,20 +4,25 @@ One pass takes each whole text's statistics: words, code points in words,
 symbols, repeated lines and words inside repeated 8-word windows. Two plain
 rules reject (too few words, too many repeated words). The forest then scores
 the statistics as ratios, less their usual spread: anomalous texts are parted from the rest by few random
-splits. Its threshold comes from labelled rows: it lies in a wide gap of the
-scores, with many low-quality rows and at most ``clean_loss`` of the good ones
-(whose labels have errors of their own) beyond it.
+splits. What is usual is a median and a deviation of all rows that pass the plain
+rules. The trees take ``SAMPLE`` rows each, drawn from at most ``fit_rows`` of them.
+The threshold comes from all labelled rows, by a histogram of their scores: it lies
+in a wide gap, with many low-quality rows and at most ``clean_loss`` of the good
+ones (whose labels have errors of their own) beyond it.
 
 Defined results: a null or empty text has zero for every statistic and fails the
-base rule; repeated rows get equal rows; without labelled rows, or when no
-threshold parts the labels, only the base rules reject.
+base rule; a text of any length is counted whole; repeated rows get equal rows;
+of labels that repeat an id the best counts; among equal thresholds the one in the
+widest gap; without labelled rows, or when no threshold parts the labels, only the
+base rules reject; an empty table gives no rows; columns other than doc_id and text
+are not read, so none can clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +31,9 @@ from larkspur.llm._common import IS_GAP, bounded_sample, cut, gram_hashes, mix64
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
 TREES, SAMPLE = 100, 256
-FIT_ROWS, LABEL_ROWS = 8192, 4000
+FIT_ROWS = 8192
+#: Steps of the histogram of labelled scores, which lie between 0 and 1.
+STEPS = 4096
 CLEAN_LOSS = 0.03
 LOSS_WEIGHT = 10
 SPREAD = 4
@@ -98,12 +105,22 @@ def features(x: np.ndarray) -> np.ndarray:
     return np.stack([(chars + 500) / (n_words + 100), np.sqrt(symbols / np.maximum(chars, 1)), np.maximum(dup - 2, 0) / (n_words + 50), np.maximum(rep / np.maximum(n_words, 1) - 0.2, 0)], axis=1)
 
 
+def feature_columns() -> list[Column]:
+    """``features`` as expressions."""
+    n_words, chars, symbols, dup, rep = (F.col(c).cast("double") for c in STATS)
+    least = lambda x: F.greatest(x, F.lit(1.0))
+    return [(chars + 500) / (n_words + 100), F.sqrt(symbols / least(chars)), F.greatest(dup - 2, F.lit(0.0)) / (n_words + 50), F.greatest(rep / least(n_words) - 0.2, F.lit(0.0))]
+
+
 class Usual:
-    """What is usual of each feature: within ``SPREAD`` robust deviations of the median of a sample."""
+    """What is usual of each feature: within ``SPREAD`` robust deviations of the median of all rows."""
 
-    def __init__(self, x: np.ndarray, spread: float = SPREAD):
-        self.middle = np.median(x, axis=0)
-        self.reach = spread * 1.4826 * np.median(np.abs(x - self.middle), axis=0)
+    def __init__(self, stats: DataFrame, spread: float = SPREAD):
+        middle = lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(10000))
+        columns = feature_columns()
+        self.middle = np.array(list(stats.agg(*[middle(c) for c in columns]).first()), float)
+        away = stats.agg(*[middle(F.abs(c - float(m))) for c, m in zip(columns, self.middle, strict=True)]).first()
+        self.reach = spread * 1.4826 * np.array(list(away), float)
 
     def beyond(self, x: np.ndarray) -> np.ndarray:
         """How far features lie outside of that, so that ordinary variety parts nothing."""
@@ -154,54 +171,57 @@ class IsolationForest:
         return 2.0 ** (-(total / len(self.split)) / max(self.expected(self.sample), 1e-9))
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, clean_loss: float = CLEAN_LOSS) -> float:
-    """Where the share of low-quality rows beyond exceeds ``LOSS_WEIGHT`` times that of good ones the most; in the middle of the widest gap among equal choices; infinite if more than
-    ``clean_loss`` of the good rows would go or nothing is gained."""
-    if not good.any() or good.all():
+def threshold(scores: np.ndarray, good: np.ndarray, bad: np.ndarray, clean_loss: float = CLEAN_LOSS) -> float:
+    """From how many good and bad rows have each of some scores in order.
+
+    Where the share of bad rows beyond exceeds ``LOSS_WEIGHT`` times that of good ones
+    the most; in the middle of the widest gap among equal choices; infinite if more
+    than ``clean_loss`` of the good rows would go or nothing is gained.
+    """
+    if not good.sum() or not bad.sum():
         return np.inf
-    order = np.argsort(scores)
-    s, g = scores[order], good[order]
-    bad_beyond = (~g).sum() - np.cumsum(~g)
-    good_beyond = g.sum() - np.cumsum(g)
-    gap = np.append(np.diff(s), 0.0)
-    gain = bad_beyond / max((~g).sum(), 1) - LOSS_WEIGHT * good_beyond / g.sum()
-    gain[(good_beyond > clean_loss * g.sum()) | (gap <= 0)] = -np.inf
+    good_beyond, bad_beyond = good.sum() - np.cumsum(good), bad.sum() - np.cumsum(bad)
+    gap = np.append(np.diff(scores), 0.0)
+    gain = bad_beyond / bad.sum() - LOSS_WEIGHT * good_beyond / good.sum()
+    gain[(good_beyond > clean_loss * good.sum()) | (gap <= 0)] = -np.inf
     best = gain.max()
     if best <= 0:
         return np.inf
     i = max(np.flatnonzero(gain >= best - 0.01), key=lambda k: gap[k])
-    return float(s[i] + gap[i] / 2)
+    return float(scores[i] + gap[i] / 2)
 
 
-def judge(documents: DataFrame, labels: DataFrame, min_words: int = 20, repeat_percent: int = 30, fit_rows: int = FIT_ROWS, label_rows: int = LABEL_ROWS, clean_loss: float = CLEAN_LOSS) -> DataFrame:
-    """doc_id, the statistics, base_failed, anomaly and kept, for every row.
-
-    The forest is fitted on at most ``fit_rows`` rows, its threshold on at most
-    ``label_rows`` labelled ones; every row is scored.
-    """
+def judge(documents: DataFrame, labels: DataFrame, min_words: int = 20, repeat_percent: int = 30, fit_rows: int = FIT_ROWS, clean_loss: float = CLEAN_LOSS) -> DataFrame:
+    """doc_id, the statistics, base_failed, anomaly and kept, for every row."""
     stats = cut(statistics(documents))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
     passed = stats.where(~F.col("base_failed"))
     rows = bounded_sample(passed, fit_rows, "doc_id", *STATS).select(*STATS).collect()
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    marked = F.broadcast(bounded_sample(marks, label_rows, "doc_id"))  # at most label_rows rows
-    known = passed.join(marked, "doc_id").select(*STATS, "quality").orderBy("doc_id").limit(2 * label_rows).collect()
     forest, usual, limit = None, None, np.inf
     if len(rows) >= 2:
-        usual = Usual(x := features(np.array(rows)))
-        forest = IsolationForest(usual.beyond(x))
-        if known:
-            x = np.array(known)
-            limit = threshold(forest.score(usual.beyond(features(x[:, :-1]))), x[:, -1] > 0, clean_loss)
+        usual = Usual(passed)
+        forest = IsolationForest(usual.beyond(features(np.array(rows))))
     shared = documents.sparkSession.sparkContext.broadcast((forest, usual))
-    schema = T.StructType([*stats.schema.fields, T.StructField("anomaly", T.DoubleType())])
-
-    def score(batches):
-        model, ordinary = shared.value
-        for batch in batches:
-            x = np.stack([batch[c].to_numpy() for c in STATS], axis=1)
-            got = model.score(ordinary.beyond(features(x))) if model is not None and len(x) else np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=[*batch.schema.names, "anomaly"])
 
-    return stats.mapInArrow(score, schema).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(float(limit))))
+    def scored(rows: DataFrame) -> DataFrame:
+        schema = T.StructType([*rows.schema.fields, T.StructField("anomaly", T.DoubleType())])
+
+        def score(batches):
+            model, ordinary = shared.value
+            for batch in batches:
+                x = np.stack([batch[c].to_numpy() for c in STATS], axis=1)
+                got = model.score(ordinary.beyond(features(x))) if model is not None and len(x) else np.zeros(len(x))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=schema.names)
+
+        return rows.mapInArrow(score, schema)
+
+    if forest is not None:
+        marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
+        known = scored(passed.join(marks, "doc_id"))
+        steps = known.groupBy(F.round(F.col("anomaly") * STEPS).cast("int").alias("step")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+        steps = sorted(steps.collect())  # at most STEPS rows
+        if steps:
+            step, good, bad = (np.array(x) for x in zip(*steps, strict=True))
+            limit = threshold(step / STEPS, good, bad, clean_loss)
+    return scored(stats).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(float(limit))))

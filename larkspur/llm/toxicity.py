@@ -10,12 +10,17 @@ and all weights are then trained with Adagrad through the argmax positions.
 The decision threshold is calibrated by language: a hashed naive Bayes table,
 learned from the same rows, guesses each text's language from its words, and the
 threshold of that language, set on rows kept out of training, shifts the logit
-so that 0.5 is the decision. The language column itself is never an input.
+so that 0.5 is the decision. Both labels are drawn alike, so an error of either kind
+counts as many times as rows of its label stand for in the whole table. The
+language column itself is never an input.
 
 Defined results: texts that are null, empty or without letters get the score of
-a text with no active filter; repeated rows get equal rows; repeated labels of
-an id count once, toxic if any says so; without labels of both kinds every score is 0.
-The fit reads at most ``fit_rows`` labelled rows; every row is scored.
+a text with no active filter; a text of any length is scored whole; of equally
+likely languages the first counts; repeated rows get equal rows; repeated labels of
+an id count once, toxic if any says so; without labels of both kinds every score is
+0; an empty table gives no rows; other columns are not read, so none can clash.
+The fit reads at most ``fit_rows`` labelled rows, of texts of at most ``fit_bytes``,
+as bucket numbers that are made on the executors; every row is scored.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ FILTERS = 8
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 6)
 FIT_ROWS = 4000
+FIT_BYTES = 1 << 16
 EPOCHS = 6
 
 _NO_LETTER = np.ones(256, bool)
@@ -105,17 +111,43 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(float), -50, 50)))
 
 
-def _chunk(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [t.encode() for t in texts]
-    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+#: What is known of a text for training: the buckets of its different words, and the word at each place.
+Text = tuple[np.ndarray, np.ndarray]
 
 
-def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], epochs: int = EPOCHS, rate: float = 0.1, seed: int = 5) -> Model:
-    """Train on four fifths of the rows and set each language's threshold on the rest."""
+def _together(texts: list[Text]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as ``word_buckets`` gives them for a chunk, but that each has words of its own."""
+    size = np.array([len(b) for b, _ in texts], np.int64)
+    at = np.cumsum(size) - size
+    words = [w + a for (_, w), a in zip(texts, at, strict=True)]
+    row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    return np.concatenate([b for b, _ in texts]), np.concatenate(words), row
+
+
+def featurised(rows: DataFrame) -> DataFrame:
+    """The rows without their text, and the buckets of its words in their place."""
+    keep = [c for c in rows.columns if c != "text"]
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("buckets", T.BinaryType()), T.StructField("words", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in text_chunks(batch["text"]):
+                buckets, words, row = word_buckets(data, offsets)
+                bound, made = np.searchsorted(row, np.arange(hi - lo + 1)), []
+                for i in range(hi - lo):
+                    own, at = np.unique(words[bound[i] : bound[i + 1]], return_inverse=True)
+                    made.append((buckets[own].astype(np.int32).tobytes(), at.astype(np.int32).tobytes()))
+                yield pa.RecordBatch.from_arrays([*[batch[c].slice(lo, hi - lo) for c in keep], *[pa.array(x, pa.binary()) for x in zip(*made, strict=True)]], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def train(texts: list[Text], toxic: np.ndarray, langs: list[str | None], weight: tuple[float, float] = (1.0, 1.0), epochs: int = EPOCHS, rate: float = 0.1, seed: int = 5) -> Model:
+    """Train on four fifths of the rows and set each language's threshold on the rest; ``weight`` is how many rows a clean and a toxic one stand for."""
     model, rng = Model(), np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     hold, rest = order[: len(order) // 5], order[len(order) // 5 :]
-    batches = [(word_buckets(*_chunk([texts[i] for i in rest[k : k + 64]])), toxic[rest[k : k + 64]].astype(np.float32), [langs[i] for i in rest[k : k + 64]]) for k in range(0, len(rest), 64)]
+    batches = [(_together([texts[i] for i in rest[k : k + 64]]), toxic[rest[k : k + 64]].astype(np.float32), [langs[i] for i in rest[k : k + 64]]) for k in range(0, len(rest), 64)]
 
     seen = np.zeros((2, BUCKETS), np.float32)  # texts of each kind that hold each bucket
     model.lang_names = sorted({x for x in langs if x})
@@ -173,39 +205,45 @@ def train(texts: list[str], toxic: np.ndarray, langs: list[str | None], epochs:
     z, own = np.zeros(len(hold)), np.zeros(len(hold), int)
     for k in range(0, len(hold), 64):
         part = hold[k : k + 64]
-        found = word_buckets(*_chunk([texts[i] for i in part]))
+        found = _together([texts[i] for i in part])
         z[k : k + 64] = model.logit(model.pooled(*found, len(part))[0])
         own[k : k + 64] = model.language(*found, len(part)) if model.lang_names else 0
-    everyone = best_threshold(z, toxic[hold], 0.0)
-    model.lang_shift = np.array([best_threshold(z[own == i], toxic[hold][own == i], everyone) for i in range(len(model.lang_names))], np.float32)
+    everyone = best_threshold(z, toxic[hold], 0.0, weight)
+    model.lang_shift = np.array([best_threshold(z[own == i], toxic[hold][own == i], everyone, weight) for i in range(len(model.lang_names))], np.float32)
     return model
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray, default: float) -> float:
-    """The logit with the fewest errors, in the middle of the widest gap among equals; ``default`` for one kind only."""
+def best_threshold(z: np.ndarray, y: np.ndarray, default: float, weight: tuple[float, float] = (1.0, 1.0)) -> float:
+    """The logit with the fewest errors, each counted by its label's weight, in the middle of the widest gap among equals; ``default`` for one kind only."""
     if y.sum() < 3 or (1 - y).sum() < 3:
         return default
     order = np.argsort(z)
     z, y = z[order], y[order]
-    errors = np.cumsum(y) + (1 - y).sum() - np.cumsum(1 - y)
+    errors = weight[1] * np.cumsum(y) + weight[0] * ((1 - y).sum() - np.cumsum(1 - y))
     gap = np.append(np.diff(z), 0)
-    errors = np.where(gap > 1e-6, errors, len(y))
-    i = max(np.flatnonzero(errors == errors.min()), key=lambda k: gap[k])
+    errors = np.where(gap > 1e-6, errors, np.inf)
+    i = max(np.flatnonzero(errors <= errors.min() * (1 + 1e-9)), key=lambda k: gap[k])
     return float(z[i] + gap[i] / 2)
 
 
-def fit(documents: DataFrame, labels: DataFrame, where: Column | None = None, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Fit on at most ``fit_rows`` labelled rows, as even between the labels as they allow."""
+def fit(documents: DataFrame, labels: DataFrame, where: Column | None = None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model | None:
+    """Fit on at most ``fit_rows`` labelled rows, as even between the labels as they allow, of texts of at most ``fit_bytes``."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    known = (known.where(where) if where is not None else known).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = (known.where(where) if where is not None else known).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if len(total) < 2:
+        return None
     half = fit_rows // 2
-    picked = bounded_sample(known.where("toxic > 0"), half, "doc_id").unionByName(bounded_sample(known.where("toxic <= 0"), half, "doc_id"))
+    picked = bounded_sample(known.where("toxic = 1"), half, "doc_id").unionByName(bounded_sample(known.where("toxic = 0"), half, "doc_id"))
     # at most fit_rows ids, so the documents need no shuffle
-    rows = documents.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(2 * fit_rows).collect()
-    toxic = np.array([int(r.toxic > 0) for r in rows])
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).where(F.octet_length("text") <= fit_bytes)
+    rows = rows.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(2 * fit_rows)
+    rows = sorted(featurised(rows).collect(), key=lambda r: (r["doc_id"], r["words"], r["buckets"]))
+    toxic = np.array([r["toxic"] for r in rows])
     if not len(rows) or toxic.all() or not toxic.any():
         return None
-    return train([r.text or "" for r in rows], toxic, [r.lang for r in rows])
+    texts = [(np.frombuffer(r["buckets"], np.int32).reshape(-1, 1 + len(PREFIXES)).astype(np.int64), np.frombuffer(r["words"], np.int32).astype(np.int64)) for r in rows]
+    return train(texts, toxic, [r["lang"] for r in rows], (total[0] / (toxic == 0).sum(), total[1] / toxic.sum()))
 
 
 def rate(documents: DataFrame, model: Model | None) -> DataFrame:

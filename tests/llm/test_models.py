@@ -28,7 +28,7 @@ def test_language(spark):
     parts = {"aa": "sha sho shi tha tho", "bb": "éla ono rré qui ñu", "cc": "krz ptk wsz ghn dvr"}
     data = [(i, " ".join("".join(rng.choice(parts[k].split()) for _ in range(3)) for _ in range(rng.randint(4, 60))), k, "s", 1) for i, k in enumerate(list(parts) * 60)]
     data += [(900, None, "aa", "s", 1), (901, "", "aa", "s", 1), (902, "12 345 !?", "bb", "s", 1), (903, data[0][1] * 2000, None, None, 1), (None, data[1][1], None, None, 1)]
-    docs = spark.createDataFrame(data, SCHEMA).withColumn("score", F.lit("clash"))
+    docs = spark.createDataFrame(data, SCHEMA).withColumns({c: F.lit("clash") for c in ("score", "_lang", "_far", "row", "a.b")})
     model = language_id.fit(docs, remainder(4) != 2, fit_rows=90)
     got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
     assert len(got) == len(data)
@@ -37,6 +37,41 @@ def test_language(spark):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (900, 901, 902))
     assert got[903].lang_pred == "aa" and got[None].lang_pred == "bb"
     assert all(0 <= r.score <= 1 for r in got.values())
+    assert {(r["_lang"], r["row"], r["a.b"]) for r in got.values()} == {("clash",) * 3}
+    assert not any(got[i].rejected for i in range(180))
+    for r in got.values():  # the same model by plain arithmetic on one text
+        want = plain_cosine(model, next((t for i, t, *_ in data if i == r.doc_id), None))
+        assert r.score == pytest.approx(want, abs=1e-4)
+
+
+def plain_cosine(model, text):
+    """The best cosine of a text with the centroids, n-gram by n-gram."""
+    if not text or not any(c.isalpha() for c in text):
+        return 0
+    codes = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()]
+    counts = [0] * language_id.DIMS
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            if n > 1 and codes[i] == codes[i + 1] == 32:
+                continue
+            gram = 0
+            for k, c in enumerate(codes[i : i + n]):
+                gram = (gram * 257 + c + 1) % 2**32 if k else c + 1
+            counts[(gram * 2654435761 % 2**32) >> 20] += 1
+    x = [math.log1p(c) * float(w) for c, w in zip(counts, model.idf, strict=True)]
+    norm = math.sqrt(sum(v * v for v in x))
+    return max(sum(v * float(c) for v, c in zip(x, centre, strict=True)) / norm for centre in model.centroids)
+
+
+def test_language_rejects_what_it_has_not_learned(spark):
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs, remainder(4) != 2)
+    noise = [(i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(60)), None, "s", 1) for i in range(20)]
+    noise += [(100 + i, t * 3, None, "s", 1) for i, t in enumerate(["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. ", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια. ", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. "])]
+    assert all(r.rejected for r in language_id.identify(spark.createDataFrame(noise, SCHEMA), model).collect())
+    kept = language_id.identify(docs.where(remainder(4) == 2).where("text rlike '(\\\\p{L}+ ){8}'"), model).groupBy("rejected").count().collect()
+    assert sum(r["count"] for r in kept if r["rejected"]) <= 0.005 * sum(r["count"] for r in kept)
 
 
 def test_language_without_training_rows(spark):
@@ -88,9 +123,67 @@ def test_quality_drops_labelled_junk_only(spark):
     assert sum(got[r[0]] for r in junk) <= 0.1 * len(junk)
 
 
+def test_quality_threshold_counts_all_labelled_rows():
+    scores, good, bad = np.array([0.3, 0.4, 0.6, 0.7]), np.array([50, 49, 1, 0]), np.array([1, 0, 3, 6])
+    assert quality.threshold(scores, good, bad) == pytest.approx(0.5)
+    assert quality.threshold(scores, good, bad, clean_loss=0.0) == pytest.approx(0.65)
+    assert quality.threshold(scores, good, np.zeros(4, int)) == np.inf
+
+
+def test_quality_features_alike_in_both_forms(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.integers(0, 400, (60, 5)), np.zeros((1, 5), int)])
+    df = spark.createDataFrame([tuple(map(int, r)) for r in x], ", ".join(f"{c} long" for c in quality.STATS))
+    assert np.allclose(np.array([list(r) for r in df.select(*quality.feature_columns()).collect()]), quality.features(x))
+    usual = quality.Usual(df)
+    middle = np.sort(quality.features(x), axis=0)[30]
+    assert np.allclose(usual.middle, middle) and np.allclose(usual.reach, quality.SPREAD * 1.4826 * np.sort(np.abs(quality.features(x) - middle), axis=0)[30])
+
+
+def test_forest_paths_by_recursion():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(500, 4)), rng.normal(6, 1, size=(5, 4))])
+    forest = quality.IsolationForest(x, trees=20, sample=64)
+
+    def path(t, node, row):
+        f = forest.split[t, node]
+        return forest.path[t, node] if f < 0 else path(t, 2 * node + int(row[f] > forest.at[t, node]), row)
+
+    def expected(n):
+        return 2 * sum(1 / k for k in range(1, n)) - 2 * (n - 1) / n
+
+    want = [2 ** (-np.mean([path(t, 1, row) for t in range(20)]) / expected(64)) for row in x]
+    assert forest.score(x) == pytest.approx(want, abs=0.01)
+    assert forest.score(x)[500:].min() > np.quantile(forest.score(x)[:500], 0.95)
+
+
 # toxicity
 
 
+def plain_toxicity(model, text):
+    """The score of one text, word by word and filter by filter."""
+    raw, words = (text or "").encode(), []
+    for c in raw:
+        letter = 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+        if letter and words and words[-1] is not None:
+            words[-1] += bytes([c])
+        elif letter:
+            words.append(bytes([c]))
+        elif words and words[-1] is not None:
+            words.append(None)
+    vectors, counts = [], np.zeros(len(model.lang_names))
+    for w in filter(None, words):
+        buckets = toxicity.word_buckets(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]
+        vectors.append(sum(model.embed[b].astype(float) for b in buckets))
+        counts += model.lang_log[buckets[0]]
+    best = []
+    for width, conv in zip(toxicity.WIDTHS, model.conv, strict=True):
+        for f in range(toxicity.FILTERS):
+            best.append(max((sum(float(vectors[i + j] @ conv[j][:, f]) for j in range(width) if i + j < len(vectors)) for i in range(len(vectors))), default=-math.inf))
+    z = float(model.out_bias) + sum(max(b + float(c), 0) * float(o) for b, c, o in zip(best, model.bias, model.out, strict=True))
+    return 1 / (1 + math.exp(-(z - float(model.lang_shift[counts.argmax()]))))
+
+
 def test_toxicity(spark):
     rng = random.Random(11)
     data, marks = [], []
@@ -110,11 +203,22 @@ def test_toxicity(spark):
     assert sum(p == t for p, t in out) >= 0.95 * len(out)
     assert got[2002].predicted == 1 and got[2000].predicted == 0 and got[2001].score == got[2000].score
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    for i, text, *_ in [*data[:40], data[900], data[901]]:
+        assert got[i].score == pytest.approx(plain_toxicity(model, text), abs=1e-4)
+    odd = docs.withColumns({c: F.lit("clash") for c in ("score", "predicted", "toxic", "words")})
+    assert {r.doc_id: r.score for r in toxicity.rate(odd, toxicity.fit(odd, labels, remainder(5) != 0, fit_rows=500)).collect()} == {i: r.score for i, r in got.items()}
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit(docs, none) is None
     assert toxicity.rate(empty(spark), None).collect() == []
 
 
+def test_toxicity_thresholds_weigh_the_labels():
+    z, y = np.arange(20.0), np.array([0] * 8 + [1, 0, 1, 0] + [1] * 8)
+    assert toxicity.best_threshold(z, y, 0.0, (1, 1)) in (7.5, 8.5, 9.5, 10.5, 11.5)
+    assert toxicity.best_threshold(z, y, 0.0, (100, 1)) == 11.5
+    assert toxicity.best_threshold(z, y, 0.0, (1, 100)) == 7.5
+
+
 # Bloom-filter language model
 
 
