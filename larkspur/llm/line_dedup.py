@@ -6,12 +6,13 @@ id and place, has the same tokens or a Jaccard similarity of at least
 ``percent`` / 100 with it, whether or not that line stays itself. Lines with
 fewer than ``min_tokens`` tokens always stay.
 
-Tokens are ordered by rarity: a table of 2^18 hash buckets counts the words of all
+Tokens are ordered by rarity: a table of 2^17 hash buckets counts the words of all
 texts, and a token's rank is its bucket's count, so a word that is frequent is
 always told from most rare ones. Lines with equal
 tokens form a class. The prefix filter joins classes on the first ``n - ceil(t *
 n) + 1`` tokens, of which the smaller set needs fewer; length and positional filters and the parities of 64 hash
-ranges bound the overlap before sets are compared. Each class is first compared
+ranges bound the overlap before sets are compared. Sets so small that one token more
+is too much (below 9 tokens at 90 percent) are like their equals only and take no part. Each class is first compared
 with the earliest class under each key; only classes that this leaves in place
 are then compared with all earlier ones, so a large group of near copies does not
 make all its pairs. A class that holds a large share of all repeated lines is
@@ -40,7 +41,7 @@ from larkspur.llm._common import cut, stored
 
 PERCENT = 90
 MIN_TOKENS = 5
-RANK_BUCKETS = 1 << 18
+RANK_BUCKETS = 1 << 17
 #: Rows that may be broadcast, after they are counted; each holds an id and a few places. More are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 BROADCAST_PLACES = 1 << 20
@@ -177,7 +178,9 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
     lines, drop_lines = stored(lines)
     same = ["set", "parity", "n"]  # equal tokens: a hash, and two more facts of the tokens
     classes = lines.groupBy(*same).agg(F.min(F.struct("d", "ord")).alias("first"), F.first("prefix").alias("prefix"))
-    postings = classes.select(F.col("first.d").alias("d"), F.col("first.ord").alias("ord"), "n", "parity", F.posexplode("prefix").alias("i", "key"))
+    # two different sets reach the similarity only if one token more does: n / (n + 1) >= percent / 100
+    joined = classes.where(F.col("n") * (100 - percent) >= percent)
+    postings = joined.select(F.col("first.d").alias("d"), F.col("first.ord").alias("ord"), "n", "parity", F.posexplode("prefix").alias("i", "key"))
     # a pair's smaller set holds the key in its index prefix; rows without such a partner of near size are left behind
     by_size = Window.partitionBy("key").orderBy("n", "i")
     indexed = F.col("i") < _index_length(F.col("n"), percent)
