@@ -6,7 +6,6 @@ task's memory follows the chunk size (``CHUNK_BYTES``), not the partition.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.lineage import cut, shared_folder
+
 CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 256
 
@@ -125,20 +126,6 @@ def bounded_sample(df: DataFrame, rows: int, *tie: str) -> DataFrame:
     return df.withColumn("_h", h).orderBy("_h", *tie).limit(rows).drop("_h")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of its own only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, which Spark removes once nothing refers to it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """The rows as a Parquet table in the shared folder, for steps that read few of their columns, and its removal."""
     spark = df.sparkSession
@@ -160,3 +147,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(of: int):
     """crc32 of the id written as text, modulo ``of`` (null ids: 0)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(0))
+
+
+__all__ = ["bounded_sample", "cut", "gram_hashes", "mix64", "remainder", "shared_folder", "span_hashes", "spans", "stored", "table", "text_chunks"]

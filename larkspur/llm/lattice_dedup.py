@@ -17,7 +17,8 @@ is a group of its own.
 Defined results: vectors that are null, empty or zero, or hold null or
 non-finite components, and rows with a null label, link with nothing and are
 kept; vectors of other lengths are compared only with their like; repeated rows
-link with each other; columns other than vec_id, embedding and label are not read.
+link with each other; a cosine of exactly ``least`` is a link; an empty table gives
+no rows; columns other than vec_id, embedding and label are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -155,7 +156,10 @@ def _compare(tables: int, probes: int, least: float):
                         first &= ~(codes[p, t] == codes[q, t, :1]).any(axis=1)
                     np.add.at(links, p[first], copies[q[first]])
                     np.add.at(links, q[first], copies[p[first]])
-                    for u, v in zip(ids[p[first]].tolist(), ids[q[first]].tolist(), strict=True):
+                    p, q = p[exact], q[exact]
+                    at = np.array([root(int(i)) for i in ids])  # pairs within one tree need no step
+                    apart = at[p] != at[q]
+                    for u, v in np.unique(np.stack([at[p[apart]], at[q[apart]]]), axis=1).T.tolist():
                         if (ru := root(u)) != (rv := root(v)):
                             parent[max(ru, rv)] = min(ru, rv)
         at = np.array([root(int(i)) for i in ids], np.int64)
@@ -172,7 +176,7 @@ def link(embeddings: DataFrame, least: float = 0.98, tables: int = TABLES, probe
     usable = F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False))
     usable &= F.coalesce(F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(doubles, lambda x: x != 0), F.lit(False))
     rows = embeddings.select("vec_id", F.col("label").cast("string").alias("label"), F.when(usable, doubles).alias("v"))
-    # equal vectors with equal labels: found by their hash, told apart by the vector itself
+    # equal vectors with equal labels, told apart by the vectors themselves
     known = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
     def pack(batches):
@@ -180,8 +184,9 @@ def link(embeddings: DataFrame, least: float = 0.98, tables: int = TABLES, probe
             yield pa.RecordBatch.from_arrays([batch["label"], batch["first_id"], batch["copies"], pa.array([(np.array(v.as_py(), np.float64) + 0.0).tobytes() for v in batch["v"]], pa.binary())], names=["label", "first_id", "copies", "vector"])
 
     classes = known.mapInArrow(pack, T.StructType([T.StructField("label", T.StringType()), T.StructField("first_id", kind), T.StructField("copies", T.LongType()), T.StructField("vector", T.BinaryType())]))
-    # two hashes of which the first orders and names the class
-    classes = cut(_with_cells(classes.withColumn("class", F.xxhash64("label", "vector")), tables, probes))
+    # a class is a number of its own; rows find theirs again by two hashes, which for n vectors fail with odds of n^2 / 2^129
+    marks = [F.xxhash64("label", "vector").alias("mark"), F.xxhash64(F.lit("again"), "vector", "label").alias("mark2")]
+    classes = cut(_with_cells(classes.select("*", *marks).withColumn("class", F.monotonically_increasing_id()), tables, probes))
     members = _places(classes, probes)
     key = ["label", "cell"]
     # only cells in which a pair can meet get their vectors; most cells hold one class
@@ -196,16 +201,16 @@ def link(embeddings: DataFrame, least: float = 0.98, tables: int = TABLES, probe
     parts = connected_components(got.select(F.col("class").alias("a"), F.col("root").alias("b")))
     counts = got.groupBy("class").agg(F.sum("links").alias("links"))
     whole = classes.join(counts, "class", "left").join(parts, F.col("class") == F.col("node"), "left")
-    whole = whole.select("class", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class").alias("part"))
+    whole = whole.select("mark", "mark2", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class").alias("part"))
     least_id = whole.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    by_class = whole.join(least_id, "part").select("class", "n_links", "component_id")
+    by_class = whole.join(least_id, "part").select(F.col("mark").alias("_m"), F.col("mark2").alias("_m2"), "n_links", "component_id")
 
     def name(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], pa.array([None if v.as_py() is None else (np.array(v.as_py(), np.float64) + 0.0).tobytes() for v in batch["v"]], pa.binary())], names=["vec_id", "label", "vector"])
 
     named = rows.mapInArrow(name, T.StructType([T.StructField("vec_id", kind), T.StructField("label", T.StringType()), T.StructField("vector", T.BinaryType())]))
-    named = named.select("vec_id", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")).alias("_c"))
-    out = named.join(by_class, F.col("_c") == F.col("class"), "left")
+    named = named.select("vec_id", *[F.when(F.col("vector").isNotNull(), m).alias(c) for m, c in zip(marks, ("mark", "mark2"), strict=True)])
+    out = named.join(by_class, (F.col("mark") == F.col("_m")) & (F.col("mark2") == F.col("_m2")), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

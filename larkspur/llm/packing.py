@@ -15,7 +15,9 @@ an ASCII letter before it and lower-cases, so such a last character is a word of
 its own, and words that differ in the case of ASCII letters share an entry.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
-packed each on its own; an empty table gives no rows.
+packed each on its own; pieces of equal length go in order of id and place; a text
+of any length is tokenised whole; an empty table gives no rows; columns other than
+doc_id and text are not read, so none can clash.
 """
 
 from __future__ import annotations

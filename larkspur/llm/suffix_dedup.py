@@ -30,7 +30,9 @@ of all chunks in one task, without bytes.)
 Defined results: null and empty texts have no bytes; rows that repeat a document,
 id and text alike, are that document and come out alike; rows with one id and
 different texts are different documents, ordered by a hash of the text; null ids
-come first; an empty table gives no rows.
+come first; a text of any length is cut whole, in pieces that overlap by a window;
+an empty table gives no rows; columns other than doc_id and text are not read, so
+none can clash.
 """
 
 from __future__ import annotations

@@ -408,5 +408,14 @@ def test_lattice(spark, block):
     assert all(r.kept == (r.component_id == r.vec_id) and r.component_id <= r.vec_id for r in got)
 
 
+def test_lattice_other_columns(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, [float(v) for v in rng.normal(size=8)], 1) for i in range(30)] * 2
+    docs = spark.createDataFrame(data, VECTORS)
+    odd = docs.withColumns({c: F.lit("clash") for c in ("class", "copies", "n_links", "mark", "cells")})
+    want = sorted(map(tuple, lattice_dedup.link(docs).collect()))
+    assert sorted(map(tuple, lattice_dedup.link(odd).collect())) == want and {r[1] for r in want} == {1}
+
+
 def test_lattice_empty(spark):
     assert lattice_dedup.link(spark.createDataFrame([], VECTORS)).collect() == []
