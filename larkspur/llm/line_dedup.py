@@ -6,9 +6,9 @@ id and place, has the same tokens or a Jaccard similarity of at least
 ``percent`` / 100 with it, whether or not that line stays itself. Lines with
 fewer than ``min_tokens`` tokens always stay.
 
-Tokens are ordered by rarity: a table of 2^17 hash buckets counts the words of all
-texts, and a token's rank is its bucket's count, so a word that is frequent is
-always told from most rare ones. Lines with equal
+Tokens are ordered by rarity: a table of hash buckets counts the words of all texts,
+and a token's rank is its bucket's count. The table grows with the texts, from 2^12
+to 2^19 buckets, so that rare words stay told from frequent ones. Lines with equal
 tokens form a class. The prefix filter joins classes on the first ``n - ceil(t *
 n) + 1`` tokens, of which the smaller set needs fewer; length and positional filters and the parities of 64 hash
 ranges bound the overlap before sets are compared. Sets so small that one token more
@@ -41,7 +41,9 @@ from larkspur.llm._common import cut, stored
 
 PERCENT = 90
 MIN_TOKENS = 5
-RANK_BUCKETS = 1 << 17
+#: Binary logarithms of the least and the largest table of ranks, and the bytes of text behind a bucket in between.
+RANK_BITS = (12, 19)
+BYTES_PER_BUCKET = 1 << 12
 #: Rows that may be broadcast, after they are counted; each holds an id and a few places. More are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 BROADCAST_PLACES = 1 << 20
@@ -62,23 +64,22 @@ def _hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _ranks(documents: DataFrame) -> Column:
-    """How common the words of each hash bucket are, as a constant array of RANK_BUCKETS numbers below 128."""
+def _ranks(documents: DataFrame) -> tuple[Column, int]:
+    """How common the words of each hash bucket are, as a constant array of numbers below 128, and a mask that gives the bucket of a hash."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    mask = (1 << min(max((size // BYTES_PER_BUCKET).bit_length(), RANK_BITS[0]), RANK_BITS[1])) - 1
     # rarer blanks are not told apart here: the order of tokens need only be the same everywhere
     words = documents.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    got = words.groupBy(_bucket(F.xxhash64("w")).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most RANK_BUCKETS rows
-    ranks = np.zeros(RANK_BUCKETS, np.int64)
+    got = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(mask)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 2^19 rows
+    ranks = np.zeros(mask + 1, np.int64)
     ranks[got["bucket"].to_numpy()] = np.minimum(127, np.rint(4 * np.log2(got["n"].to_numpy())))
-    return F.split(F.lit(",".join(map(str, ranks.tolist()))), ",").cast("array<bigint>")  # folded to a constant
+    return F.split(F.lit(",".join(map(str, ranks.tolist()))), ",").cast("array<bigint>"), mask  # folded to a constant
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(RANK_BUCKETS - 1))
-
-
-def _keys(line: Column, ranks: Column) -> Column:
+def _keys(line: Column, ranks: Column, mask: int) -> Column:
     """Sorted distinct token keys of a line, rare first: rank, then hash."""
-    return F.sort_array(F.transform(_hashes(line), lambda h: F.call_function("shiftleft", F.get(ranks, _bucket(h)), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
+    rank = lambda h: F.get(ranks, h.bitwiseAND(F.lit(mask)))
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.call_function("shiftleft", rank(h), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -163,9 +164,9 @@ def _later_lines(lines: DataFrame, same: list[str], hot_classes: int) -> tuple[D
 
 def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int = MIN_TOKENS, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """d, v and places (from 0) of the lines to remove; d is the id (null: the least long), v the text's version."""
-    ranks = _ranks(documents)
+    ranks, mask = _ranks(documents)
     # the generator keeps the filter from computing the keys a second time
-    keyed = _lines(documents).select("d", "ord", F.explode(F.array(_keys(F.col("line"), ranks))).alias("keys")).where(F.size("keys") >= min_tokens)
+    keyed = _lines(documents).select("d", "ord", F.explode(F.array(_keys(F.col("line"), ranks, mask))).alias("keys")).where(F.size("keys") >= min_tokens)
     n = F.size("keys")
     lines = keyed.select(
         "d",
