@@ -126,6 +126,12 @@ def bounded_sample(df: DataFrame, rows: int, *tie: str) -> DataFrame:
     return df.withColumn("_h", h).orderBy("_h", *tie).limit(rows).drop("_h")
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Take a folder out of the store that Spark reads it from."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """The rows as a Parquet table in the shared folder, for steps that read few of their columns, and its removal."""
     spark = df.sparkSession
@@ -133,11 +139,7 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     # hashes, for the most part: neither dictionaries nor compression gain much
     df.write.option("parquet.enable.dictionary", "false").option("compression", "none").parquet(path)
 
-    def remove() -> None:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    return spark.read.schema(df.schema).parquet(path), remove
+    return spark.read.schema(df.schema).parquet(path), lambda: removed(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,4 +151,4 @@ def remainder(of: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(0))
 
 
-__all__ = ["bounded_sample", "cut", "gram_hashes", "mix64", "remainder", "shared_folder", "span_hashes", "spans", "stored", "table", "text_chunks"]
+__all__ = ["bounded_sample", "cut", "gram_hashes", "mix64", "remainder", "removed", "shared_folder", "span_hashes", "spans", "stored", "table", "text_chunks"]

@@ -73,7 +73,24 @@ def test_run_is_the_stages(spark, tmp_path):
     last = staged(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), tmp_path, 5)[-1][1]
     key = lambda r: (str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, got)) == sorted(map(key, last))
-    assert os.path.isabs(P.shared_folder(spark).removeprefix("file:"))
+    folder = P.shared_folder(spark).removeprefix("file:")
+    assert os.path.isabs(folder) and not [x for x in os.listdir(folder) if x.startswith("pipeline-")]
+
+
+def test_near_copies_with_repeated_rows_and_without_ids(spark):
+    """The stage that keeps one document of each group, on rows as they come."""
+    base = [*rows(6), *rows(6)[:9]]
+    got = P.drop_near_copies(spark, spark.createDataFrame(base, SCHEMA), "").collect()
+    parts = jaccard_components({r[0]: r[1] for r in base if r[0] is not None}, 5, 80)
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted({c for _, c in parts.values()})
+    assert sum(r.doc_id is None for r in got) == 1
+
+
+def test_lines_with_repeated_rows_and_without_ids(spark):
+    base = [*rows(6), *rows(6)[:9]]
+    got = P.drop_lines(spark, spark.createDataFrame(base, SCHEMA), "").collect()
+    want = kept_lines({(r[0], r[1]) for r in base}, 90, 5)
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str((r[0], None if r[1] is None else want[r[0], r[1]][0])) for r in base)
 
 
 def test_empty(spark, tmp_path):
