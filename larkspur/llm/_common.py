@@ -6,6 +6,7 @@ task's memory follows the chunk size (``CHUNK_BYTES``), not the partition.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,6 +27,9 @@ IS_GAP[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: glibc's call, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _rng = np.random.default_rng(20240607)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POW_LEN = 1 << 16
@@ -43,11 +47,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers live on from stage to stage, and each keeps its peak otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_docs: int = CHUNK_DOCS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, UTF-8 bytes, offsets) without copying the bytes; nulls are empty.
 
     A chunk holds at most ``max_bytes`` unless one text alone is longer.
     """
+    give_back()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -65,6 +77,7 @@ def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_docs: int =
         hi = min(max(hi, lo + 1), lo + max_docs, n)
         yield lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

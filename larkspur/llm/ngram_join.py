@@ -44,7 +44,7 @@ from larkspur.llm.components import connected_components
 #: Bits of the rank table's size, from bytes of text, and of a rank.
 BUCKET_BITS = (18, 23)
 RANK_BITS = 6
-BYTES_PER_BUCKET = 1 << 8
+BYTES_PER_BUCKET = 1 << 9
 _SLICE = 1 << 16
 #: Keys of buckets with so many sets are split.
 HOT = 1 << 13

@@ -62,7 +62,7 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.old = self.new = none  # hashes in order, places in the pool, numbers of ids; new words are merged now and then
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
 
@@ -87,10 +87,10 @@ class WordTokens:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
-        self.new = _merged(self.new, (keys, self.used + np.cumsum(size) - size, size))
+        self.new = _merged(self.new, (keys, (self.used + np.cumsum(size) - size).astype(np.uint32), size.astype(np.uint32)))
         self.used += len(flat)
         if 4 * len(self.new[0]) > len(self.old[0]):
-            self.old, self.new = _merged(self.old, self.new), (keys[:0], size[:0], size[:0])
+            self.old, self.new = _merged(self.old, self.new), tuple(x[:0] for x in self.new)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and number of ids of each word, -1 where it is unknown."""
