@@ -65,7 +65,7 @@ def _hashes(line: Column) -> Column:
 
 
 def _ranks(documents: DataFrame) -> tuple[Column, int]:
-    """How common the words of each hash bucket are, as a constant array of numbers below 128, and a mask that gives the bucket of a hash."""
+    """How common the words of each hash bucket are, as a constant array of numbers below 128 in the highest byte, and a mask that gives the bucket of a hash."""
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     mask = (1 << min(max((size // BYTES_PER_BUCKET).bit_length(), RANK_BITS[0]), RANK_BITS[1])) - 1
     # rarer blanks are not told apart here: the order of tokens need only be the same everywhere
@@ -73,13 +73,12 @@ def _ranks(documents: DataFrame) -> tuple[Column, int]:
     got = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(mask)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 2^19 rows
     ranks = np.zeros(mask + 1, np.int64)
     ranks[got["bucket"].to_numpy()] = np.minimum(127, np.rint(4 * np.log2(got["n"].to_numpy())))
-    return F.split(F.lit(",".join(map(str, ranks.tolist()))), ",").cast("array<bigint>"), mask  # folded to a constant
+    return F.split(F.lit(",".join(map(str, (ranks << 56).tolist()))), ",").cast("array<bigint>"), mask  # folded to a constant
 
 
 def _keys(line: Column, ranks: Column, mask: int) -> Column:
     """Sorted distinct token keys of a line, rare first: rank, then hash."""
-    rank = lambda h: F.get(ranks, h.bitwiseAND(F.lit(mask)))
-    return F.sort_array(F.transform(_hashes(line), lambda h: F.call_function("shiftleft", rank(h), F.lit(56)).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.get(ranks, h.bitwiseAND(F.lit(mask))).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
