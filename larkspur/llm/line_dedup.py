@@ -43,7 +43,7 @@ PERCENT = 90
 MIN_TOKENS = 5
 #: Binary logarithms of the least and the largest table of ranks, and the bytes of text behind a bucket in between.
 RANK_BITS = (12, 19)
-BYTES_PER_BUCKET = 1 << 12
+BYTES_PER_BUCKET = 1 << 14
 #: Rows that may be broadcast, after they are counted; each holds an id and a few places. More are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 BROADCAST_PLACES = 1 << 20
