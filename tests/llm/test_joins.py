@@ -252,3 +252,14 @@ def test_components(spark):
     for a, b in edges:
         if a != b:
             assert got[a] == sets.find(a) and got[b] == sets.find(b)
+
+
+def test_components_of_hubs(spark):
+    """Nodes with more links than one task is given: the least of all, the greatest, one between, and a chain through them."""
+    edges = [(0, n) for n in range(1000, 1400)] + [(9000, n) for n in range(2000, 2400)] + [(2700, n) for n in range(2401, 3000)]
+    edges += [(n, n + 1) for n in range(4000, 4030)] + [(4000, 9000)]
+    sets = Sets()
+    for a, b in edges:
+        sets.join(a, b)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: sets.find(n) for e in edges for n in e}
