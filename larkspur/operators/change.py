@@ -9,20 +9,14 @@ from pyspark.sql import functions as F
 
 from larkspur.catalog import Catalog, Field
 from larkspur.functions import numbers
+from larkspur.functions.typed import whole_bits
 from larkspur.lineage import cut
 from larkspur.operators.select import INDEX
 
 
-def _whole_bits(catalog: Catalog, kind: str) -> tuple[int, bool] | None:
-    """Bits and sign of an integer type of up to 64 bits."""
-    name = catalog.base(kind)
-    bits = name.removeprefix("u").removeprefix("int")
-    return (int(bits), not name.startswith("u")) if bits in ("8", "16", "32", "64") and "int" in name else None
-
-
 def _held(catalog: Catalog, field: Field, value: Column) -> Column:
     """A value brought into its field by the field's overflow policy."""
-    whole = _whole_bits(catalog, field.type)
+    whole = whole_bits(catalog.base(field.type))
     return numbers.overflow(value, whole[0], field.policy, whole[1]) if whole else value
 
 

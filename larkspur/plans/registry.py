@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +12,10 @@ from larkspur.catalog import Catalog, Field
 from larkspur.functions import collections as C
 from larkspur.functions import numbers as N
 from larkspur.functions import strings as S
-
+from larkspur.functions.typed import typed
+from larkspur.lineage import cut, removed, shared_folder
 from larkspur.operators import change
-from larkspur.operators.graph import ALL, Graph, Result
+from larkspur.operators.graph import ALL, Graph, Result, schema_graph
 from larkspur.operators.predicates import all_of, any_of, none_of, variant, where
 from larkspur.operators.record_graph import record_graph
 from larkspur.operators.select import INDEX, Agg, collect, exact_product, follow, select
@@ -862,4 +864,143 @@ def where_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(people, "*", any_of(variant("home", "at", land=3), where(F.col("home._variant"), "=", "none"))).select(F.col(INDEX).alias("c_custkey"), F.col("home._variant").alias("variant"))
 
 
+
+# single rows, methods in updates, typed arithmetic, catalogs and archives
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS _index, p_name FROM part WHERE p_partkey = 7")
+def row_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select(table(spark, sf_dir, "part"), [INDEX, "p_name"], where(INDEX, "=", 7))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey = 5 THEN 'renamed' ELSE c_name END AS c_name FROM customer")
+def update_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change.update(table(spark, sf_dir, "customer"), {"c_name": F.lit("renamed")}, where(INDEX, "=", 5)).select("c_custkey", "c_name")
+
+
+@query("SELECT l_orderkey, array_to_string(list(l_linenumber ORDER BY l_linenumber), ',') AS numbers FROM lineitem GROUP BY l_orderkey")
+def project_array_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field of each element of an array of rows; an order has seven lines at most."""
+    per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("a"))
+    return per.select("l_orderkey", F.array_join(F.col("a.l_linenumber").cast("array<string>"), ",").alias("numbers"))
+
+
+@query(
+    """SELECT p_partkey, ltrim(t) AS left_off, rtrim(t) AS right_off, t = '' AS nothing, p_size = 0 AS none, replace(p_name, 'a', 'bb') AS replaced
+    FROM (SELECT *, CASE WHEN p_size % 7 = 0 THEN '' ELSE '  ' || p_name || ' ' END AS t FROM part)"""
+)
+def string_trims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.when(F.col("p_size") % 7 == 0, "").otherwise(F.concat(F.lit("  "), "p_name", F.lit(" ")))
+    empty = C.is_empty(F.filter(F.array("p_size"), lambda x: x > 0))
+    return table(spark, sf_dir, "part").select("p_partkey", S.trim_start(t).alias("left_off"), S.trim_end(t).alias("right_off"), S.is_empty(t).alias("nothing"), empty.alias("none"), S.replace_all(F.col("p_name"), "a", "bb").alias("replaced"))
+
+
+@query(
+    f"""SELECT p_partkey, {_sql_text("CASE WHEN p_partkey % 3 = 0 THEN list_concat(list_reverse(a), [8]) WHEN p_partkey % 3 = 1 THEN list_concat([7], a[2:]) ELSE a END")} AS a FROM ({_A})"""
+)
+def update_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of methods in updates of an array."""
+    rows = _sizes(spark, sf_dir).select("p_partkey", "a", (F.col("p_partkey") % 3).alias("part"))
+    rows = change.update(rows, {"a": C.append(C.reverse(F.col("a")), 8)}, where("part", "=", 0))
+    return change.update(rows, {"a": C.prepend(C.delete(F.col("a"), 0), 7)}, where("part", "=", 1)).select("p_partkey", _text(F.col("a")).alias("a"))
+
+
+@query(
+    """SELECT p_partkey, upper(p_name) || '!' AS name, lower(p_name) AS type, CASE WHEN p_brand = 'Brand#1' THEN 'Brand#1' ELSE p_brand || ',Brand#1' END AS members, 'b' AS names FROM part"""
+)
+def update_texts_sets_and_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain on a text, a field from another one, a member added to a set, a key taken from a dictionary."""
+    rows = table(spark, sf_dir, "part").select(INDEX, "p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.array("p_brand").alias("members"), F.create_map(F.lit("a"), "p_size", F.lit("b"), F.lit(2)).alias("sizes"))
+    rows = change.update(rows, {"type": S.lowercase(F.col("name")), "members": C.set_add(F.col("members"), "Brand#1"), "sizes": C.drop_key(F.col("sizes"), "a")})
+    rows = change.update(rows, {"name": F.concat(S.uppercase(F.col("name")), F.lit("!"))})
+    return rows.select("p_partkey", "name", "type", F.array_join("members", ",").alias("members"), _joined(C.keys(F.col("sizes"))).alias("names"))
+
+
+@query(
+    """SELECT p_partkey, CAST(least(p_size * 4 + 50, 127) AS BIGINT) AS held, CAST((p_size * 7 + 3) % 256 AS BIGINT) AS turned, CAST(p_size // 4 AS BIGINT) AS quotient,
+    CAST((p_size - 60) - 7 * floor((p_size - 60) / 7.0) AS BIGINT) AS remainder, CAST(p_size AS DOUBLE) / 4 AS ratio, p_size || 'x' AS text FROM part"""
+)
+def math_type_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type and the policy of one operand, a literal or an alias, are those of the result."""
+    c = Catalog()
+    c.alias("Small", "int8")
+    size = F.col("p_size")
+    held, turned = typed(c, size, "Small", "saturating") * 4 + 50, 3 + typed(c, size, "uint8", "wrapping") * typed(c, 7, "uint8")
+    four = typed(c, size, "int8") / typed(c, 4, "int8")
+    return table(spark, sf_dir, "part").select("p_partkey", held.value.alias("held"), turned.value.alias("turned"), four.value.alias("quotient"), ((typed(c, size, "int16") - 60) % 7).value.alias("remainder"), (typed(c, size, "float64") / 4).value.alias("ratio"), typed(c, size, "int8").concat("x").alias("text"))
+
+
+@query("SELECT p_partkey, CAST(p_size % 3 + 6 AS BIGINT) AS above, CAST(2 * (p_size % 3 + 5) AS BIGINT) AS twice FROM part")
+def enum_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of an enum with a backing type count as numbers of it."""
+    c = Catalog()
+    c.enum("Colour", {"red": 5, "green": None, "blue": None}, "uint8")
+    variant_ = N.enum_name((F.col("p_size") % 3 + 5).cast("int"), c.types["Colour"].variants)
+    colour = typed(c, F.col("colour"), "Colour")
+    return table(spark, sf_dir, "part").select("p_partkey", variant_.alias("colour")).select("p_partkey", (colour + 1).value.alias("above"), (colour + colour).value.alias("twice"))
+
+
+@query("SELECT * FROM (VALUES ('Money', 'alias'), ('Place', 'composite'), ('Region', 'composite'), ('Land', 'composite'), ('Home', 'enum'), ('Person', 'composite'), ('Order', 'composite')) t(name, kind)")
+def catalog_show(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shop(spark, sf_dir)[0].show(spark).where("kind <> 'primitive'")
+
+
+@query(
+    """SELECT * FROM (VALUES ('name', 'string', NULL), ('visits', 'saturating uint8', '7'), ('rank', 'wrapping int8', NULL), ('tags', 'string[]', '[''new'']'),
+    ('none', '', NULL), ('at', 'land: Land, since: int32', NULL), ('land', 'Land', NULL), ('since', 'int32', NULL)) t(property, type, value)"""
+)
+def catalog_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A composite, an enum and one of its variants, from the catalog as it is kept."""
+    c = Catalog.from_json(shop(spark, sf_dir)[0].to_json())
+    return c.describe(spark, "Place").union(c.describe(spark, "Home")).union(c.describe(spark, "Home.at"))
+
+
+@query("SELECT CAST(n_nationkey - (n_nationkey > 4)::INT AS BIGINT) AS _index, n_name AS name, CASE WHEN n_regionkey <> 1 THEN CAST(n_regionkey - (n_regionkey > 1)::INT AS BIGINT) END AS region FROM nation WHERE n_nationkey <> 4")
+def archive_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables written with their catalog and read again: deleted rows leave no gaps, references follow, and those to deleted rows are null."""
+    catalog, folder = _plain_places(), f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    land = shop(spark, sf_dir)[1]["Land"].where(F.col(INDEX) != 4)
+    region = change.delete(table(spark, sf_dir, "region").select(INDEX, F.col("r_name").alias("name")), where(INDEX, "=", 1))
+    dump.archive(spark, catalog, {"Region": region, "Land": land}, folder, {"Land": {"region": "Region"}})
+    again = cut(dump.restore(spark, folder, ["Region", "Land"])[1]["Land"].select(INDEX, "name", "region"))
+    removed(spark, folder)
+    return again
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def json_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of JSON text as variants."""
+    folder = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").select(F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"props":'), F.coalesce("props", F.lit("null")), F.lit("}")).alias("value")).write.text(folder)
+    found = cut(tables.json_documents(spark, folder).select(F.try_variant_get("document", "$.id", "bigint").alias("event_id"), F.try_variant_get("document", "$.props.k", "int").alias("k")))
+    removed(spark, folder)
+    return found
+
+
+@query("SELECT 'n' || n_nationkey AS source, 'region' AS label, 'r' || n_regionkey AS target FROM nation UNION ALL SELECT 'n' || c_nationkey, 'members', 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def graph_compound_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir)
+    return g.either(g.select("nations"), ["region", "members"]).edges.select("source", "label", "target")
+
+
+@query("SELECT 'c' || c_custkey AS id FROM customer WHERE c_acctbal > 0 AND c_nationkey = 3 AND c_mktsegment <> 'MACHINERY'")
+def graph_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes chosen by a boolean, an integer and a text."""
+    people = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit("people").alias("selector"), F.col("c_name").alias("name"), (F.col("c_acctbal") > 0).alias("rich"), F.col("c_nationkey").alias("place"), F.col("c_mktsegment").alias("segment"))
+    g = Graph(people, spark.createDataFrame([], "axis string, source string, target string"))
+    return g.select("people", where=F.col("rich") & (F.col("place") == 3) & (F.col("segment") != "MACHINERY")).nodes
+
+
+@query("SELECT * FROM (VALUES ('fields', 'Region', 'Region.name'), ('type', 'Region.name', 'string'), ('fields', 'Land', 'Land.name'), ('type', 'Land.name', 'string'), ('fields', 'Land', 'Land.region'), ('type', 'Land.region', 'Region')) t(axis, source, target)")
+def graph_of_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_graph(spark, _plain_places()).edges
+
+
+@query(f"SELECT k, count(*) AS n FROM (SELECT {_sql_text('a[1:1]')} AS k FROM ({_A})) GROUP BY k")
+def aggregate_by_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list as the key of groups."""
+    rows = _sizes(spark, sf_dir).select(F.col("p_partkey").alias(INDEX), C.cut(F.col("a"), 0, 1).alias("k"))
+    return named(select(rows, ["k", Agg("count")], group_by=["k"]), k="k", n="count(*)").select(_text(F.col("k")).alias("k"), "n")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "graph"]

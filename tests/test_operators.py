@@ -8,6 +8,7 @@ from larkspur.catalog import Catalog, Field
 from larkspur.functions import collections as C
 from larkspur.functions import numbers as N
 from larkspur.functions import strings as S
+from larkspur.functions.typed import typed
 from larkspur.operators import change
 from larkspur.operators.graph import ALL, Graph, schema_graph
 from larkspur.operators.predicates import all_of, any_of, none_of, variant, where
@@ -129,6 +130,25 @@ def test_numbers(spark):
     assert one(spark, N.elementwise(F.array(i(1), i(2)), F.array(i(3), i(4)), lambda x, y: x + y, True, True)) == [[4, 6]]
 
 
+def test_typed_values(spark):
+    c = Catalog()
+    c.alias("Tiny", "int8")
+    c.enum("Level", {"low": 5, "high": None}, "uint8")
+    c.enum("Plain", ["a"])
+    x = typed(c, 100, "Tiny")
+    assert one(spark, (x + 27).value, (typed(c, 100, "Tiny", "saturating") + 100).value, (100 + typed(c, 100, "int8", "wrapping")).value, (0 - x).value) == [127, 127, -56, -100]
+    assert one(spark, (typed(c, -7, "int8") / 2).value, (typed(c, -7, "int8") % 2).value, (typed(c, 7.0, "float64") / 2).value, (x + F.lit(None)).value) == [-4, 1, 3.5, None]
+    assert one(spark, (typed(c, F.lit("high"), "Level") * 2).value, x.concat("%")) == [12, "100%"]
+    top = typed(c, F.lit(str(2**64 - 1)).cast("decimal(20,0)"), "uint64", "wrapping")
+    assert one(spark, (top + 2).value, (top * top).value) == [1, 1]
+    for bad in (x + 28, x * 2, typed(c, 128, "int8"), typed(c, -1, "uint8"), typed(c, 1.5, "int8")):
+        with pytest.raises(PySparkException):
+            one(spark, bad.value)
+    for wrong in (lambda: x + typed(c, 1, "int16"), lambda: typed(c, F.lit("a"), "Plain"), lambda: typed(c, "a", "string")):
+        with pytest.raises(TypeError):
+            wrong()
+
+
 def test_changes(spark, people):
     older = change.update(people, {"age": F.col("age") + 1}, where("name", "=", "Ann"))
     assert [r["age"] for r in older.orderBy("_index").collect()] == [31, None, 65, 70]
