@@ -20,6 +20,8 @@ from larkspur.lineage import cut, shared_folder
 
 CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 256
+#: Bytes whose words are hashed at once; this takes many times as much memory, which each worker keeps until it is trimmed.
+HASH_BYTES = 1 << 16
 
 #: Bytes that end a word: the complement of ``[^\x20\x09-\x0D]``.
 IS_GAP = np.zeros(256, bool)
@@ -27,6 +29,9 @@ IS_GAP[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: What this worker keeps from task to task; it goes when texts are taken for another purpose.
+KEPT: dict[str, object] = {}
+
 #: glibc's call, where there is one.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -54,11 +59,14 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_docs: int = CHUNK_DOCS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_docs: int = CHUNK_DOCS, keep: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, UTF-8 bytes, offsets) without copying the bytes; nulls are empty.
 
-    A chunk holds at most ``max_bytes`` unless one text alone is longer.
+    A chunk holds at most ``max_bytes`` unless one text alone is longer. What the
+    worker keeps for others goes, but for those who ``keep`` it.
     """
+    if not keep:
+        KEPT.clear()
     give_back()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -103,7 +111,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
     out = np.zeros(len(starts), np.uint64)
     lo = 0
     while lo < len(starts):
-        hi = max(int(np.searchsorted(ends, starts[lo] + CHUNK_BYTES, "right")), lo + 1)
+        hi = max(int(np.searchsorted(ends, starts[lo] + HASH_BYTES, "right")), lo + 1)
         size = ends[lo:hi] - starts[lo:hi]
         at = np.cumsum(size) - size
         within = np.arange(int(size.sum())) - np.repeat(at, size)

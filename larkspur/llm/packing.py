@@ -9,7 +9,7 @@ A group's waste is about one sequence, so the number of sequences stays within
 a few in 100,000 of a packing in one go, and no task holds more than a group.
 
 Words between ASCII blanks are tokenised once per worker and kept in a bounded
-cache; the tokenizer removes blanks and never joins what they part, so the ids
+cache, which goes when the worker is given texts for anything else; the tokenizer removes blanks and never joins what they part, so the ids
 equal those of the whole text (tested). It also parts a full stop or comma from
 an ASCII letter before it and lower-cases, so such a last character is a word of
 its own, and words that differ in the case of ASCII letters share an entry.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm._common import LOWER, cut, span_hashes, spans, text_chunks
+from larkspur.llm._common import KEPT, LOWER, cut, span_hashes, spans, text_chunks
 
 CAPACITY = 4096
 END_ID = 1
@@ -55,7 +55,9 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
+        self.kind = np.uint16 if max(tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
         mark = self.encode([self.MARK], add_special_tokens=False)[0].ids
         self.mark = mark[0] if len(mark) == 1 else -1
         self.limit = limit
@@ -64,7 +66,7 @@ class WordTokens:
     def clear(self) -> None:
         none = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
         self.old = self.new = none  # hashes in order, places in the pool, numbers of ids; new words are merged now and then
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.pool, self.used = np.zeros(1 << 20, self.kind), 0
 
     def encoded(self, words: list[str], block: int = 2000) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, one word after the other, and how many each has."""
@@ -85,7 +87,7 @@ class WordTokens:
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
         flat, size = self.encoded(words)
         while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) // 4, self.kind)])
         self.pool[self.used : self.used + len(flat)] = flat
         self.new = _merged(self.new, (keys, (self.used + np.cumsum(size) - size).astype(np.uint32), size.astype(np.uint32)))
         self.used += len(flat)
@@ -125,7 +127,7 @@ class WordTokens:
         ends_at = np.cumsum(size)
         ids = self.pool[np.arange(int(ends_at[-1])) + np.repeat(at - ends_at + size, size)]
         bound = np.searchsorted(row, np.arange(len(offsets)))
-        return ids, np.concatenate([[0], ends_at])[bound]
+        return ids.astype(np.uint32), np.concatenate([[0], ends_at])[bound]
 
 
 def _without_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,13 +145,16 @@ def _without_stops(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row:
 
 
 def _merged(a: tuple, b: tuple) -> tuple:
-    keys = np.concatenate([a[0], b[0]])
-    order = np.argsort(keys, kind="stable")
-    return keys[order], *(np.concatenate([x, y])[order] for x, y in zip(a[1:], b[1:], strict=True))
-
-
-#: One table for each tokenizer file, kept as long as its worker.
-_TABLES: dict[str, WordTokens] = {}
+    """Two tables in order of their keys as one, with little more memory than the one takes."""
+    at = np.searchsorted(a[0], b[0], "right") + np.arange(len(b[0]))
+    first = np.ones(len(a[0]) + len(b[0]), bool)
+    first[at] = False
+    out = []
+    for x, y in zip(a, b, strict=True):
+        both = np.empty(len(first), x.dtype)
+        both[first], both[at] = x, y
+        out.append(both)
+    return tuple(out)
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -158,10 +163,10 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]])
 
     def cut_up(batches):
-        words = _TABLES.get(tokenizer) or _TABLES.setdefault(tokenizer, WordTokens(tokenizer))
+        words = KEPT.get(tokenizer) or KEPT.setdefault(tokenizer, WordTokens(tokenizer))
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch["text"]):
+            for lo, hi, data, offsets in text_chunks(batch["text"], keep=True):
                 ids, bound = words.ids(data, offsets)
                 out = []
                 for i in range(hi - lo):
