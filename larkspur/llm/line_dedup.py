@@ -77,8 +77,17 @@ def _ranks(documents: DataFrame) -> tuple[Column, int]:
 
 
 def _keys(line: Column, ranks: Column, mask: int) -> Column:
-    """Sorted distinct token keys of a line, rare first: rank, then hash."""
-    return F.sort_array(F.transform(_hashes(line), lambda h: F.get(ranks, h.bitwiseAND(F.lit(mask))).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
+    """Sorted distinct token keys of a line, rare first: rank, then hash.
+
+    One pass over the words, whose function is interpreted; what it gives holds no
+    nulls, so that the words are made distinct and sorted by compiled code on numbers.
+    """
+
+    def key(word: Column) -> Column:
+        h = F.xxhash64(word)
+        return F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(mask))), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    return F.sort_array(F.array_except(F.transform(F.split(line, " "), key), F.array(key(F.lit("")))))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -116,11 +125,14 @@ def _small(df: DataFrame, places: Column | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and p <= BROADCAST_PLACES else df
 
 
-def _with_words(pairs: DataFrame, sets: DataFrame, line: tuple[str, str], other: tuple[str, str], name: str, total: int) -> DataFrame:
-    """Pairs with the words of one of their lines. A line that a large share of all pairs name is met in parts, dealt by the other line."""
-    # fewer than HOT_CLASSES lines
+def _named_often(pairs: DataFrame, line: tuple[str, str], total: int) -> DataFrame:
+    """The fewer than HOT_CLASSES lines that a large share of all pairs name."""
     often = pairs.groupBy(*line).agg(F.count(F.lit(1)).alias("named")).where(F.col("named") * HOT_CLASSES > total)
-    often = F.broadcast(often.select(*line, F.lit(True).alias("often")))
+    return F.broadcast(often.select(*line, F.lit(True).alias("often")))
+
+
+def _with_words(pairs: DataFrame, sets: DataFrame, often: DataFrame, line: tuple[str, str], other: tuple[str, str], name: str) -> DataFrame:
+    """Pairs with the words of one of their lines. A line that is named often is met in parts, dealt by the other line."""
     salt = F.when(F.col("often"), F.pmod(F.xxhash64(*other), F.lit(SALTS))).otherwise(0).cast("int")
     told = sets.select(F.col("d").alias(line[0]), F.col("ord").alias(line[1]), F.col("words").alias(name)).join(often, [*line], "left")
     told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("often"), SALTS - 1).otherwise(0)))).drop("often")
@@ -140,8 +152,10 @@ def _similar(pairs: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
     sets = lines.select("d", F.shiftleft("v", 32).bitwiseOR(F.col("x.pos").cast("long")).alias("ord"), _hashes(F.col("x.line")).alias("words"))
     sets = sets.dropDuplicates(["d", "ord"])
     total = pairs.count()
-    both = _with_words(pairs, sets, ("d", "ord"), ("e_d", "e_ord"), "words", total)
-    both = _with_words(both, sets, ("e_d", "e_ord"), ("d", "ord"), "e_words", total)
+    # both lists come from the pairs as they are: from the joined ones, the texts would be read again for the list alone
+    line, other = ("d", "ord"), ("e_d", "e_ord")
+    both = _with_words(pairs, sets, _named_often(pairs, line, total), line, other, "words")
+    both = _with_words(both, sets, _named_often(pairs, other, total), other, line, "e_words")
     shared = F.size(F.array_intersect("words", "e_words"))
     return both.where(100 * shared >= percent * (F.size("words") + F.size("e_words") - shared)).select("d", "ord").distinct()
 
@@ -189,11 +203,13 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT, min_tokens: int
     near_size = postings.withColumn("reach", F.coalesce(indexed & larger, F.lit(False)) | F.coalesce(smaller, F.lit(False))).where("reach").drop("reach")
     by_age = Window.partitionBy("key").orderBy("d", "ord")
     row = F.struct("d", "ord", "n", "i", "parity")
-    shared = near_size.withColumn("turn", F.row_number().over(by_age)).withColumn("x", F.first(row).over(by_age)).where("turn > 1").withColumn("y", row)
+    # the second of two meets the first alone
+    alone = (F.col("turn") == 2) & F.lead("n").over(by_age).isNull()
+    shared = near_size.withColumn("turn", F.row_number().over(by_age)).withColumn("x", F.first(row).over(by_age)).withColumn("alone", alone).where("turn > 1").withColumn("y", row)
     first = F.when(_close("x", "y", percent), F.struct(F.col("x.d").alias("e_d"), F.col("x.ord").alias("e_ord")))
-    shared, drop_shared = stored(shared.select("key", "d", "ord", "n", "i", "parity", first.alias("first")))
+    shared, drop_shared = stored(shared.select("key", "d", "ord", "n", "i", "parity", "alone", first.alias("first")))
     near = _small(cut(_similar(shared.where("first is not null").select("d", "ord", "first.*"), documents, percent)))
-    rest = shared.drop("first")
+    rest = shared.where("not alone").drop("first", "alone")
     left = rest.join(near, ["d", "ord"], "left_anti").withColumnRenamed("key", "k").alias("y")
     earlier = (F.col("x.d") < F.col("y.d")) | ((F.col("x.d") == F.col("y.d")) & (F.col("x.ord") < F.col("y.ord")))
     more = rest.alias("x").join(left, (F.col("key") == F.col("k")) & earlier & _close("x", "y", percent))

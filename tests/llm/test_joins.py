@@ -93,6 +93,15 @@ def test_lines_alike_when_every_line_is_named_often(spark, monkeypatch):
     assert sorted((r.d, r.v, sorted(r.places)) for r in line_dedup.repeated_lines(docs).collect()) == want
 
 
+def test_lines_verify_with_two_scans_of_the_texts(spark, tmp_path):
+    """One for each side of the pairs; none to find which lines are named often."""
+    documents(spark).write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    pairs = spark.createDataFrame([(1, 2, 3, 4)], "d long, ord long, e_d long, e_ord long")
+    plan = line_dedup._similar(pairs, docs, 90)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2
+
+
 def test_lines_nothing(spark):
     assert line_dedup.drop_repeated_lines(empty(spark)).collect() == []
 
